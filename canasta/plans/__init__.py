@@ -1,4 +1,25 @@
 """Registered queries: each module of this package adds named plans and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame and the DuckDB SQL for the same rows."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+for _module in ("offers", "states", "history", "search", "unit_prices", "matching", "baskets", "reports", "control", "catalog", "landed"):
+    importlib.import_module(f"{__name__}.{_module}")
