@@ -24,7 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     names = docs.columns
     whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    return quality_rules.apply_rules(whole).where("kept").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    # a filter that also reads a row's place stays above the measures; pushed below, it would compute them anew for each rule
+    judged = quality_rules.apply_rules(whole).withColumn("_place", F.monotonically_increasing_id())
+    return judged.where("kept and _place >= 0").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
