@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _module in ("offers", "states", "history", "search", "unit_prices", "matching", "baskets", "reports", "control", "catalog", "landed"):
+for _module in ("offers", "states", "history", "search", "unit_prices", "matching", "baskets", "reports", "control", "catalog", "landed", "read_models"):
     importlib.import_module(f"{__name__}.{_module}")
