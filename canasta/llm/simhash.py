@@ -9,7 +9,7 @@ every coordinate, so pairs are discarded by their largest coordinate
 difference and only survivors are verified bit by bit.
 
 Which pairs are looked at: linked fingerprints differ in at most 4 bits, so of
-``BLOCKS`` blocks at least ``BLOCKS - 4`` are equal; every choice of that many
+six blocks at least two are equal (of eight, four); every choice of that many
 blocks is a key, and pairs meet under an equal key. (Pivot distances alone bound a pair only
 from below and would need every pair of the table.) Rows are sorted by key and
 first pivot distance; a key with more than ``CELL`` fingerprints is divided into
@@ -40,8 +40,10 @@ from .components import components
 SEED = 42
 SHINGLE = 4
 MOST_BITS = 4
-#: Bits of each block; their sum is 64.
+#: Bits of each block, 64 in all: 15 keys of 21 bits, or for tables of more than ``MANY`` fingerprints 70 of 32 bits.
 BLOCKS = (11, 11, 11, 11, 10, 10)
+FINE_BLOCKS = (8,) * 8
+MANY = 1 << 24
 #: Reference fingerprints: eight, so that their distances (0 to 64) fill the bytes of one long.
 PIVOTS = 8
 CELL = 8_192
@@ -179,9 +181,9 @@ def link_large(cell: np.ndarray, fp: np.ndarray, table: np.ndarray, forest: Fore
             label[np.isin(label, joined)] = forest.root(int(fp[i]))
 
 
-def links(distinct: DataFrame, most: int = MOST_BITS, cell: int = CELL) -> DataFrame:
+def links(distinct: DataFrame, most: int = MOST_BITS, cell: int = CELL, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """hi and lo: links that join all distinct fingerprints (column fp) within most bits, of which each task gives a forest."""
-    keyed = distinct.select("fp", pivot_table(F.col("fp")).alias("pivots")).withColumn("key", F.explode(keys(F.col("fp"), most=most)))
+    keyed = distinct.select("fp", pivot_table(F.col("fp")).alias("pivots")).withColumn("key", F.explode(keys(F.col("fp"), blocks, most)))
     large = cut(keyed.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).cast("int").alias("cells")))
     if large.isEmpty():
         dealt = keyed.select("fp", "pivots", "key", F.lit(0).alias("pair"), F.lit(0).alias("cell"))
@@ -220,7 +222,8 @@ def near_duplicates(df: DataFrame, text: str = "text", size: int = SHINGLE, most
     """doc_id, fp and component_id (the smallest doc_id reachable over links of most bits or fewer)."""
     docs = cut(fingerprints(df, text, size))
     distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, most))
+    blocks = BLOCKS if distinct.count() <= MANY else FINE_BLOCKS
+    roots = components(links(distinct, most, blocks=blocks))
     rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     labels = cut(rooted.join(lowest, "root").select("fp", "component_id"))

@@ -68,9 +68,9 @@ def planted(seed, count=300, balls=3, size=120):
     return sorted(fps)
 
 
-def linked(spark, fps, cell):
+def linked(spark, fps, cell, blocks=simhash.BLOCKS):
     distinct = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
-    roots = {r["node"]: r["root"] for r in components(simhash.links(distinct, cell=cell)).collect()}
+    roots = {r["node"]: r["root"] for r in components(simhash.links(distinct, cell=cell, blocks=blocks)).collect()}
     groups = {}
     for x in fps:
         s = int(np.uint64(x).view(np.int64))
@@ -86,6 +86,7 @@ def test_dense_groups_whole_and_in_cells(spark):
     want = sorted(map(sorted, by_root.values()))
     assert linked(spark, fps, simhash.CELL) == want
     assert linked(spark, fps, 16) == want
+    assert linked(spark, fps, simhash.CELL, simhash.FINE_BLOCKS) == want
 
 
 def test_every_near_pair_shares_a_key(spark):
@@ -100,7 +101,8 @@ def test_every_near_pair_shares_a_key(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "x long, y long")
-    assert df.where(F.arrays_overlap(simhash.keys(F.col("x")), simhash.keys(F.col("y")))).count() == 200
+    for blocks in (simhash.BLOCKS, simhash.FINE_BLOCKS):
+        assert df.where(F.arrays_overlap(simhash.keys(F.col("x"), blocks), simhash.keys(F.col("y"), blocks))).count() == 200
     table = df.select(F.abs(F.shiftrightunsigned(simhash.pivot_table(F.col("x")), 0).bitwiseAND(F.lit(255)) - simhash.pivot_table(F.col("y")).bitwiseAND(F.lit(255))).alias("d"))
     assert table.agg(F.max("d")).first()[0] <= 4
 
