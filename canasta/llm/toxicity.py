@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 #: Letters of other scripts that look like Latin ones (fixed values).
 HOMOGLYPHS = str.maketrans(
@@ -44,6 +46,8 @@ MOST_LABELLED = 20_000
 MOST_ENTRIES = 2_000
 LEAST_DOCS = 3
 LEAST_WEIGHT = 2.5
+#: Log likelihood ratio of a word's documents, as chance hardly gives among a hundred thousand words.
+LEAST_EVIDENCE = 16.0
 SMOOTHING = 0.5
 
 
@@ -106,13 +110,8 @@ class Matcher:
 
 
 def learn(labelled: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[str, float], list[float]]:
-    """The lexicon and the curve from rows with text and toxic (0 or 1), at most `most` of them, chosen by hash."""
-    sample = (
-        labelled.where("toxic in (0, 1)")
-        .select(F.col("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
-        .orderBy("_h", "toxic")
-        .limit(most)
-    )
+    """The lexicon and the curve from rows with text and toxic (0 or 1), at most `most` of them."""
+    sample = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic")).limit(most)
     # counts of a bounded sample: distinct folded words by document, then documents by word
     words = sample.select("toxic", "text").mapInArrow(_folded_words, "toxic int, word string")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -120,13 +119,15 @@ def learn(labelled: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[str, flo
     if not bad or not good:
         return {}, [8.0 if bad else -8.0, 0.0, 0.0]
     weight = F.log((F.col("b") + SMOOTHING) / F.lit(bad + 2 * SMOOTHING)) - F.log((F.col("g") + SMOOTHING) / F.lit(good + 2 * SMOOTHING))
+    n, share = F.col("b") + F.col("g"), bad / (bad + good)
+    evidence = F.col("b") * F.log(F.col("b") / (n * share)) + F.when(F.col("g") > 0, F.col("g") * F.log(F.col("g") / (n * (1 - share)))).otherwise(0.0)
     counted = (
         words.groupBy("word")
         .agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"))
         .where(F.col("b") >= LEAST_DOCS)
         .withColumn("weight", weight)
-        .withColumn("evidence", F.col("b") * F.col("weight"))
-        .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= 12))
+        .withColumn("evidence", evidence)
+        .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE))
         .orderBy(F.desc("evidence"), "word")
         .limit(MOST_ENTRIES)
     )
@@ -180,8 +181,9 @@ def held_out(doc_id: Column) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for all documents; labels of held-out rows are never read."""
-    taught = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lexicon, curve = learn(docs.select("doc_id", "text").join(taught, "doc_id"))
+    labelled = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    taught = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)  # a bounded sample by hash, so its ids can be broadcast
+    lexicon, curve = learn(cut(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("text", "toxic")))
     parts = score_parts(docs, lexicon)
     z = F.lit(curve[0]) + F.lit(curve[1]) * F.log1p("hits") + F.lit(curve[2]) * F.log1p("density")
     scored = parts.withColumn("score", 1 / (1 + F.exp(-z)))
