@@ -71,11 +71,11 @@ def src06(spark, sf_dir):
     return spark.createDataFrame([(m[0],) for m in MONEY], "raw string").select("raw", parse_pen(F.col("raw")).alias("cents"))
 
 
-@query("src07_listing_validation", with_("obs") + """ SELECT o.part, o.retailer, o.ok, o.ln, CASE WHEN cents <= 0 THEN 'price' WHEN ln > 6 THEN 'currency' WHEN flag = 'R' THEN 'unit' WHEN part % 50 = 0 THEN 'url' END AS reject FROM obs o WHERE part < 300""")
+@query("src07_listing_validation", with_("obs") + """ SELECT o.part, o.retailer, o.ok, o.ln, CASE WHEN cents <= 0 THEN 'price' WHEN ln > 6 THEN 'currency' WHEN flag = 'R' THEN 'unit' WHEN part % 50 = 0 THEN 'url' END AS reject FROM obs o""")
 def src07(spark, sf_dir):
     from ..sources.domain import price_observations
 
-    o = price_observations(spark, sf_dir).where("part < 300")
+    o = price_observations(spark, sf_dir)
     reject = L.reject_reason(F.col("cents"), F.when(F.col("ln") > 6, "USD").otherwise("PEN"), F.when(F.col("flag") == "R", "LB").otherwise("UN"), F.concat(F.when(F.col("part") % 50 == 0, "http").otherwise("https"), F.lit("://shop.pe/p")), F.lit("title"))
     return o.select("part", "retailer", "ok", "ln", reject.alias("reject"))
 
@@ -98,15 +98,15 @@ def src14(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", outcome.alias("outcome"))
 
 
-@query("src15_bounded_search", with_("obs") + """, p AS (SELECT part, retailer, ok, ln, cents FROM obs WHERE part % 10 = 3), f AS (SELECT part, retailer, min(ok * 10 + ln) AS position, max_by(cents, (ok * 10 + ln) * 1000000000 + cents) AS cents FROM p GROUP BY 1, 2)
-SELECT part, retailer, cents FROM f ORDER BY part % 20 <> 3, position, part, retailer LIMIT 60""")
+@query("src15_bounded_search", with_("obs", "parts") + """, f AS (SELECT part, retailer, min(ok * 10 + ln) AS position, max_by(cents, (ok * 10 + ln) * 1000000000 + cents) AS cents FROM obs GROUP BY 1, 2)
+SELECT part, retailer, cents FROM f JOIN parts USING (part) ORDER BY name NOT LIKE '%widget%', position, part, retailer LIMIT 60""")
 def src15(spark, sf_dir):
     """Each listing once, at its first position with its last value; relevant ones first; the first sixty."""
-    from ..sources.domain import price_observations
+    from ..sources.domain import parts, price_observations
 
     at = F.col("ok") * 10 + F.col("ln")
-    f = price_observations(spark, sf_dir).where("part % 10 = 3").groupBy("part", "retailer").agg(F.min(at).alias("position"), F.max_by("cents", F.struct(at, "cents")).alias("cents"))
-    return f.orderBy(F.col("part") % 20 != 3, "position", "part", "retailer").limit(60).select("part", "retailer", "cents")
+    f = price_observations(spark, sf_dir).groupBy("part", "retailer").agg(F.min(at).alias("position"), F.max_by("cents", F.struct(at, "cents")).alias("cents"))
+    return f.join(parts(spark, sf_dir), "part").orderBy(~F.col("name").contains("widget"), "position", "part", "retailer").limit(60).select("part", "retailer", "cents")
 
 
 @query("src17_coverage_union", with_("parts") + """, a AS (SELECT part, name, 1 AS source FROM parts WHERE part % 2 = 0), b AS (SELECT part, name || '*', 2 FROM parts WHERE part % 3 = 0), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)

@@ -140,9 +140,9 @@ def his03(spark, sf_dir):
     return states.join(n, "listing", "left").select("listing", micros("valid_from").alias("from_us"), "band", "previous_band", F.coalesce("n_days", F.lit(0)).alias("n_days"))
 
 
-@query("his11_weekday_series", with_("ev") + " SELECT listing, isodow(day) AS weekday, count(DISTINCT day) AS days, min(band) AS low FROM ev WHERE available AND listing % 2 = 1 GROUP BY 1, 2")
+@query("his11_weekday_series", with_("ev") + " SELECT listing, isodow(day) AS weekday, count(DISTINCT day) AS days, min(band) AS low FROM ev WHERE available GROUP BY 1, 2")
 def his11(spark, sf_dir):
-    e = usable(spark, sf_dir).where("listing % 2 = 1")
+    e = usable(spark, sf_dir)
     return e.groupBy("listing", (F.weekday("day") + 1).cast("long").alias("weekday")).agg(F.count_distinct("day").alias("days"), F.min("band").alias("low"))
 
 

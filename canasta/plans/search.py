@@ -110,11 +110,11 @@ def str11(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.initcap("p_brand").alias("shown")).distinct()
 
 
-@query("str13_money_format", with_("obs") + " SELECT DISTINCT cents, 'S/ ' || (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS shown FROM obs WHERE part < 50")
+@query("str13_money_format", with_("obs") + " SELECT DISTINCT cents, 'S/ ' || (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS shown FROM obs")
 def str13(spark, sf_dir):
     from ..sources.domain import price_observations
 
-    return price_observations(spark, sf_dir).where("part < 50").select("cents", T.format_pen(F.col("cents")).alias("shown")).distinct()
+    return price_observations(spark, sf_dir).select("cents", T.format_pen(F.col("cents")).alias("shown")).distinct()
 
 
 @query("str14_url_allow_list", """SELECT page_id, regexp_full_match(url, 'https?://[a-z0-9.-]+\\.example\\.(org|com|net)(/.*)?') AS allowed, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages""")
