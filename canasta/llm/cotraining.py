@@ -160,10 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_free
     """The classifiers, from bounded samples chosen by the hash of doc_id; None without both classes."""
     one_each = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("_y"))
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    known = docs.join(one_each, "doc_id").withColumn("_h", order).orderBy("_h", "doc_id").limit(most)
-    free = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("_h", order).orderBy("_h", "doc_id").limit(most_free)
-    a = measured(known, ("_y", "_h")).toPandas().sort_values("_h", kind="stable")  # bounded samples
-    b = measured(free, ("_h",)).toPandas().sort_values("_h", kind="stable")
+    # bounded samples of ids by hash, so they can be broadcast and no text is shuffled
+    known_ids = one_each.withColumn("_h", order).orderBy("_h", "doc_id").limit(most)
+    free_ids = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().withColumn("_h", order).orderBy("_h", "doc_id").limit(most_free)
+    row = F.min(F.struct("text", "lang", "source", "n_chars")).alias("_row")  # an id's rows count once
+    known = docs.join(F.broadcast(known_ids), "doc_id").groupBy("doc_id", "_h", "_y").agg(row).select("_h", "_y", "_row.*")
+    free = docs.join(F.broadcast(free_ids), "doc_id").groupBy("doc_id", "_h").agg(row).select("_h", "_row.*")
+    a = measured(known, ("_y", "_h")).toArrow().to_pandas().sort_values("_h", kind="stable")
+    b = measured(free, ("_h",)).toArrow().to_pandas().sort_values("_h", kind="stable")
     if a["_y"].nunique() < 2:
         return None
     stack = lambda frame, c, width: np.array(frame[c].tolist(), float).reshape(-1, width)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
 SIMILARITY = (4, 5)  # 0.8 as a fraction, so that bounds are exact
 LEAST_WORDS = 5
@@ -42,8 +42,10 @@ COUNTERS = 1 << 20
 MOST_BITS = 1 << 27
 CELL = 8_192
 PARTNERS = 8
-SMALL = 24
+#: Bounds of a task's memory: bytes of text, lines in one sort, pairs of rows looked at together.
 BLOCK_BYTES = 4_000_000
+LINES_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 21
 
 
 def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -58,7 +60,8 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), characters=PUNCTUATION).dictionary_encode()
     number = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
     names = plain.dictionary.to_pylist()
-    pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) << 32 | number)
+    pairs = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | number)
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
     if "" in names:
         pairs = pairs[pairs & 0xFFFFFFFF != names.index("")]
     hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in names), np.uint64, len(names))
@@ -105,9 +108,9 @@ def counted(df: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray]) ->
             part = at[a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["at", "n"])
 
-    found = df.mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
+    found = df.mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
     out = np.zeros(COUNTERS, np.int64)
-    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -141,20 +144,33 @@ def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return row[keep], line[keep], n, np.cumsum(n) - n, held
 
 
-def prefixes(n: np.ndarray, starts: np.ndarray, tokens: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the line, position and token of each word in a prefix, the rarest words first."""
-    up, down = SIMILARITY
-    of = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((tokens, rarity[tokens & (COUNTERS - 1)], of))
-    position = np.arange(len(tokens)) - np.repeat(starts, n)
-    within = position < np.repeat(n - -(-up * n // down) + 1, n)
-    return of[within], position[within], tokens[order][within]
+def rarity_levels(counts: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale of 1024 steps."""
+    return np.minimum(1023, 25 * np.log2(1 + counts)).astype(np.uint64)
 
 
-def prefix_rows(tokenized: DataFrame, rarity, crowd) -> DataFrame:
+def prefixes(n: np.ndarray, starts: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the line, position and token of each word in a prefix, the rarest words first, then by hash."""
+    up, down = SIMILARITY
+    out = []
+    for a in range(0, len(n), LINES_AT_ONCE):
+        own = n[a : a + LINES_AT_ONCE]
+        words = tokens[starts[a] : starts[a] + own.sum()]
+        ordered = np.repeat(np.arange(len(own), dtype=np.uint64), own) << np.uint64(42) | levels[words & (COUNTERS - 1)] << np.uint64(32) | words
+        ordered.sort()
+        position = np.arange(len(ordered)) - np.repeat(np.cumsum(own) - own, own)
+        within = position < np.repeat(own - -(-up * own // down) + 1, own)
+        taken = ordered[within]
+        out.append(((taken >> np.uint64(42)).astype(np.int64) + a, position[within], (taken & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def prefix_rows(tokenized: DataFrame, levels, crowd) -> DataFrame:
     """A row for each word in each line's prefix, dealt to pairs of cells where many lines share the word.
 
-    rarity and crowd: broadcast counts of words over all lines and over prefixes.
+    levels and crowd: broadcast rarity levels of words, and counts of words over
+    prefixes. key holds word and pair; shape the line's size, the word's position
+    and whether the row is of the second of two cells.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,108 +188,100 @@ def prefix_rows(tokenized: DataFrame, rarity, crowd) -> DataFrame:
                     met[i], new[k] = place, True
             if len(met) > 500_000:
                 met.clear()
-            of, position, word = prefixes(n, starts, tokens, rarity.value)
+            of, position, word = prefixes(n, starts, tokens, levels.value)
             sign = summed(np.left_shift(np.uint64(1), mix(tokens, 7) & np.uint64(63)), starts, np.bitwise_xor).view(np.int64)
             take = new[of]
             of, position, word = of[take], position[take], word[take]
-            cells = -(-crowd.value[word & (COUNTERS - 1)] // CELL)
-            cell = (ids[of].view(np.uint64) % np.maximum(cells, 1).astype(np.uint64)).astype(np.int64)
-            copy = np.repeat(np.arange(len(of)), np.maximum(cells, 1))
-            other = np.arange(len(copy)) - np.repeat(np.cumsum(np.maximum(cells, 1)) - np.maximum(cells, 1), np.maximum(cells, 1))
-            pair = np.minimum(other, cell[copy]) * np.maximum(cells, 1)[copy] + np.maximum(other, cell[copy])
-            of, position, word, cell = of[copy], position[copy], word[copy], cell[copy]
-            columns = (word.astype(np.int64), pair, cell, ids[of], sign[of], docs[of], line[of], n[of], position)
+            cells = np.maximum(-(-crowd.value[word & (COUNTERS - 1)] // CELL), 1)
+            cell = (ids[of].view(np.uint64) % cells.astype(np.uint64)).astype(np.int64)
+            copy = np.repeat(np.arange(len(of)), cells)
+            other = np.arange(len(copy)) - np.repeat(np.cumsum(cells) - cells, cells)
+            own, cells = cell[copy], cells[copy]
+            pair = np.minimum(other, own) * cells + np.maximum(other, own)
+            of = of[copy]
+            shape = n[of] << 32 | position[copy] << 1 | (own > other)
+            columns = (word[copy] << 31 | pair, shape, ids[of], sign[of], docs[of])
             for a in range(0, len(of), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=NAMES)
 
     return tokenized.mapInArrow(work, ", ".join(f"{x} long" for x in NAMES))
 
 
-NAMES = ["word", "pair", "cell", "id", "sign", "doc", "line", "n", "position"]
+NAMES = ["key", "shape", "id", "sign", "doc"]
+
+
+def needed(size: np.ndarray) -> np.ndarray:
+    """The overlap that lines of a summed size must have."""
+    up, down = SIMILARITY
+    return -(-size * up // (up + down))
+
 
+def match_groups(key: np.ndarray, shape: np.ndarray, ids: np.ndarray, sign: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """later, earlier (ids) and more (candidates were left out) within runs of equal keys.
 
-def possible(r: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of rows (i before j) pass the length, position and signature filters."""
+    Rows of a key are put in order of size, so that those of fitting size are a
+    window before each row; of a pair, the row of the smaller doc_id is the
+    earlier, and both are if they share it.
+    """
     up, down = SIMILARITY
-    a, b = r["n"][i], r["n"][j]
-    ok = (np.minimum(a, b) * down >= np.maximum(a, b) * up) & (r["id"][i] != r["id"][j])
-    i, j, a, b, left = i[ok], j[ok], a[ok], b[ok], np.flatnonzero(ok)
-    need = -(-(a + b) * up // (up + down))
-    ok = 1 + np.minimum(a - r["position"][i], b - r["position"][j]) - 1 >= need
-    ok &= np.bitwise_count((r["sign"][i] ^ r["sign"][j]).view(np.uint64)) <= a + b - 2 * need
-    return left[ok]
-
-
-def match_groups(r: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """later, earlier (ids) and more (candidates were left out) within runs of equal groups, sorted by place."""
-    # the first place of each line in its group
-    order = np.lexsort((np.arange(len(r["id"])), r["id"], r["group"]))
-    first = np.concatenate([[True], (r["id"][order][1:] != r["id"][order][:-1]) | (r["group"][order][1:] != r["group"][order][:-1])])
-    keep = np.sort(order[first])
-    r = {k: v[keep] for k, v in r.items()}
-    group, n = r["group"], len(keep)
-    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    sizes = np.diff(edges)
-    run = np.repeat(sizes, sizes)
-    mixed = np.repeat(np.maximum.reduceat(r["cell"], edges[:-1]) != np.minimum.reduceat(r["cell"], edges[:-1]), sizes)
-    found = []
-    for step in range(1, min(SMALL, int(sizes.max(initial=1)))):
-        i = np.flatnonzero((group[step:] == group[:-step]) & (run[step:] <= SMALL))
-        found.append(np.stack([i, i + step])[:, possible(r, i, i + step)])
-    for k in np.flatnonzero(sizes > SMALL).tolist():
-        a, b = edges[k], edges[k + 1]
-        by_size = np.argsort(r["n"][a:b], kind="stable") + a
-        ordered = r["n"][by_size]
-        low = np.searchsorted(ordered, -(-r["n"][a:b] * SIMILARITY[0] // SIMILARITY[1]), "left")
-        high = np.searchsorted(ordered, r["n"][a:b] * SIMILARITY[1] // SIMILARITY[0], "right")
-        for j in range(a + 1, b):
-            i = by_size[low[j - a] : high[j - a]]
-            i = i[i < j]
-            if len(i):
-                i = np.sort(i[possible(r, i, np.full(len(i), j))])[: most + 1]
-                found.append(np.stack([i, np.full(len(i), j)]))
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else key
+    order = np.lexsort((shape >> 32, group))
+    group, shape, ids, sign, doc = (c[order] for c in (group, shape, ids, sign, doc))
+    n, position, side = shape >> 32, (shape & 0xFFFFFFFF) >> 1, shape & 1
+    place = group << 32 | n
+    low = np.searchsorted(place, group << 32 | -(-n * up // down), "left")
+    width = np.arange(len(n)) - low
+    split = (np.maximum.reduceat(side, h) != np.minimum.reduceat(side, h))[group] if len(h := np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))) and len(group) else np.zeros(0, bool)
+    upto, found = np.cumsum(width), []
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
+        w = width[a:b]
+        j = np.repeat(np.arange(a, b), w)
+        i = np.arange(len(j)) - np.repeat(np.cumsum(w) - w, w) + low[j]
+        size = n[i] + n[j]
+        need = needed(size)
+        ok = np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64)) <= size - 2 * need
+        i, j, need = i[ok], j[ok], need[ok]
+        ok = (np.minimum(n[i] - position[i], n[j] - position[j]) >= need) & (ids[i] != ids[j]) & (~split[i] | (side[i] != side[j]))
+        found.append(np.stack([i[ok], j[ok]]))
+        a = b
     i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    ok = ~mixed[i] | (r["cell"][i] != r["cell"][j])
-    i, j = i[ok], j[ok]
-    order = np.lexsort((i, j))
-    i, j = i[order], j[order]
-    heads = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])) if len(j) else np.zeros(0, int)
-    count = np.diff(np.append(heads, len(j)))
-    place = np.arange(len(j)) - np.repeat(heads, count)
-    ok = place < most
-    return r["id"][j[ok]], r["id"][i[ok]], np.repeat(count > most, count)[ok]
+    later, earlier = np.concatenate([j[doc[i] <= doc[j]], i[doc[j] <= doc[i]]]), np.concatenate([i[doc[i] <= doc[j]], j[doc[j] <= doc[i]]])
+    order = np.lexsort((ids[earlier], doc[earlier], later))
+    later, earlier = later[order], earlier[order]
+    heads = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else np.zeros(0, int)
+    count = np.diff(np.append(heads, len(later)))
+    ok = np.arange(len(later)) - np.repeat(heads, count) < most
+    return ids[later[ok]], ids[earlier[ok]], np.repeat(count > most, count)[ok]
 
 
-def candidates(rows: DataFrame, most: int = PARTNERS) -> DataFrame:
-    """later, earlier and more: pairs of line ids that may match."""
+def candidates(rows: DataFrame, most: int = PARTNERS, only=None, bits: int = 0) -> DataFrame:
+    """later, earlier and more: pairs of line ids that may match; only: a broadcast bitmap of the later ones wanted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(last: bool) -> pa.RecordBatch | None:
+        def flush(last: bool) -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            r = {c: table.column(c).to_numpy() for c in NAMES}
-            new = np.concatenate([[True], (r["word"][1:] != r["word"][:-1]) | (r["pair"][1:] != r["pair"][:-1])])
-            end = table.num_rows if last else int(np.flatnonzero(new)[-1])
+            r = [table.column(c).to_numpy() for c in NAMES]
+            end = table.num_rows if last else int(np.flatnonzero(np.concatenate([[True], r[0][1:] != r[0][:-1]]))[-1])
             held[:] = [b for b in table.slice(end).combine_chunks().to_batches() if b.num_rows]
-            if not end:
-                return None
-            r["group"] = np.cumsum(new)
-            later, earlier, more = match_groups({k: v[:end] for k, v in r.items()}, most)
-            return pa.RecordBatch.from_arrays([pa.array(later), pa.array(earlier), pa.array(more)], names=["later", "earlier", "more"])
+            found = match_groups(*(c[:end] for c in r), most)
+            if only is not None:
+                hit = in_table(found[0], only.value, bits)
+                found = tuple(c[hit] for c in found)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["later", "earlier", "more"])
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 if sum(b.num_rows for b in held) >= 400_000:
-                    out = flush(False)
-                    if out is not None:
-                        yield out
+                    yield flush(False)
         if held:
             yield flush(True)
 
-    dealt = rows.repartition("word", "pair").sortWithinPartitions("word", "pair", "doc", "line")
-    return dealt.mapInArrow(work, "later long, earlier long, more boolean")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, "later long, earlier long, more boolean")
 
 
 def bit_table(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -281,17 +289,23 @@ def bit_table(ids: DataFrame) -> tuple[np.ndarray, int]:
     size = min(MOST_BITS, max(1 << 16, 1 << int(8 * ids.count()).bit_length()))
     at = F.col("id").bitwiseAND(F.lit(size - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    found = ids.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toPandas()
+    found = ids.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
     out = np.zeros(size >> 6, np.uint64)
-    out[found["at"].to_numpy()] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out, size
 
 
+def in_table(ids: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    masked = ids & (bits - 1)
+    return (table[masked >> 6] >> (masked & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def lines(docs: DataFrame, wanted, bits: int) -> DataFrame:
-    """Every line with enough words: doc_id, line, id, k1 and k2 (a digest of its words) and, if its id is wanted, its words."""
+    """Every line with enough words: doc_id, line, id, k1 and k2 (a digest of its words) and, if its id is wanted, its words where a task first meets it."""
     names = ["doc_id", "line", "id", "k1", "k2", "words"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for part in blocks(batches):
             counts, line, number, hashes, words = word_table(part.column(1))
             n = np.bincount(line, minlength=int(counts.sum()))
@@ -303,23 +317,38 @@ def lines(docs: DataFrame, wanted, bits: int) -> DataFrame:
             starts = np.cumsum(n) - n
             ids = set_id(hashes.astype("<u4")[number], starts)
             k1, k2 = (summed(mix(hashes[number], s), starts).view(np.int64) for s in (1, 2))
-            masked = ids & (bits - 1)
-            hit = (wanted.value[masked >> 6] >> (masked & 63).astype(np.uint64)) & np.uint64(1) == 1
+            hit = in_table(ids, wanted.value, bits)
+            own: list[str | None] = [None] * len(n)
+            for k in np.flatnonzero(hit).tolist():
+                if k1[k] not in met:
+                    met.add(int(k1[k]))
+                    own[k] = " ".join([words[w] for w in number[starts[k] : starts[k] + n[k]].tolist()])
+            if len(met) > 500_000:
+                met.clear()
             for a in range(0, len(n), 20_000):
-                own = [[words[w] for w in number[s : s + m]] if h else None for s, m, h in zip(starts[a : a + 20_000], n[a : a + 20_000], hit[a : a + 20_000])]
-                columns = [part.column(0).take(pa.array(text_of[a : a + 20_000])), *(pa.array(c[a : a + 20_000]) for c in (line_no, ids, k1, k2)), pa.array(own, pa.list_(pa.string()))]
+                columns = [part.column(0).take(pa.array(text_of[a : a + 20_000])), *(pa.array(c[a : a + 20_000]) for c in (line_no, ids, k1, k2)), pa.array(own[a : a + 20_000], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, line long, id long, k1 long, k2 long, words array<string>")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, line long, id long, k1 long, k2 long, words string")
+
+
+def line_tables(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All lines; and each set of words with its first place, and as a string if a pair names it."""
+    table, bits = bit_table(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct())
+    every = stored(lines(docs, docs.sparkSession.sparkContext.broadcast(table), bits))
+    firsts = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("id").alias("id"), F.max("words").alias("words"))
+    return every, stored(firsts)
 
 
 def verified(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """later, k1 and k2 of lines whose words match those of an earlier one."""
     up, down = SIMILARITY
+    firsts = firsts.where("words is not null")
     one = firsts.select(F.col("id").alias("later"), "k1", "k2", F.col("first").alias("own"), F.col("words").alias("a"))
     two = firsts.select(F.col("id").alias("earlier"), F.col("first").alias("other"), F.col("words").alias("b"))
     both = pairs.join(one, "later").join(two, "earlier").where("other < own")
+    both = both.withColumn("a", F.split("a", " ")).withColumn("b", F.split("b", " "))
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * (up + down) >= F.lit(up) * (F.size("a") + F.size("b"))).select("later", "k1", "k2").distinct()
 
@@ -328,31 +357,24 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     """doc_id and line (from 0) of each line that an earlier one matches."""
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
-    tokenized = cut(tokenize(docs))
-    rarity = context.broadcast(counted(tokenized, lambda b: np.frombuffer(b"".join(b.column("tokens").to_pylist()), "<u4")))  # COUNTERS entries
+    tokenized = stored(tokenize(docs))
+    levels = context.broadcast(rarity_levels(counted(tokenized, lambda b: np.frombuffer(b"".join(b.column("tokens").to_pylist()), "<u4"))))  # COUNTERS entries
 
     def in_prefix(batch: pa.RecordBatch) -> np.ndarray:
         _, _, n, starts, tokens = lines_of(batch)
-        return prefixes(n, starts, tokens, rarity.value)[2]
+        return prefixes(n, starts, tokens, levels.value)[2]
 
     crowd = context.broadcast(counted(tokenized, in_prefix))
-    rows = prefix_rows(tokenized, rarity, crowd)
+    rows = prefix_rows(tokenized, levels, crowd)
     pairs = cut(candidates(rows).groupBy("later", "earlier").agg(F.max("more").alias("more")))
-    table, bits = bit_table(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct())
-    wanted = context.broadcast(table)
-    every = cut(lines(docs, wanted, bits))
-    firsts = cut(every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("id").alias("id"), F.first("words").alias("words")))
-    with_words = firsts.where("words is not null")
-    gone = cut(verified(pairs, with_words))
+    every, firsts = line_tables(docs, pairs)
+    gone = cut(verified(pairs, firsts))
     late = pairs.where("more").select("later").distinct().join(gone, "later", "left_anti")
-    if not late.isEmpty():
+    if not late.isEmpty():  # with all their candidates
         late = cut(late)
-        again = candidates(rows, most=2**31).join(late, "later", "left_semi").distinct().select("later", "earlier", F.lit(False).alias("more"))
-        again = cut(again)
-        table, bits = bit_table(again.select(F.explode(F.array("later", "earlier")).alias("id")).distinct())
-        more_words = context.broadcast(table)
-        found = lines(docs, more_words, bits).where("words is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("id").alias("id"), F.first("words").alias("words"))
-        gone = cut(gone.union(verified(again, cut(found))).distinct())
+        table, bits = bit_table(late.select(F.col("later").alias("id")))
+        again = cut(candidates(rows, 2**31, context.broadcast(table), bits).join(late, "later", "left_semi").select("later", "earlier").distinct())
+        gone = cut(gone.union(verified(again, line_tables(docs, again)[1])).distinct())
     near = gone.select("k1", "k2", F.lit(True).alias("near"))
     state = cut(firsts.select("k1", "k2", "first").join(near, ["k1", "k2"], "left"))
     place = F.struct("doc_id", "line")

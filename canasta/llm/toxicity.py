@@ -109,9 +109,9 @@ class Matcher:
         return found
 
 
-def learn(labelled: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[str, float], list[float]]:
-    """The lexicon and the curve from rows with text and toxic (0 or 1), at most `most` of them."""
-    sample = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic")).limit(most)
+def learn(labelled: DataFrame) -> tuple[dict[str, float], list[float]]:
+    """The lexicon and the curve from a bounded sample of rows with text and toxic (0 or 1)."""
+    sample = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
     # counts of a bounded sample: distinct folded words by document, then documents by word
     words = sample.select("toxic", "text").mapInArrow(_folded_words, "toxic int, word string")
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -132,7 +132,7 @@ def learn(labelled: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[str, flo
         .limit(MOST_ENTRIES)
     )
     lexicon = {r["word"]: float(r["weight"]) for r in counted.collect()}
-    held = score_parts(sample.withColumn("doc_id", F.lit(0)), lexicon, ("toxic",)).select("toxic", "hits", "density").toPandas()  # the bounded sample
+    held = score_parts(sample.withColumn("doc_id", F.lit(0)), lexicon, ("toxic",)).select("toxic", "hits", "density").toArrow().to_pandas()  # the bounded sample
     return lexicon, fit(held["hits"].to_numpy(), held["density"].to_numpy(), held["toxic"].to_numpy())
 
 
@@ -183,7 +183,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for all documents; labels of held-out rows are never read."""
     labelled = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taught = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)  # a bounded sample by hash, so its ids can be broadcast
-    lexicon, curve = learn(cut(docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("text", "toxic")))
+    sample = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # an id's rows count once
+    lexicon, curve = learn(cut(sample))
     parts = score_parts(docs, lexicon)
     z = F.lit(curve[0]) + F.lit(curve[1]) * F.log1p("hits") + F.lit(curve[2]) * F.log1p("density")
     scored = parts.withColumn("score", 1 / (1 + F.exp(-z)))

@@ -47,7 +47,8 @@ def test_dense_groups_in_cells_and_with_few_partners(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PARTNERS", 1)
     monkeypatch.setattr(line_dedup, "CELL", 20)
     assert removed(docs) == want
-    monkeypatch.setattr(line_dedup, "SMALL", 3)
+    monkeypatch.setattr(line_dedup, "LINES_AT_ONCE", 3)
+    monkeypatch.setattr(line_dedup, "PAIRS_AT_ONCE", 7)
     assert removed(docs) == want
 
 
