@@ -9,8 +9,8 @@ rows that neither learned from, by a curve of two parameters, and the views are
 added as log odds, weighed by how well each does there.
 
 Fitting uses at most ``MOST_LABELLED`` labelled and ``MOST_UNLABELLED``
-unlabelled rows, chosen by hash; all documents are measured and scored in
-Arrow batches, without a shuffle.
+unlabelled rows, chosen by hash; their ids are found first and broadcast, so no
+text is shuffled. All documents are measured and scored in Arrow batches.
 
 Defined results: null, empty and blank texts have all measures zero and are
 scored like any other; repeated rows score alike; without labelled rows of both
