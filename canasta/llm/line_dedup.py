@@ -7,13 +7,15 @@ each line's words are put in order of rarity. Two lines of Jaccard similarity
 each, so lines meet under those words alone. Pairs are discarded by length, by
 the overlap still possible after the shared word's positions, and by a parity
 signature whose differing bits are no more than the words that differ. What is
-left is verified on the words themselves. A line goes when an earlier line, by
+left is verified on the words, as 32-bit hashes: two of the few words in which
+a pair differs are taken for one in less than a ten-millionth of the pairs, and
+only a pair at the bound could then change. A line goes when an earlier line, by
 doc_id and line number, matches it, whether that line stays or not.
 
 Scale: equal lines meet as one (by a digest of their words). Words in the
 prefixes of more than ``CELL`` lines are divided into cells whose pairs are
 separate groups, so that no task holds a whole hot word. A line is sent on with
-its ``PARTNERS`` earliest candidates under a word; lines that have more, and
+its ``PARTNERS`` likeliest candidates under a word; lines that have more, and
 none that is verified, come again with all of them.
 
 Defined results: null and empty texts have no lines to remove; lines with fewer
@@ -32,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, release, stored
 
 SIMILARITY = (4, 5)  # 0.8 as a fraction, so that bounds are exact
 LEAST_WORDS = 5
@@ -41,7 +43,7 @@ PUNCTUATION = ".,;:!?\"'()[]"
 COUNTERS = 1 << 20
 MOST_BITS = 1 << 27
 CELL = 8_192
-PARTNERS = 8
+PARTNERS = 3
 #: Bounds of a task's memory: bytes of text, lines in one sort, pairs of rows looked at together.
 BLOCK_BYTES = 4_000_000
 LINES_AT_ONCE = 1 << 20
@@ -165,7 +167,14 @@ def prefixes(n: np.ndarray, starts: np.ndarray, tokens: np.ndarray, levels: np.n
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def prefix_rows(tokenized: DataFrame, levels, crowd) -> DataFrame:
+def prefix_of(batch: pa.RecordBatch, levels: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """The prefix words of the lines whose ids are in a bitmap."""
+    _, _, n, starts, tokens = lines_of(batch)
+    of, _, word = prefixes(n, starts, tokens, levels)
+    return word[in_table(set_id(tokens, starts), table, bits)[of]]
+
+
+def prefix_rows(tokenized: DataFrame, levels, crowd, only=None) -> DataFrame:
     """A row for each word in each line's prefix, dealt to pairs of cells where many lines share the word.
 
     levels and crowd: broadcast rarity levels of words, and counts of words over
@@ -190,7 +199,7 @@ def prefix_rows(tokenized: DataFrame, levels, crowd) -> DataFrame:
                 met.clear()
             of, position, word = prefixes(n, starts, tokens, levels.value)
             sign = summed(np.left_shift(np.uint64(1), mix(tokens, 7) & np.uint64(63)), starts, np.bitwise_xor).view(np.int64)
-            take = new[of]
+            take = new[of] if only is None else new[of] & only.value[word & (COUNTERS - 1)]
             of, position, word = of[take], position[take], word[take]
             cells = np.maximum(-(-crowd.value[word & (COUNTERS - 1)] // CELL), 1)
             cell = (ids[of].view(np.uint64) % cells.astype(np.uint64)).astype(np.int64)
@@ -241,14 +250,16 @@ def match_groups(key: np.ndarray, shape: np.ndarray, ids: np.ndarray, sign: np.n
         i = np.arange(len(j)) - np.repeat(np.cumsum(w) - w, w) + low[j]
         size = n[i] + n[j]
         need = needed(size)
-        ok = np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64)) <= size - 2 * need
-        i, j, need = i[ok], j[ok], need[ok]
+        apart = np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64)).astype(np.int64)
+        ok = apart <= size - 2 * need
+        i, j, need, apart = i[ok], j[ok], need[ok], apart[ok]
         ok = (np.minimum(n[i] - position[i], n[j] - position[j]) >= need) & (ids[i] != ids[j]) & (~split[i] | (side[i] != side[j]))
-        found.append(np.stack([i[ok], j[ok]]))
+        found.append(np.stack([i[ok], j[ok], apart[ok]]))
         a = b
-    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    later, earlier = np.concatenate([j[doc[i] <= doc[j]], i[doc[j] <= doc[i]]]), np.concatenate([i[doc[i] <= doc[j]], j[doc[j] <= doc[i]]])
-    order = np.lexsort((ids[earlier], doc[earlier], later))
+    i, j, apart = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    back, forth = doc[j] <= doc[i], doc[i] <= doc[j]
+    later, earlier, apart = np.concatenate([j[forth], i[back]]), np.concatenate([i[forth], j[back]]), np.concatenate([apart[forth], apart[back]])
+    order = np.lexsort((ids[earlier], apart, later))  # those that differ least first, as they match most likely
     later, earlier = later[order], earlier[order]
     heads = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else np.zeros(0, int)
     count = np.diff(np.append(heads, len(later)))
@@ -256,8 +267,9 @@ def match_groups(key: np.ndarray, shape: np.ndarray, ids: np.ndarray, sign: np.n
     return ids[later[ok]], ids[earlier[ok]], np.repeat(count > most, count)[ok]
 
 
-def candidates(rows: DataFrame, most: int = PARTNERS, only=None, bits: int = 0) -> DataFrame:
+def candidates(rows: DataFrame, most: int | None = None, only=None, bits: int = 0) -> DataFrame:
     """later, earlier and more: pairs of line ids that may match; only: a broadcast bitmap of the later ones wanted."""
+    most = most or PARTNERS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -300,57 +312,55 @@ def in_table(ids: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     return (table[masked >> 6] >> (masked & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def lines(docs: DataFrame, wanted, bits: int) -> DataFrame:
-    """Every line with enough words: doc_id, line, id, k1 and k2 (a digest of its words) and, if its id is wanted, its words where a task first meets it."""
-    names = ["doc_id", "line", "id", "k1", "k2", "words"]
+def lines(tokenized: DataFrame, wanted, bits: int) -> DataFrame:
+    """Every line with enough words: doc_id, line, id and k (two digests of its words) and, if its id is wanted, its words where a task first meets it."""
+    names = ["doc_id", "line", "id", "k", "words"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
-        for part in blocks(batches):
-            counts, line, number, hashes, words = word_table(part.column(1))
-            n = np.bincount(line, minlength=int(counts.sum()))
-            keep = n >= LEAST_WORDS
-            number = number[keep[line]]
-            text_of = np.repeat(np.arange(len(counts)), counts)[keep]
-            line_no = (np.arange(len(n)) - np.repeat(np.cumsum(counts) - counts, counts))[keep]
-            n = n[keep]
-            starts = np.cumsum(n) - n
-            ids = set_id(hashes.astype("<u4")[number], starts)
-            k1, k2 = (summed(mix(hashes[number], s), starts).view(np.int64) for s in (1, 2))
-            hit = in_table(ids, wanted.value, bits)
-            own: list[str | None] = [None] * len(n)
-            for k in np.flatnonzero(hit).tolist():
-                if k1[k] not in met:
-                    met.add(int(k1[k]))
-                    own[k] = " ".join([words[w] for w in number[starts[k] : starts[k] + n[k]].tolist()])
+        for batch in batches:
+            row, line, n, starts, tokens = lines_of(batch)
+            ids, k = set_id(tokens, starts), summed(mix(tokens, 1), starts).view(np.int64)
+            own: list[bytes | None] = [None] * len(n)
+            for at in np.flatnonzero(in_table(ids, wanted.value, bits)).tolist():
+                if ids[at] not in met:
+                    met.add(int(ids[at]))
+                    own[at] = np.sort(tokens[starts[at] : starts[at] + n[at]]).tobytes()
             if len(met) > 500_000:
                 met.clear()
             for a in range(0, len(n), 20_000):
-                columns = [part.column(0).take(pa.array(text_of[a : a + 20_000])), *(pa.array(c[a : a + 20_000]) for c in (line_no, ids, k1, k2)), pa.array(own[a : a + 20_000], pa.string())]
+                columns = [batch.column("doc_id").take(pa.array(row[a : a + 20_000])), *(pa.array(c[a : a + 20_000]) for c in (line, ids, k)), pa.array(own[a : a + 20_000], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, line long, id long, k1 long, k2 long, words string")
+    return tokenized.mapInArrow(work, f"doc_id {tokenized.schema['doc_id'].dataType.simpleString()}, line long, id long, k long, words binary")
 
 
-def line_tables(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines; and each set of words with its first place, and as a string if a pair names it."""
+def line_tables(tokenized: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All lines; and each set of words with its first place, and its words if a pair names it."""
     table, bits = bit_table(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct())
-    every = stored(lines(docs, docs.sparkSession.sparkContext.broadcast(table), bits))
-    firsts = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("id").alias("id"), F.max("words").alias("words"))
+    every = lines(tokenized, tokenized.sparkSession.sparkContext.broadcast(table), bits)
+    firsts = every.groupBy("id", "k").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("words").alias("words"))
     return every, stored(firsts)
 
 
 def verified(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """later, k1 and k2 of lines whose words match those of an earlier one."""
-    up, down = SIMILARITY
+    """later and k of lines whose words match those of an earlier one."""
     firsts = firsts.where("words is not null")
-    one = firsts.select(F.col("id").alias("later"), "k1", "k2", F.col("first").alias("own"), F.col("words").alias("a"))
+    one = firsts.select(F.col("id").alias("later"), "k", F.col("first").alias("own"), F.col("words").alias("a"))
     two = firsts.select(F.col("id").alias("earlier"), F.col("first").alias("other"), F.col("words").alias("b"))
-    both = pairs.join(one, "later").join(two, "earlier").where("other < own")
-    both = both.withColumn("a", F.split("a", " ")).withColumn("b", F.split("b", " "))
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared * (up + down) >= F.lit(up) * (F.size("a") + F.size("b"))).select("later", "k1", "k2").distinct()
+    both = pairs.select("later", "earlier").join(one, "later").join(two, "earlier").where("other < own").select("later", "k", "a", "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = SIMILARITY
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                shared = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
+                ok.append(shared * (up + down) >= up * (len(x) + len(y)))
+            yield batch.select(["later", "k"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(work, "later long, k long").distinct()
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
@@ -367,18 +377,23 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     crowd = context.broadcast(counted(tokenized, in_prefix))
     rows = prefix_rows(tokenized, levels, crowd)
     pairs = cut(candidates(rows).groupBy("later", "earlier").agg(F.max("more").alias("more")))
-    every, firsts = line_tables(docs, pairs)
+    release(docs.sparkSession)
+    every, firsts = line_tables(tokenized, pairs)
+    release(docs.sparkSession)
     gone = cut(verified(pairs, firsts))
     late = pairs.where("more").select("later").distinct().join(gone, "later", "left_anti")
     if not late.isEmpty():  # with all their candidates
         late = cut(late)
         table, bits = bit_table(late.select(F.col("later").alias("id")))
+        near_late = counted(tokenized, lambda b: prefix_of(b, levels.value, table, bits))
+        rows = prefix_rows(tokenized, levels, crowd, context.broadcast(near_late > 0))  # the words of their prefixes alone
         again = cut(candidates(rows, 2**31, context.broadcast(table), bits).join(late, "later", "left_semi").select("later", "earlier").distinct())
-        gone = cut(gone.union(verified(again, line_tables(docs, again)[1])).distinct())
-    near = gone.select("k1", "k2", F.lit(True).alias("near"))
-    state = cut(firsts.select("k1", "k2", "first").join(near, ["k1", "k2"], "left"))
+        gone = cut(gone.union(verified(again, line_tables(tokenized, again)[1])).distinct())
+    near = gone.select(F.col("later").alias("id"), "k", F.lit(True).alias("near"))
+    release(docs.sparkSession)
+    state = stored(firsts.select("id", "k", "first").join(near, ["id", "k"], "left"))
     place = F.struct("doc_id", "line")
-    return every.select("doc_id", "line", "k1", "k2").join(state, ["k1", "k2"]).where(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "line")
+    return every.select("doc_id", "line", "id", "k").join(state, ["id", "k"]).where(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "line")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -390,6 +405,7 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0, comma-joined) of each document."""
     counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     gone = cut(removals(docs)).withColumnRenamed("doc_id", "_doc")
+    release(docs.sparkSession)
     joined = counts.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("lines").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
@@ -397,6 +413,7 @@ def report(docs: DataFrame) -> DataFrame:
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that earlier ones match; n_chars follows where there is one."""
     gone = cut(removals(docs)).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_gone"))
+    release(docs.sparkSession)
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     own = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(own).cast("long") - 1), F.col("_gone"))
