@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Distinct words that a task holds at once, and bytes of text that it takes up at once.
-TABLE_ENTRIES = 500_000
-BLOCK_BYTES = 4_000_000
+TABLE_ENTRIES = 200_000
+BLOCK_BYTES = 1_000_000
 #: Longer words are segmented each time, so that the table stays small.
 LONGEST_KEPT = 200
 
