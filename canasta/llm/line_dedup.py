@@ -45,9 +45,9 @@ MOST_BITS = 1 << 27
 CELL = 8_192
 PARTNERS = 3
 #: Bounds of a task's memory: bytes of text, lines in one sort, pairs of rows looked at together.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 LINES_AT_ONCE = 1 << 20
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 19
 
 
 def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -288,7 +288,7 @@ def candidates(rows: DataFrame, most: int | None = None, only=None, bits: int =
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                if sum(b.num_rows for b in held) >= 400_000:
+                if sum(b.num_rows for b in held) >= 200_000:
                     yield flush(False)
         if held:
             yield flush(True)
