@@ -1,26 +1,28 @@
-"""Substring dedup by hashing the units of lines.
-
-A unit is a sentence of a line (what ends at ``.``, ``!``, ``?`` or the line's
-end), normalised to lower case without punctuation and with single spaces, so
-that a passage is found wherever it stands in a line. Digests of units are
-grouped globally; the occurrence with the smallest doc_id and offset stays.
-Later ones go where they stand in a run of repeated units of ``RUN_WORDS``
-words or more: short sentences that happen to be alike stay. Offsets are of the
-original text, in code points, end exclusive.
+"""Substring dedup by hashing units whose edges the words themselves set.
+
+A text is its words, lower-cased and without punctuation, whatever its lines
+and sentences. It is cut after each word whose hash, taken with the word before,
+is the least of some ``WINDOW`` words in a row, so that the cuts within a passage
+are the same wherever it stands but for those near its ends. A unit begins at a
+cut and ends at the first cut from ``RUN_WORDS`` words on. Cuts are at most
+``WINDOW`` words apart, so that a repeated passage of 51 words or more holds a
+whole unit in both places; what stays of it is near its ends. Digests of units are grouped globally; the
+occurrence with the smallest doc_id and offset stays and later ones go. A span is
+a run of repeated units; two may overlap where passages of two sources meet.
+Offsets are of the original text, in code points, end exclusive.
 
 Scale: a group of equal units is one row of a partial aggregate (its first
 place), then only units with a repeated digest meet it in a join of plain
 shuffles, of which adaptive execution splits a hot digest's.
 
-Defined results: null, empty and blank texts have no units; units without words
-are none; rows that share a doc_id count as one document, so none is removed
-for the other; repeats within a document go too; an empty table gives an empty
-result; extra columns pass through :func:`remove_spans`.
+Defined results: null, empty and blank texts and those under ``RUN_WORDS`` words
+have no units; rows that share a doc_id count as one document, so none is
+removed for the other; repeats within a document go too; an empty table gives an
+empty result; extra columns pass through :func:`remove_spans`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,43 +30,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
-UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RUN_WORDS = 20
+WINDOW = 8
 EMIT = 20_000
-
-
-def units_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+#: Bytes of words: white space, and what is neither it nor punctuation.
+WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+PLAIN = ~WHITE & ~np.isin(np.arange(256), list(PUNCTUATION))
+#: Powers of an odd number modulo 2^64, by position in a word.
+POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def words_of(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The normalised words, each followed by a space; where each ends there; and its start and end in the text."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    raw = low.encode("utf-8", "surrogatepass")
+    data = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(~WHITE[data], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    size = np.add.reduceat(PLAIN[data], starts, dtype=np.int64) if len(starts) else starts
+    starts, ends, size = starts[size > 0], ends[size > 0], size[size > 0]
+    if len(raw) != len(text):
+        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        starts, ends = at[starts], at[ends]
+    norm = b" ".join(raw.translate(None, PUNCTUATION).split()) + b" "
+    return norm, np.cumsum(size + 1), starts, ends
+
+
+def cuts(norm: bytes, upto: np.ndarray) -> np.ndarray:
+    """Numbers of words before each cut, with the text's two ends."""
+    n = len(upto)
+    if n < WINDOW:
+        return np.unique([0, n])
+    begins = np.concatenate([[0], upto[:-1]])
+    place = np.arange(len(norm)) - np.repeat(begins, upto - begins)
+    h = np.add.reduceat((np.frombuffer(norm, np.uint8) + np.uint64(1)) * POWERS[place & 63], begins)
+    h[1:] += h[:-1] * POWERS[2]  # single words are too often the same
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    windows = np.lib.stride_tricks.sliding_window_view((h ^ (h >> np.uint64(29)))[::-1], WINDOW)  # of equal words the last
+    return np.unique(np.concatenate([[0, n], n - (np.arange(len(windows)) + windows.argmin(axis=1))]))
+
+
+def units_of(text: str, run_words: int = RUN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
     """start, end, number of words and digest of each unit."""
     import xxhash
 
-    for m in UNIT.finditer(text):
-        words = m.group(0).lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).split()
-        if words:
-            raw = m.group(0)
-            yield m.start() + len(raw) - len(raw.lstrip(" \t")), m.end(), len(words), xxhash.xxh3_128_digest(b" ".join(words))
+    norm, upto, starts, ends = words_of(text)
+    if len(upto) < run_words:
+        return
+    edge = cuts(norm, upto)
+    last = np.searchsorted(edge, edge + run_words)
+    first, last = edge[last < len(edge)], edge[last[last < len(edge)]]
+    begins = np.concatenate([[0], upto])
+    for a, b, n, x, y in zip(starts[first].tolist(), ends[last - 1].tolist(), (last - first).tolist(), begins[first].tolist(), begins[last].tolist()):
+        yield a, b, n, xxhash.xxh3_128_digest(norm[x:y])
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, unit (from 0), start, end, words and the digest's halves h1 and h2."""
-    names = ["doc_id", "unit", "start", "end", "words", "h1", "h2"]
+def units(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """doc_id, unit (from 0), start, end and the digest's halves h1 and h2."""
+    names = ["doc_id", "unit", "start", "end", "h1", "h2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, rest, digests = [], [], []
 
             def made() -> pa.RecordBatch:
-                unit, start, end, words = np.array(rest, np.int32).reshape(-1, 4).T
+                unit, start, end = np.array(rest, np.int32).reshape(-1, 3).T
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                columns = [batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, (unit, start, end, words)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, (unit, start, end)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
                 return pa.RecordBatch.from_arrays(columns, names=names)
 
             for i in range(batch.num_rows):
-                for k, (start, end, words, digest) in enumerate(units_of(batch.column(1)[i].as_py() or "")):
+                for k, (start, end, _, digest) in enumerate(units_of(batch.column(1)[i].as_py() or "", run_words)):
                     row.append(i)
-                    rest.append((k, start, end, words))
+                    rest.append((k, start, end))
                     digests.append(digest)
                     if len(row) >= EMIT:
                         yield made()
@@ -72,18 +115,19 @@ def units(docs: DataFrame) -> DataFrame:
             if row:
                 yield made()
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit int, start int, end int, words int, h1 long, h2 long")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit int, start int, end int, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, n_removed (units) and spans (start and end, sorted) of each document with repeated passages."""
-    every = units(docs)
+    every = units(docs, run_words)
     place = F.struct("doc_id", "unit")
     firsts = cut(every.select("h1", "h2", place.alias("p")).groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").drop("last"))
-    later = cut(every.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "unit", "start", "end", "words").distinct())
+    release(docs.sparkSession)
+    later = cut(every.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "unit", "start", "end").distinct())
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
-    runs = later.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.count("*").alias("n"))
-    return runs.where(F.col("words") >= run_words).groupBy("doc_id").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    runs = later.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    return runs.groupBy("doc_id").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def report(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
@@ -91,11 +135,13 @@ def report(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     gone = cut(repeated_spans(docs, run_words)).withColumnRenamed("doc_id", "_doc")
     sizes = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
     joined = sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))  # characters so far, each once
+    more = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(s["end"], a["upto"]).alias("upto"))
     return joined.select(
         "doc_id",
         "n_chars",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0)).alias("removed_chars"),
+        F.coalesce(F.aggregate("spans", none, more)["n"], F.lit(0)).alias("removed_chars"),
         F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","), F.lit("")).alias("spans"),
     )
 

@@ -117,6 +117,24 @@ def test_passage_within_lines_is_found(spark):
     assert b - a > 0.85 * len(passage)
 
 
+def test_passage_of_51_words_amid_longer_sentences_is_found(spark):
+    passage = " ".join(f"p{i * i % 97}x{i}" for i in range(51))
+    rows = [(k, " ".join([*(f"a{k}b{i}" for i in range(k)), passage, *(f"c{k}d{i}" for i in range(40 - k))])) for k in range(1, 30)]
+    rows.append((40, rows[0][1].split(" ", 1)[1].replace(" ", "\n", 30)))  # other lines
+    got = spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(got) == {k for k, _ in rows[1:]}
+    for k, text in rows[1:]:
+        a, b = got[k][0]
+        flat = text.replace("\n", " ")
+        assert len(got[k]) == 1 and flat[a:b] in rows[0][1] and len(flat[a:b].split()) >= 20
+
+
+def test_sentences_that_repeat_apart_stay(spark):
+    said = [f"Sentence number {i} has some words in it." for i in range(12)]
+    rows = [(i, f"{s} Then follow quite other words of document {i * 7919}.") for i, s in enumerate(said)] + [(99, " ".join(reversed(said)))]
+    assert spans(spark.createDataFrame(rows, "doc_id long, text string")) == {}
+
+
 def test_odd_units(odd, empty):
     assert substring_dedup.report(odd).count() == odd.count()
     assert substring_dedup.report(empty).count() == 0
