@@ -48,7 +48,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.report(_documents(spark, sf_dir, "doc_id", "text"))
+    return substring_dedup.report(_documents(spark, sf_dir, "doc_id", "text"), whole_lines=True)
 
 
 def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

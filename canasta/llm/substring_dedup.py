@@ -9,7 +9,9 @@ cut and ends at the first cut from ``RUN_WORDS`` words on. Cuts are at most
 whole unit in both places; what stays of it is near its ends. Digests of units are grouped globally; the
 occurrence with the smallest doc_id and offset stays and later ones go. A span is
 a run of repeated units; two may overlap where passages of two sources meet.
-Offsets are of the original text, in code points, end exclusive.
+With ``whole_lines``, as in the query, a line whose words an earlier whole line
+has goes too, however short. Offsets are of the original text, in code points,
+end exclusive.
 
 Scale: a group of equal units is one row of a partial aggregate (its first
 place), then only units with a repeated digest meet it in a join of plain
@@ -24,6 +26,7 @@ empty result; extra columns pass through :func:`remove_spans`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RUN_WORDS = 20
 WINDOW = 8
 EMIT = 20_000
+#: Numbers of whole lines as units lie below those of others.
+FIRST_LINE = -(2**31)
 #: Bytes of words: white space, and what is neither it nor punctuation.
 WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 PLAIN = ~WHITE & ~np.isin(np.arange(256), list(PUNCTUATION))
@@ -90,8 +95,19 @@ def units_of(text: str, run_words: int = RUN_WORDS) -> Iterator[tuple[int, int,
         yield a, b, n, xxhash.xxh3_128_digest(norm[x:y])
 
 
-def units(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, unit (from 0), start, end and the digest's halves h1 and h2."""
+def lines_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+    """number, start, end and digest of each line that has words."""
+    import xxhash
+
+    at = 0
+    for k, line in enumerate(text.split("\n")):
+        if words := line.lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).split():
+            yield k, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), xxhash.xxh3_128_digest(b"\n" + b" ".join(words))
+        at += len(line) + 1
+
+
+def units(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
+    """doc_id, unit (from 0; of whole lines from FIRST_LINE), start, end and the digest's halves h1 and h2."""
     names = ["doc_id", "unit", "start", "end", "h1", "h2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +121,10 @@ def units(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
                 return pa.RecordBatch.from_arrays(columns, names=names)
 
             for i in range(batch.num_rows):
-                for k, (start, end, _, digest) in enumerate(units_of(batch.column(1)[i].as_py() or "", run_words)):
+                text = batch.column(1)[i].as_py() or ""
+                own = ((k, *unit[:2], unit[3]) for k, unit in enumerate(units_of(text, run_words)))
+                whole = ((FIRST_LINE + k, *line) for k, *line in lines_of(text)) if whole_lines else ()
+                for k, start, end, digest in chain(own, whole):
                     row.append(i)
                     rest.append((k, start, end))
                     digests.append(digest)
@@ -118,21 +137,29 @@ def units(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit int, start int, end int, h1 long, h2 long")
 
 
-def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, n_removed (units) and spans (start and end, sorted) of each document with repeated passages."""
-    every = units(docs, run_words)
+def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
+    """doc_id, n_removed (units) and spans (start and end, sorted) of each document with repeated passages.
+
+    With whole_lines also those of repeated lines, of any length; spans that overlap are then joined.
+    """
+    every = units(docs, run_words, whole_lines)
     place = F.struct("doc_id", "unit")
     firsts = cut(every.select("h1", "h2", place.alias("p")).groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").drop("last"))
     release(docs.sparkSession)
     later = cut(every.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "unit", "start", "end").distinct())
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
+    if whole_lines:
+        by_start = Window.partitionBy("doc_id").orderBy("start", "end", "unit")
+        before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+        later = later.withColumn("apart", F.coalesce(before < F.col("start"), F.lit(True)).cast("int"))
+        run = F.sum("apart").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
     runs = later.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
     return runs.groupBy("doc_id").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def report(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def report(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
     """doc_id, n_chars, n_removed (units), removed_chars and spans (start:end, comma-joined) of each document."""
-    gone = cut(repeated_spans(docs, run_words)).withColumnRenamed("doc_id", "_doc")
+    gone = cut(repeated_spans(docs, run_words, whole_lines)).withColumnRenamed("doc_id", "_doc")
     sizes = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
     joined = sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))  # characters so far, each once
@@ -146,9 +173,9 @@ def report(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def remove_spans(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
     """docs without their repeated passages."""
-    gone = cut(repeated_spans(docs, run_words)).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
+    gone = cut(repeated_spans(docs, run_words, whole_lines)).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
     ends = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
     starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text")))

@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-from canasta.llm import line_dedup, substring_dedup
+from canasta.llm import line_dedup, registry, substring_dedup
 
 PUNCT = line_dedup.PUNCTUATION
 
@@ -135,6 +135,24 @@ def test_sentences_that_repeat_apart_stay(spark):
     assert spans(spark.createDataFrame(rows, "doc_id long, text string")) == {}
 
 
+def test_whole_lines_go_whatever_their_length(spark, documents, texts, tmp_path):
+    passage = " ".join(f"p{i * i % 97}x{i}" for i in range(60))
+    rows = [(1, f"All rights reserved.\nFirst text here.\n{passage}"), (2, f"Other text.\n  all rights reserved\n{passage} and more"), (3, "It says: All rights reserved.\n--\nSubscribe\nSubscribe!"), (4, "--")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.QUERIES["op8_substring_dedup"](spark, str(tmp_path)).collect()}
+    pieces = {k: [text[int(a) : int(b)] for a, _, b in (s.partition(":") for s in got[k]["spans"].split(",") if s)] for k, text in rows}
+    assert pieces[1] == pieces[4] == [] and pieces[3] == ["Subscribe!"]
+    assert pieces[2][0] == "all rights reserved" and len(pieces[2]) == 2 and pieces[2][1] in passage
+    assert got[2]["removed_chars"] == sum(map(len, pieces[2]))
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.remove_spans(documents, whole_lines=True).collect()}
+    seen = set()
+    for key, text in sorted(texts.items()):
+        own = {digest: text[a:b] for _, a, b, digest in substring_dedup.lines_of(text or "")}
+        stay = [x.strip() for x in left[key].split("\n")]
+        assert all(stay.count(line) <= (digest not in seen) for digest, line in own.items())
+        seen |= set(own)
+
+
 def test_odd_units(odd, empty):
     assert substring_dedup.report(odd).count() == odd.count()
     assert substring_dedup.report(empty).count() == 0
