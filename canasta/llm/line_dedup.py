@@ -18,8 +18,8 @@ separate groups, so that no task holds a whole hot word. A line is sent on with
 its ``PARTNERS`` likeliest candidates under a word; lines that have more, and
 none that is verified, come again with all of them.
 
-Defined results: null and empty texts have no lines to remove; lines with fewer
-than ``LEAST_WORDS`` different words stay; rows that share a doc_id count as
+Defined results: null and empty texts have no lines to remove; lines without
+words stay; lines of one to three different words match equal sets alone; rows that share a doc_id count as
 one document; equal lines of one document match too, the first stays; an empty
 table gives an empty result; extra columns pass through :func:`remove_lines`.
 """
@@ -37,7 +37,11 @@ from pyspark.sql import functions as F
 from .common import cut, release, stored
 
 SIMILARITY = (4, 5)  # 0.8 as a fraction, so that bounds are exact
-LEAST_WORDS = 5
+LEAST_WORDS = 1
+#: Smaller lines match equal ones alone and have no prefix rows; a line of four words may match one of five.
+NEAR_WORDS = 4
+#: Lines up to this size are equal by 64-bit hashes of their words.
+SMALL = 4
 PUNCTUATION = ".,;:!?\"'()[]"
 #: Counters of words, and the most bits of the table of candidate lines.
 COUNTERS = 1 << 20
@@ -82,7 +86,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tokenize(docs: DataFrame) -> DataFrame:
-    """doc_id, sizes (of each line, 32-bit) and tokens (32-bit hashes of its distinct words, line after line)."""
+    """doc_id, sizes (of each line, 32-bit), tokens (32-bit hashes of its distinct words, line after line) and wide (a digest of each small line's words)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
@@ -93,9 +97,14 @@ def tokenize(docs: DataFrame) -> DataFrame:
             upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[at]
             sizes = [n[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
             own = [tokens[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "sizes", "tokens"])
+            small = (n > 0) & (n <= SMALL)
+            held = small[line]
+            digests = summed(mix(hashes[number[held]], 1), np.cumsum(n[small], dtype=np.int64) - n[small])
+            upto = np.concatenate([[0], np.cumsum(small)])[at]
+            wide = [digests[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.binary()) for c in (sizes, own, wide))], names=["doc_id", "sizes", "tokens", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sizes binary, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sizes binary, tokens binary, wide binary")
 
 
 def counted(df: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
@@ -133,14 +142,14 @@ def set_id(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return summed(mix(tokens, 0x9E3779B97F4A7C15), starts).view(np.int64)
 
 
-def lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+def lines_of(batch: pa.RecordBatch, least: int | None = None) -> tuple[np.ndarray, ...]:
     """Of tokenized rows: row, line number, size, first token and tokens of the lines with enough words."""
     sizes = [np.frombuffer(x, "<u4") for x in batch.column("sizes").to_pylist()]
     tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u4")
     n = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(sizes)), [len(s) for s in sizes])
     line = np.concatenate([np.arange(len(s)) for s in sizes]) if sizes else n
-    keep = n >= LEAST_WORDS
+    keep = n >= (least or LEAST_WORDS)
     held = tokens[np.repeat(keep, n)]
     n = n[keep]
     return row[keep], line[keep], n, np.cumsum(n) - n, held
@@ -169,7 +178,7 @@ def prefixes(n: np.ndarray, starts: np.ndarray, tokens: np.ndarray, levels: np.n
 
 def prefix_of(batch: pa.RecordBatch, levels: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """The prefix words of the lines whose ids are in a bitmap."""
-    _, _, n, starts, tokens = lines_of(batch)
+    _, _, n, starts, tokens = lines_of(batch, NEAR_WORDS)
     of, _, word = prefixes(n, starts, tokens, levels)
     return word[in_table(set_id(tokens, starts), table, bits)[of]]
 
@@ -185,7 +194,7 @@ def prefix_rows(tokenized: DataFrame, levels, crowd, only=None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, tuple] = {}
         for batch in batches:
-            row, line, n, starts, tokens = lines_of(batch)
+            row, line, n, starts, tokens = lines_of(batch, NEAR_WORDS)
             if not len(n):
                 continue
             ids = set_id(tokens, starts)
@@ -321,6 +330,7 @@ def lines(tokenized: DataFrame, wanted, bits: int) -> DataFrame:
         for batch in batches:
             row, line, n, starts, tokens = lines_of(batch)
             ids, k = set_id(tokens, starts), summed(mix(tokens, 1), starts).view(np.int64)
+            k[n <= SMALL] = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.int64)
             own: list[bytes | None] = [None] * len(n)
             for at in np.flatnonzero(in_table(ids, wanted.value, bits)).tolist():
                 if ids[at] not in met:
@@ -371,7 +381,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     levels = context.broadcast(rarity_levels(counted(tokenized, lambda b: np.frombuffer(b"".join(b.column("tokens").to_pylist()), "<u4"))))  # COUNTERS entries
 
     def in_prefix(batch: pa.RecordBatch) -> np.ndarray:
-        _, _, n, starts, tokens = lines_of(batch)
+        _, _, n, starts, tokens = lines_of(batch, NEAR_WORDS)
         return prefixes(n, starts, tokens, levels.value)[2]
 
     crowd = context.broadcast(counted(tokenized, in_prefix))

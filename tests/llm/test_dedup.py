@@ -52,6 +52,22 @@ def test_dense_groups_in_cells_and_with_few_partners(spark, monkeypatch):
     assert removed(docs) == want
 
 
+def test_lines_of_few_different_words_go(spark):
+    rows = [(1, "All rights reserved.\nMenu\n...\n\nno no yes " + "no yes " * 50), (2, "reserved all rights\nmenu!\n...\n\nyes no"), (3, "All rights\nMenus\nword of four here"), (4, "word of four here now\nword of four there"), (None, "Menu")]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string")) == {1: [1], 2: [0, 1, 4], 4: [0]} == brute_all(rows)
+
+
+def brute_all(rows):
+    gone, seen = defaultdict(list), []
+    for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for n, line in enumerate(text.split("\n")):
+            words = {w for w in (x.lower().strip(PUNCT) for x in line.split()) if w}
+            if words and any(5 * len(words & s) >= 4 * len(words | s) for s in seen):
+                gone[key].append(n)
+            seen.append(words)
+    return dict(gone)
+
+
 def test_removed_lines_leave_the_text(spark, documents, texts):
     gone = brute_lines(texts.items())
     out = line_dedup.remove_lines(documents)
