@@ -1,10 +1,11 @@
-"""What the corpus operators share: the word pattern, table access and lineage cuts."""
+"""What the corpus operators share: the word pattern, table access, stored steps and rows under names that cannot clash."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's own setting by which a finished query's shuffle files go at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,34 +27,69 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where the session names none, as in local tests."""
+    """The cluster's ``spark.checkpoint.dir``. A local session that names none gets a temporary folder; a cluster must name one."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(named)
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder and drop its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries that end in this block leave no shuffle files; what they computed must be stored by then."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder, for tables that are wide or read by few columns."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once as Parquet in the shared folder: a cut of its lineage, after which its shuffle files go."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once into the shared checkpoint folder and drop its lineage and shuffle files."""
+    shared_folder(df.sparkSession)
+    with shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now, not at the next collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``stored`` that nothing reads any more."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def own_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra ones with clashing names stay out."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, beside which an operator's own names cannot clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(row: str, names: Iterable[str], changed: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of a struct made by :func:`whole_row`, some of them replaced."""
+    changed = changed or {}
+    return [changed.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in names]
+
+
+def text_key(text: str = "text") -> Column:
+    """A digest of a text, which tells rows of one doc_id apart (null: like empty)."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

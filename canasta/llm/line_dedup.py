@@ -6,27 +6,32 @@ each line's words are put in order of rarity. Two lines of Jaccard similarity
 ``SIMILARITY`` or more share a word among the first ``n - ceil(t * n) + 1`` of
 each, so lines meet under those words alone. Pairs are discarded by length, by
 the overlap still possible after the shared word's positions, and by a parity
-signature whose differing bits are no more than the words that differ. What is
-left is verified on the words, as 32-bit hashes: two of the few words in which
-a pair differs are taken for one in less than a ten-millionth of the pairs, and
-only a pair at the bound could then change. A line goes when an earlier line, by
-doc_id and line number, matches it, whether that line stays or not.
-
-Scale: equal lines meet as one (by a digest of their words). Words in the
-prefixes of more than ``CELL`` lines are divided into cells whose pairs are
-separate groups, so that no task holds a whole hot word. A line is sent on with
-its ``PARTNERS`` likeliest candidates under a word; lines that have more, and
-none that is verified, come again with all of them.
+signature whose differing bits are no more than the words that differ. Of a
+later line the candidate that differs least is verified, on the words of the
+two texts themselves; lines whose candidate fails come again with all others. A
+line goes when an earlier line, by doc_id and line number, matches it, whether
+that line stays or not. Lines of equal words (by a 128-bit digest) need no
+candidates: all but the first place of a set go.
+
+Scale: a row for each word of a prefix is shuffled in packed blocks, by hash of
+the word, and each task gets a bounded number of rows. Words in the prefixes of
+more than ``CELL`` lines, counted exactly, are divided into cells whose pairs
+are separate groups, so that no task holds a whole hot word. A first round sends
+on one candidate a line and shared word at most. Places and texts are gathered
+for the lines in question alone, which a bitmap of bounded size picks.
 
 Defined results: null and empty texts have no lines to remove; lines without
-words stay; lines of one to three different words match equal sets alone; rows that share a doc_id count as
-one document; equal lines of one document match too, the first stays; an empty
-table gives an empty result; extra columns pass through :func:`remove_lines`.
+words stay; lines of one to three different words match equal sets alone; rows
+that share a doc_id are told apart by a digest of their text, which orders them
+(rows equal in both lose the same lines, and none to each other); null ids come
+first; ids of any type that Spark orders; equal lines of one document match too,
+the first stays; an empty table gives an empty result; extra columns of any name
+pass through :func:`remove_lines`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,30 +39,68 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, stored
+from .common import cut, forget, stored, text_key, unpacked, whole_row
 
 SIMILARITY = (4, 5)  # 0.8 as a fraction, so that bounds are exact
-LEAST_WORDS = 1
 #: Smaller lines match equal ones alone and have no prefix rows; a line of four words may match one of five.
 NEAR_WORDS = 4
-#: Lines up to this size are equal by 64-bit hashes of their words.
-SMALL = 4
 PUNCTUATION = ".,;:!?\"'()[]"
-#: Counters of words, and the most bits of the table of candidate lines.
+#: Counters of words, in slots that tasks send on whole, and the most bits of a table of line ids.
 COUNTERS = 1 << 20
+SLOT = 1 << 12
 MOST_BITS = 1 << 27
-CELL = 8_192
-PARTNERS = 3
-#: Bounds of a task's memory: bytes of text, lines in one sort, pairs of rows looked at together.
-BLOCK_BYTES = 2_000_000
-LINES_AT_ONCE = 1 << 20
+#: Lines that share a word without being divided; with so many prefix rows that over MOST_HOT words could have more, in proportion.
+CELL = 1 << 15
+MOST_HOT = 1 << 22
+#: Rows dealt to a block of words and to a task.
+BLOCK_ROWS = 100_000
+TASK_ROWS = 400_000
+#: Bounds of a task's memory: bytes of text, prefix rows held before they are dealt, pairs of rows looked at together.
+BLOCK_BYTES = 4_000_000
+ROWS_AT_ONCE = 1 << 20
 PAIRS_AT_ONCE = 1 << 19
+EMIT = 20_000
 
+#: A prefix row. shape: the position in the line, and in the lowest bit whether the row is of the second of two cells.
+ROW = np.dtype([("word", "<u4"), ("pair", "<u4"), ("n", "<u4"), ("shape", "<u4"), ("id", "<i8"), ("doc", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 
-def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Of some texts: lines by text; line and word number of each distinct word of a line; hash and string of each word number."""
-    import xxhash
 
+def mix(h: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit mixing function, for sums that name sets."""
+    x = h.astype(np.uint64) + np.uint64(salt)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def runs(values: np.ndarray, counts: np.ndarray, how=np.add) -> np.ndarray:
+    """how over each run of a column; runs of no values give 0."""
+    out = np.zeros(len(counts), values.dtype)
+    some = counts > 0
+    if some.any():
+        out[some] = how.reduceat(values, (np.cumsum(counts) - counts)[some])
+    return out
+
+
+def within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each run."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def word_hashes(names: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: a polynomial of its bytes, mixed."""
+    names = names.cast(pa.large_string())
+    if not len(names):
+        return np.zeros(0, np.uint64)
+    at = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.uint64)
+    size = np.diff(at)
+    powers = np.cumprod(np.full(max(1, int(size.max())), 0x9E3779B97F4A7C15, np.uint64))
+    return mix(runs((data + np.uint64(1)) * powers[within(size)], size), 1)
+
+
+def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts: lines by text; line and word number of each distinct word of a line; hash of each word number."""
     lines = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
     counts = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
     parts = pc.ascii_split_whitespace(lines.flatten())
@@ -65,167 +108,226 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     coded = parts.flatten().dictionary_encode()
     plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), characters=PUNCTUATION).dictionary_encode()
     number = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-    names = plain.dictionary.to_pylist()
     pairs = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | number)
     pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-    if "" in names:
-        pairs = pairs[pairs & 0xFFFFFFFF != names.index("")]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in names), np.uint64, len(names))
-    return counts, pairs >> 32, pairs & 0xFFFFFFFF, hashes, names
+    if (none := pc.index(plain.dictionary, "").as_py()) >= 0:
+        pairs = pairs[pairs & 0xFFFFFFFF != none]
+    return counts, pairs >> 32, pairs & 0xFFFFFFFF, word_hashes(plain.dictionary)
+
+
+def set_ids(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 128-bit name of each line's set of words, as two columns."""
+    return np.stack([runs(mix(hashes, 0x9E3779B97F4A7C15), n), runs(mix(hashes, 0xC2B2AE3D27D4EB4F), n)], axis=1).view(np.int64)
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of batches (doc_id, text) of bounded size, or of one text."""
+def blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with texts of bounded size, or one text."""
     for batch in batches:
         if batch.num_rows:
-            bytes_ = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            bytes_ = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
             block = np.cumsum(bytes_, dtype=np.int64) // BLOCK_BYTES
             edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges[:-1], edges[1:]):
                 yield batch.slice(a, b - a)
 
 
-def tokenize(docs: DataFrame) -> DataFrame:
-    """doc_id, sizes (of each line, 32-bit), tokens (32-bit hashes of its distinct words, line after line) and wide (a digest of each small line's words)."""
+def parted(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The bytes of each run of a column."""
+    at = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    return pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
-            counts, line, number, hashes, _ = word_table(part.column(1))
-            n = np.bincount(line, minlength=int(counts.sum())).astype("<u4")
-            tokens = hashes.astype("<u4")[number]
-            at = np.concatenate([[0], np.cumsum(counts)])
-            upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[at]
-            sizes = [n[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            own = [tokens[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])]
-            small = (n > 0) & (n <= SMALL)
-            held = small[line]
-            digests = summed(mix(hashes[number[held]], 1), np.cumsum(n[small], dtype=np.int64) - n[small])
-            upto = np.concatenate([[0], np.cumsum(small)])[at]
-            wide = [digests[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.binary()) for c in (sizes, own, wide))], names=["doc_id", "sizes", "tokens", "wide"])
-
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sizes binary, tokens binary, wide binary")
-
-
-def counted(df: DataFrame, of_batch: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """A table of COUNTERS counts, summed over all rows; of_batch gives the tokens of a batch."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse: all values, and how many each row has."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), kind), np.fromiter((len(v) for v in values), np.int64, len(values)) // np.dtype(kind).itemsize
+
+
+def counted(df: DataFrame, numbers) -> np.ndarray:
+    """COUNTERS counts summed over all rows; numbers gives the counters that a batch touches."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            total += np.bincount(of_batch(batch) & (COUNTERS - 1), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 100_000):
-            part = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["at", "n"])
-
-    found = df.mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
-    out = np.zeros(COUNTERS, np.int64)
-    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return out
+            total += np.bincount(numbers(batch) & (COUNTERS - 1), minlength=COUNTERS)
+        yield from slots(total.reshape(-1, SLOT))
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[slot] = total.get(slot, 0) + np.frombuffer(part, np.int64)
+        yield from slots(np.stack(list(total.values())), list(total)) if total else ()
 
-def mix(h: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit mixing function, for sums that name sets."""
-    x = h.astype(np.uint64) + np.uint64(salt)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+    def slots(rows: np.ndarray, numbers: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+        kept = [(k, r.tobytes()) for k, r in zip(numbers or range(len(rows)), rows) if r.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int32()), pa.array([r for _, r in kept], pa.binary())], names=["slot", "counts"])
 
-def summed(values: np.ndarray, starts: np.ndarray, how=np.add) -> np.ndarray:
-    return how.reduceat(values, starts) if len(starts) else values[:0]
+    found = df.mapInArrow(count, "slot int, counts binary").repartition("slot").mapInArrow(add, "slot int, counts binary").toArrow()  # COUNTERS counts at most
+    out = np.zeros((COUNTERS // SLOT, SLOT), np.int64)
+    for slot, part in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+        out[slot] = np.frombuffer(part, np.int64)
+    return out.reshape(-1)
 
 
-def set_id(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each line's tokens, whatever their order."""
-    return summed(mix(tokens, 0x9E3779B97F4A7C15), starts).view(np.int64)
+def word_counts(docs: DataFrame) -> np.ndarray:
+    """How many lines hold the words of each counter."""
 
+    def numbers(batch: pa.RecordBatch) -> np.ndarray:
+        found = [np.zeros(0, np.int64)]
+        for part in blocks(iter([batch]), 0):
+            _, _, number, hashes = word_table(part.column(0))
+            found.append(hashes.astype("<u4")[number].astype(np.int64))
+        return np.concatenate(found)
 
-def lines_of(batch: pa.RecordBatch, least: int | None = None) -> tuple[np.ndarray, ...]:
-    """Of tokenized rows: row, line number, size, first token and tokens of the lines with enough words."""
-    sizes = [np.frombuffer(x, "<u4") for x in batch.column("sizes").to_pylist()]
-    tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u4")
-    n = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(sizes)), [len(s) for s in sizes])
-    line = np.concatenate([np.arange(len(s)) for s in sizes]) if sizes else n
-    keep = n >= (least or LEAST_WORDS)
-    held = tokens[np.repeat(keep, n)]
-    n = n[keep]
-    return row[keep], line[keep], n, np.cumsum(n) - n, held
+    return counted(docs.select("text"), numbers)
 
 
 def rarity_levels(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of 1024 steps."""
-    return np.minimum(1023, 25 * np.log2(1 + counts)).astype(np.uint64)
+    return np.minimum(1023, 25 * np.log2(1 + counts)).astype(np.uint16)
 
 
-def prefixes(n: np.ndarray, starts: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the line, position and token of each word in a prefix, the rarest words first, then by hash."""
+def prefix_sizes(n: np.ndarray) -> np.ndarray:
+    """How many of a line's words are its prefix; none of a small line's."""
     up, down = SIMILARITY
-    out = []
-    for a in range(0, len(n), LINES_AT_ONCE):
-        own = n[a : a + LINES_AT_ONCE]
-        words = tokens[starts[a] : starts[a] + own.sum()]
-        ordered = np.repeat(np.arange(len(own), dtype=np.uint64), own) << np.uint64(42) | levels[words & (COUNTERS - 1)] << np.uint64(32) | words
-        ordered.sort()
-        position = np.arange(len(ordered)) - np.repeat(np.cumsum(own) - own, own)
-        within = position < np.repeat(own - -(-up * own // down) + 1, own)
-        taken = ordered[within]
-        out.append(((taken >> np.uint64(42)).astype(np.int64) + a, position[within], (taken & np.uint64(0xFFFFFFFF)).astype(np.int64)))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def prefix_of(batch: pa.RecordBatch, levels: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    """The prefix words of the lines whose ids are in a bitmap."""
-    _, _, n, starts, tokens = lines_of(batch, NEAR_WORDS)
-    of, _, word = prefixes(n, starts, tokens, levels)
-    return word[in_table(set_id(tokens, starts), table, bits)[of]]
-
-
-def prefix_rows(tokenized: DataFrame, levels, crowd, only=None) -> DataFrame:
-    """A row for each word in each line's prefix, dealt to pairs of cells where many lines share the word.
-
-    levels and crowd: broadcast rarity levels of words, and counts of words over
-    prefixes. key holds word and pair; shape the line's size, the word's position
-    and whether the row is of the second of two cells.
-    """
+    return np.where(n >= NEAR_WORDS, n - -(-up * n // down) + 1, 0)
+
+
+def order_key(ids: pa.Array) -> np.ndarray:
+    """Longs in the order of the ids; ids with equal longs may be in any order."""
+    if pa.types.is_integer(ids.type):
+        return pc.fill_null(ids.cast(pa.int64()), -(2**63)).to_numpy(zero_copy_only=False)
+    if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type):
+        heads = [(x or "").encode()[:8].ljust(8, b"\0") for x in ids.to_pylist()]
+        return (np.frombuffer(b"".join(heads), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    return np.zeros(len(ids), np.int64)
+
+
+def prefix_table(docs: DataFrame, levels) -> DataFrame:
+    """doc_id, d (a digest of the text), doc (an order key) and by line n (distinct words), ids (16 bytes), signs (16 bytes) and words (of its prefix, the rarest first, then by hash)."""
+    names = ["doc_id", "d", "doc", "n", "ids", "signs", "words"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: dict[int, tuple] = {}
-        for batch in batches:
-            row, line, n, starts, tokens = lines_of(batch, NEAR_WORDS)
-            if not len(n):
-                continue
-            ids = set_id(tokens, starts)
-            docs = np.array([-(2**63) if d is None else d for d in batch.column("doc_id").to_pylist()], np.int64)[row]
-            # equal lines that a task has met go on once, unless an earlier one comes
-            new = np.zeros(len(n), bool)
-            for k, (i, place) in enumerate(zip(ids.tolist(), zip(docs.tolist(), line.tolist()))):
-                if i not in met or place < met[i]:
-                    met[i], new[k] = place, True
-            if len(met) > 500_000:
-                met.clear()
-            of, position, word = prefixes(n, starts, tokens, levels.value)
-            sign = summed(np.left_shift(np.uint64(1), mix(tokens, 7) & np.uint64(63)), starts, np.bitwise_xor).view(np.int64)
-            take = new[of] if only is None else new[of] & only.value[word & (COUNTERS - 1)]
-            of, position, word = of[take], position[take], word[take]
-            cells = np.maximum(-(-crowd.value[word & (COUNTERS - 1)] // CELL), 1)
-            cell = (ids[of].view(np.uint64) % cells.astype(np.uint64)).astype(np.int64)
-            copy = np.repeat(np.arange(len(of)), cells)
-            other = np.arange(len(copy)) - np.repeat(np.cumsum(cells) - cells, cells)
-            own, cells = cell[copy], cells[copy]
-            pair = np.minimum(other, own) * cells + np.maximum(other, own)
-            of = of[copy]
-            shape = n[of] << 32 | position[copy] << 1 | (own > other)
-            columns = (word[copy] << 31 | pair, shape, ids[of], sign[of], docs[of])
-            for a in range(0, len(of), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=NAMES)
-
-    return tokenized.mapInArrow(work, ", ".join(f"{x} long" for x in NAMES))
-
-
-NAMES = ["key", "shape", "id", "sign", "doc"]
+        for part in blocks(batches, 2):
+            counts, line, number, hashes = word_table(part.column(2))
+            n = np.bincount(line, minlength=int(counts.sum()))
+            h = hashes[number]
+            word = h.astype("<u4")
+            ordered = line.astype(np.uint64) << np.uint64(42) | levels.value[word & np.uint32(COUNTERS - 1)].astype(np.uint64) << np.uint64(32) | word
+            ordered.sort()
+            own = prefix_sizes(n)
+            words = ordered[within(n) < np.repeat(own, n)].astype("<u4")
+            bit = mix(h, 7) & np.uint64(127)
+            one = np.left_shift(np.uint64(1), bit & np.uint64(63))
+            signs = np.stack([runs(np.where(bit < 64, one, np.uint64(0)), n, np.bitwise_xor), runs(np.where(bit < 64, np.uint64(0), one), n, np.bitwise_xor)], axis=1)
+            of = np.repeat(np.arange(len(counts)), counts)
+            columns = (parted(n.astype("<u4"), counts), parted(set_ids(h, n), counts), parted(signs, counts), parted(words, np.bincount(of, own, len(counts)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(order_key(part.column(0))), *columns], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key().alias("d"), "text").mapInArrow(work, f"doc_id {kind}, d long, doc long, n binary, ids binary, signs binary, words binary")
+
+
+class Lines:
+    """The lines of rows of a prefix table that may have near matches, equal ones of one order key once; words: of their prefixes, line after line."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches)
+        n, counts = joined(table.column("n"), "<u4")
+        n = n.astype(np.int64)
+        doc = np.repeat(table.column("doc").to_numpy(), counts)
+        ids, signs = joined(table.column("ids"), "<i8")[0].reshape(-1, 2)[:, 0], joined(table.column("signs"), "<u8")[0].reshape(-1, 2)
+        words = joined(table.column("words"), "<u4")[0]
+        own = prefix_sizes(n)
+        order = np.lexsort((doc, ids))
+        first = np.zeros(len(n), bool)
+        first[order[np.concatenate([[True], np.diff(ids[order]) != 0])] if len(order) else order] = True
+        first &= own > 0
+        self.words = words[np.repeat(first, own)]
+        self.n, self.doc, self.ids, self.signs, self.own = (c[first] for c in (n, doc, ids, signs, own))
+
+    def expanded(self) -> np.ndarray:
+        """A row for each word of each prefix."""
+        out = np.empty(len(self.words), ROW)
+        of = np.repeat(np.arange(len(self.n)), self.own)
+        out["word"], out["n"], out["shape"], out["pair"] = self.words, self.n[of], within(self.own) << 1, 0
+        out["id"], out["doc"], out["s0"], out["s1"] = self.ids[of], self.doc[of], self.signs[of, 0], self.signs[of, 1]
+        return out
+
+
+def line_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
+    """The lines of a prefix table's rows, so many rows at once that memory is bounded."""
+    held, size = [], 0
+    for batch in batches:
+        bytes_ = np.cumsum(pc.binary_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
+        cut_at = np.flatnonzero(np.diff(bytes_ // (4 * ROWS_AT_ONCE))) + 1
+        for a, b in zip([0, *cut_at.tolist()], [*cut_at.tolist(), batch.num_rows]):
+            if b > a:
+                held.append(batch.slice(a, b - a))
+                size += int(bytes_[b - 1] - (bytes_[a - 1] if a else 0))
+            if size >= 4 * ROWS_AT_ONCE:
+                yield Lines(held)
+                held, size = [], 0
+    if held:
+        yield Lines(held)
+
+
+def hot_words(prefixed: DataFrame, crowd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in the prefixes of more lines than a cell may have (sorted), and their numbers of cells."""
+    spark = prefixed.sparkSession
+    cell = max(CELL, -(-int(crowd.sum()) // MOST_HOT))  # so at most MOST_HOT words
+    suspect = spark.sparkContext.broadcast(np.packbits(crowd > cell))
+    if not (crowd > cell).any():
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.unpackbits(suspect.value).astype(bool)
+        for lines in line_blocks(batches):
+            word, n = np.unique(lines.words[often[lines.words & np.uint32(COUNTERS - 1)]], return_counts=True)
+            for a in range(0, len(word), EMIT):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + EMIT].astype(np.int64)) for c in (word, n)], names=["word", "n"])
+
+    found = prefixed.mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > cell).orderBy("word").toArrow()
+    return found.column(0).to_numpy().astype(np.uint32), -(-found.column(1).to_numpy() // cell).astype(np.uint32)
+
+
+def dealt_rows(rows: np.ndarray, hot: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Rows of hot words once for each pair of cells that they are in."""
+    if not len(hot):
+        return rows
+    at = np.minimum(np.searchsorted(hot, rows["word"]), len(hot) - 1)
+    many = np.where(hot[at] == rows["word"], cells[at], 1).astype(np.int64)
+    cell = (rows["id"].view(np.uint64) % many.astype(np.uint64)).astype(np.int64)
+    out, other, cell, many = np.repeat(rows, many), within(many), np.repeat(cell, many), np.repeat(many, many)
+    out["pair"] = np.minimum(other, cell) * many + np.maximum(other, cell)
+    out["shape"] |= (cell > other).astype(np.uint32)
+    return out
+
+
+def prefix_rows(prefixed: DataFrame, hot, count: int, crowd=None, only=None) -> DataFrame:
+    """block and rows: prefix rows, packed by hash of word and cells into so many blocks. crowd: of lines by counter, as words of one line meet none; only: the counters wanted."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines in line_blocks(batches):
+            rows = lines.expanded()
+            at = rows["word"] & np.uint32(COUNTERS - 1)
+            rows = dealt_rows(rows[(only.value if only is not None else crowd.value)[at]], *hot.value)
+            block = (mix(rows["word"].astype(np.uint64) << np.uint64(32) | rows["pair"], 3) % np.uint64(count)).astype(np.int64)
+            order = np.lexsort((rows["word"], block))
+            rows, block = rows[order], block[order]
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else block
+            for a in range(0, len(edges), 64):
+                own = edges[a : a + 65].tolist() + ([len(rows)] if a + 65 > len(edges) else [])
+                packed = [rows[x:y].view(np.uint8).reshape(-1, ROW.itemsize).T.tobytes() for x, y in zip(own[:-1], own[1:])]  # byte by byte, so that equal high bytes compress
+                yield pa.RecordBatch.from_arrays([pa.array(block[own[:-1]]), pa.array(packed, pa.binary())], names=["block", "rows"])
+
+    return prefixed.mapInArrow(work, "block long, rows binary")
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    parts = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(ROW.itemsize, -1).T).view(ROW).ravel() for p in packed]
+    return np.concatenate(parts) if parts else np.zeros(0, ROW)
 
 
 def needed(size: np.ndarray) -> np.ndarray:
@@ -234,80 +336,87 @@ def needed(size: np.ndarray) -> np.ndarray:
     return -(-size * up // (up + down))
 
 
-def match_groups(key: np.ndarray, shape: np.ndarray, ids: np.ndarray, sign: np.ndarray, doc: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """later, earlier (ids) and more (candidates were left out) within runs of equal keys.
+def match_groups(rows: np.ndarray, best: bool) -> tuple[np.ndarray, ...]:
+    """later, earlier (ids), apart and more of pairs under a word that may match; best: of each later line the one that differs least, and whether there are more.
 
-    Rows of a key are put in order of size, so that those of fitting size are a
-    window before each row; of a pair, the row of the smaller doc_id is the
+    Rows of a word are put in order of size, so that those of fitting size are a
+    window before each row; of a pair, the row of the smaller order key is the
     earlier, and both are if they share it.
     """
     up, down = SIMILARITY
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else key
-    order = np.lexsort((shape >> 32, group))
-    group, shape, ids, sign, doc = (c[order] for c in (group, shape, ids, sign, doc))
-    n, position, side = shape >> 32, (shape & 0xFFFFFFFF) >> 1, shape & 1
-    place = group << 32 | n
-    low = np.searchsorted(place, group << 32 | -(-n * up // down), "left")
+    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int16), np.zeros(0, bool))
+    if not len(rows):
+        return none
+    rows = rows[np.lexsort((rows["doc"], rows["id"], rows["n"], rows["pair"], rows["word"]))]
+    same = (rows["word"][1:] == rows["word"][:-1]) & (rows["pair"][1:] == rows["pair"][:-1])
+    # equal lines of other tasks: the earliest stands for all
+    rows = rows[np.concatenate([[True], ~(same & (rows["id"][1:] == rows["id"][:-1]) & (rows["n"][1:] == rows["n"][:-1]))])]
+    key = rows["word"].astype(np.uint64) << np.uint64(32) | rows["pair"]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(head) - 1
+    n, position, side = rows["n"].astype(np.int64), (rows["shape"] >> 1).astype(np.int64), rows["shape"] & 1
+    ids, doc, s0, s1 = (np.ascontiguousarray(rows[c]) for c in ("id", "doc", "s0", "s1"))
+    heads = np.flatnonzero(head)
+    split = (np.maximum.reduceat(side, heads) != np.minimum.reduceat(side, heads))[group]
+    low = np.searchsorted(group << 32 | n, group << 32 | -(-n * up // down), "left")
     width = np.arange(len(n)) - low
-    split = (np.maximum.reduceat(side, h) != np.minimum.reduceat(side, h))[group] if len(h := np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))) and len(group) else np.zeros(0, bool)
     upto, found = np.cumsum(width), []
     a = 0
     while a < len(n):
         b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
-        w = width[a:b]
-        j = np.repeat(np.arange(a, b), w)
-        i = np.arange(len(j)) - np.repeat(np.cumsum(w) - w, w) + low[j]
+        j = np.repeat(np.arange(a, b), width[a:b])
+        i = within(width[a:b]) + low[j]
         size = n[i] + n[j]
         need = needed(size)
-        apart = np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64)).astype(np.int64)
-        ok = apart <= size - 2 * need
+        apart = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int16) + np.bitwise_count(s1[i] ^ s1[j])
+        ok = np.flatnonzero(apart <= size - 2 * need)
         i, j, need, apart = i[ok], j[ok], need[ok], apart[ok]
         ok = (np.minimum(n[i] - position[i], n[j] - position[j]) >= need) & (ids[i] != ids[j]) & (~split[i] | (side[i] != side[j]))
-        found.append(np.stack([i[ok], j[ok], apart[ok]]))
+        found.append((i[ok], j[ok], apart[ok]))
         a = b
-    i, j, apart = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    i, j, apart = (np.concatenate(c) for c in zip(*found))
     back, forth = doc[j] <= doc[i], doc[i] <= doc[j]
-    later, earlier, apart = np.concatenate([j[forth], i[back]]), np.concatenate([i[forth], j[back]]), np.concatenate([apart[forth], apart[back]])
-    order = np.lexsort((ids[earlier], apart, later))  # those that differ least first, as they match most likely
-    later, earlier = later[order], earlier[order]
-    heads = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else np.zeros(0, int)
-    count = np.diff(np.append(heads, len(later)))
-    ok = np.arange(len(later)) - np.repeat(heads, count) < most
-    return ids[later[ok]], ids[earlier[ok]], np.repeat(count > most, count)[ok]
+    later, earlier, apart = ids[np.concatenate([j[forth], i[back]])], ids[np.concatenate([i[forth], j[back]])], np.concatenate([apart[forth], apart[back]]).astype(np.int16)
+    if not len(later):
+        return none
+    order = np.lexsort((earlier, apart, later))
+    later, earlier, apart = later[order], earlier[order], apart[order]
+    if not best:
+        return later, earlier, apart, np.zeros(len(later), bool)
+    head = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
+    more = np.maximum.reduceat(earlier, head) != np.minimum.reduceat(earlier, head)
+    return later[head], earlier[head], apart[head], more
 
 
-def candidates(rows: DataFrame, most: int | None = None, only=None, bits: int = 0) -> DataFrame:
-    """later, earlier and more: pairs of line ids that may match; only: a broadcast bitmap of the later ones wanted."""
-    most = most or PARTNERS
+def candidates(rows: DataFrame, parts: int, best: bool = True, only=None, bits: int = 0) -> DataFrame:
+    """later, earlier, apart and more: pairs of line ids that may match; only: a broadcast bitmap of the later ones wanted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(last: bool) -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            r = [table.column(c).to_numpy() for c in NAMES]
-            end = table.num_rows if last else int(np.flatnonzero(np.concatenate([[True], r[0][1:] != r[0][:-1]]))[-1])
-            held[:] = [b for b in table.slice(end).combine_chunks().to_batches() if b.num_rows]
-            found = match_groups(*(c[:end] for c in r), most)
+        at, held = None, []
+
+        def matched() -> Iterator[pa.RecordBatch]:
+            found = match_groups(unpack(held), best)
+            held.clear()
             if only is not None:
                 hit = in_table(found[0], only.value, bits)
                 found = tuple(c[hit] for c in found)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["later", "earlier", "more"])
+            for a in range(0, len(found[0]), EMIT):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + EMIT]) for c in found], names=["later", "earlier", "apart", "more"])
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                if sum(b.num_rows for b in held) >= 200_000:
-                    yield flush(False)
-        if held:
-            yield flush(True)
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if block != at:
+                    yield from matched()
+                    at = block
+                held.append(packed.as_py())
+        yield from matched()
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, "later long, earlier long, more boolean")
+    return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(work, "later long, earlier long, apart short, more boolean")
 
 
 def bit_table(ids: DataFrame) -> tuple[np.ndarray, int]:
     """A bitmap of ids (column id), 64 bits an entry, of bounded size, and its number of bits."""
-    size = min(MOST_BITS, max(1 << 16, 1 << int(8 * ids.count()).bit_length()))
+    size = min(MOST_BITS, max(1 << 20, 1 << int(64 * ids.count()).bit_length()))
     at = F.col("id").bitwiseAND(F.lit(size - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
     found = ids.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
@@ -321,116 +430,172 @@ def in_table(ids: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     return (table[masked >> 6] >> (masked & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def lines(tokenized: DataFrame, wanted, bits: int) -> DataFrame:
-    """Every line with enough words: doc_id, line, id and k (two digests of its words) and, if its id is wanted, its words where a task first meets it."""
-    names = ["doc_id", "line", "id", "k", "words"]
+def line_ids(prefixed: DataFrame) -> DataFrame:
+    """id and k, the two halves of the name of each line with words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
         for batch in batches:
-            row, line, n, starts, tokens = lines_of(batch)
-            ids, k = set_id(tokens, starts), summed(mix(tokens, 1), starts).view(np.int64)
-            k[n <= SMALL] = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.int64)
-            own: list[bytes | None] = [None] * len(n)
-            for at in np.flatnonzero(in_table(ids, wanted.value, bits)).tolist():
-                if ids[at] not in met:
-                    met.add(int(ids[at]))
-                    own[at] = np.sort(tokens[starts[at] : starts[at] + n[at]]).tobytes()
-            if len(met) > 500_000:
-                met.clear()
-            for a in range(0, len(n), 20_000):
-                columns = [batch.column("doc_id").take(pa.array(row[a : a + 20_000])), *(pa.array(c[a : a + 20_000]) for c in (line, ids, k)), pa.array(own[a : a + 20_000], pa.binary())]
+            ids = joined(batch.column("ids"), "<i8")[0].reshape(-1, 2)[joined(batch.column("n"), "<u4")[0] > 0]
+            for a in range(0, len(ids), EMIT):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + EMIT, 0]), pa.array(ids[a : a + EMIT, 1])], names=["id", "k"])
+
+    return prefixed.mapInArrow(work, "id long, k long")
+
+
+def places(prefixed: DataFrame, wanted, bits: int) -> DataFrame:
+    """id, k, doc_id, d and line of each line whose id may be wanted."""
+    names = ["id", "k", "doc_id", "d", "line"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, counts = joined(batch.column("n"), "<u4")
+            ids = joined(batch.column("ids"), "<i8")[0].reshape(-1, 2)
+            hit = np.flatnonzero(in_table(ids[:, 0], wanted.value, bits) & (n > 0))
+            row, line = pa.array(np.repeat(np.arange(len(counts)), counts)[hit]), within(counts)[hit]
+            for a in range(0, len(hit), EMIT):
+                own = row[a : a + EMIT]
+                columns = [*(pa.array(ids[hit[a : a + EMIT], c]) for c in (0, 1)), batch.column("doc_id").take(own), batch.column("d").take(own), pa.array(line[a : a + EMIT])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return tokenized.mapInArrow(work, f"doc_id {tokenized.schema['doc_id'].dataType.simpleString()}, line long, id long, k long, words binary")
+    return prefixed.mapInArrow(work, f"id long, k long, doc_id {prefixed.schema['doc_id'].dataType.simpleString()}, d long, line long")
 
 
-def line_tables(tokenized: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines; and each set of words with its first place, and its words if a pair names it."""
-    table, bits = bit_table(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct())
-    every = lines(tokenized, tokenized.sparkSession.sparkContext.broadcast(table), bits)
-    firsts = every.groupBy("id", "k").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("words").alias("words"))
-    return every, stored(firsts)
+def line_texts(docs: DataFrame, wanted, bits: int) -> DataFrame:
+    """id and text of a line of each wanted id (and of a few others), once a block."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, 0):
+            counts, line, number, hashes = word_table(part.column(0))
+            n = np.bincount(line, minlength=int(counts.sum()))
+            ids, at = np.unique(set_ids(hashes[number], n)[:, 0], return_index=True)
+            hit = in_table(ids, wanted.value, bits) & (n[at] > 0)
+            texts = pc.split_pattern(pc.fill_null(part.column(0).cast(pa.large_string()), ""), "\n").flatten().take(pa.array(at[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), texts.cast(pa.string())], names=["id", "text"])
 
+    return docs.select("text").mapInArrow(work, "id long, text string")
 
-def verified(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """later and k of lines whose words match those of an earlier one."""
-    firsts = firsts.where("words is not null")
-    one = firsts.select(F.col("id").alias("later"), "k", F.col("first").alias("own"), F.col("words").alias("a"))
-    two = firsts.select(F.col("id").alias("earlier"), F.col("first").alias("other"), F.col("words").alias("b"))
-    both = pairs.select("later", "earlier").join(one, "later").join(two, "earlier").where("other < own").select("later", "k", "a", "b")
+
+def similar(one: pa.Array, other: pa.Array) -> np.ndarray:
+    """Which pairs of lines have sets of words of the similarity asked for."""
+    up, down = SIMILARITY
+    n = len(one)
+    _, line, number, _ = word_table(pa.concat_arrays([one.cast(pa.large_string()), other.cast(pa.large_string())]))
+    size = np.bincount(line, minlength=2 * n)
+    pairs = (line % n if n else line) << 32 | number
+    both = np.sort(pairs)
+    shared = np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=n)
+    return shared * (up + down) >= up * (size[:n] + size[n:])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, prefixed: DataFrame) -> DataFrame:
+    """later, doc_id, d and line: the first places of the lines whose words match those of an earlier one."""
+    context = pairs.sparkSession.sparkContext
+    table, bits = bit_table(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct())
+    wanted = context.broadcast(table)
+    place = F.struct("doc_id", "d", "line")
+    firsts = places(prefixed, wanted, bits).groupBy("id").agg(F.min(place).alias("place"))
+    texts = line_texts(docs, wanted, bits).groupBy("id").agg(F.min("text").alias("text"))
+    lines = stored(firsts.join(texts, "id"))
+    later, earlier = (lines.select(F.col("id").alias(x), F.col("place").alias(f"{x}_at"), F.col("text").alias(f"{x}_text")) for x in ("later", "earlier"))
+    both = pairs.select("later", "earlier").join(later, "later").join(earlier, "earlier").where("earlier_at < later_at").select("later", "later_at.*", "later_text", "earlier_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = SIMILARITY
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                shared = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
-                ok.append(shared * (up + down) >= up * (len(x) + len(y)))
-            yield batch.select(["later", "k"]).filter(pa.array(ok, pa.bool_()))
+            for a in range(0, batch.num_rows, EMIT):
+                part = batch.slice(a, EMIT)
+                yield part.select(["later", "doc_id", "d", "line"]).filter(pa.array(similar(part.column("later_text"), part.column("earlier_text"))))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = stored(both.mapInArrow(work, f"later long, doc_id {kind}, d long, line long").distinct())
+    forget(lines)
+    return found
+
+
+def near_lines(docs: DataFrame, prefixed: DataFrame) -> list[DataFrame]:
+    """Tables of the first places (later, doc_id, d, line) of lines that an earlier, different one matches."""
+    spark = docs.sparkSession
+    context = spark.sparkContext
+
+    def words_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(x.words.astype(np.int64) for x in line_blocks(iter([batch])))])
+
+    crowd = counted(prefixed, words_of)
+    hot = context.broadcast(hot_words(prefixed, crowd))
+    total = int((crowd + crowd // CELL * crowd).sum())
+    count, parts = max(1, total // BLOCK_ROWS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
+    rows = prefix_rows(prefixed, hot, count, context.broadcast(crowd > 1))
+    best = candidates(rows, parts).groupBy("later").agg(
+        F.min_by("earlier", "apart").alias("earlier"),
+        (F.max("more") | (F.min("earlier") != F.max("earlier"))).alias("more"),
+    )
+    pairs = stored(best)
+    gone = [verified(pairs, docs, prefixed)]
+    late = stored(pairs.where("more").select("later").join(gone[0], "later", "left_anti"))
+    forget(pairs)
+    if not late.isEmpty():  # with all their candidates
+        table, bits = bit_table(late.select(F.col("later").alias("id")))
+        seen = context.broadcast(table)
+
+        def words_of_late(batch: pa.RecordBatch) -> np.ndarray:
+            found = [np.zeros(0, np.int64)]
+            for x in line_blocks(iter([batch])):
+                found.append(x.words[np.repeat(in_table(x.ids, seen.value, bits), x.own)].astype(np.int64))
+            return np.concatenate(found)
 
-    return both.mapInArrow(work, "later long, k long").distinct()
+        rows = prefix_rows(prefixed, hot, count, only=context.broadcast(counted(prefixed, words_of_late) > 0))
+        again = stored(candidates(rows, parts, False, seen, bits).join(late, "later", "left_semi").select("later", "earlier").distinct())
+        gone.append(verified(again, docs, prefixed))
+        forget(again)
+    forget(late)
+    return gone
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and line (from 0) of each line that an earlier one matches."""
+    """doc_id, d (a digest of the text) and line (from 0) of each line that an earlier one matches, each once."""
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
-    tokenized = stored(tokenize(docs))
-    levels = context.broadcast(rarity_levels(counted(tokenized, lambda b: np.frombuffer(b"".join(b.column("tokens").to_pylist()), "<u4"))))  # COUNTERS entries
-
-    def in_prefix(batch: pa.RecordBatch) -> np.ndarray:
-        _, _, n, starts, tokens = lines_of(batch, NEAR_WORDS)
-        return prefixes(n, starts, tokens, levels.value)[2]
-
-    crowd = context.broadcast(counted(tokenized, in_prefix))
-    rows = prefix_rows(tokenized, levels, crowd)
-    pairs = cut(candidates(rows).groupBy("later", "earlier").agg(F.max("more").alias("more")))
-    release(docs.sparkSession)
-    every, firsts = line_tables(tokenized, pairs)
-    release(docs.sparkSession)
-    gone = cut(verified(pairs, firsts))
-    late = pairs.where("more").select("later").distinct().join(gone, "later", "left_anti")
-    if not late.isEmpty():  # with all their candidates
-        late = cut(late)
-        table, bits = bit_table(late.select(F.col("later").alias("id")))
-        near_late = counted(tokenized, lambda b: prefix_of(b, levels.value, table, bits))
-        rows = prefix_rows(tokenized, levels, crowd, context.broadcast(near_late > 0))  # the words of their prefixes alone
-        again = cut(candidates(rows, 2**31, context.broadcast(table), bits).join(late, "later", "left_semi").select("later", "earlier").distinct())
-        gone = cut(gone.union(verified(again, line_tables(tokenized, again)[1])).distinct())
-    near = gone.select(F.col("later").alias("id"), "k", F.lit(True).alias("near"))
-    release(docs.sparkSession)
-    state = stored(firsts.select("id", "k", "first").join(near, ["id", "k"], "left"))
-    place = F.struct("doc_id", "line")
-    return every.select("doc_id", "line", "id", "k").join(state, ["id", "k"]).where(F.col("near").isNotNull() | (place != F.col("first"))).select("doc_id", "line")
+    prefixed = stored(prefix_table(docs, context.broadcast(rarity_levels(word_counts(docs)))))  # COUNTERS levels
+    near = near_lines(docs, prefixed)
+    repeated = stored(line_ids(prefixed).groupBy("id", "k").count().where("count > 1").select("id", "k"))
+    table, bits = bit_table(repeated)
+    every = places(prefixed, context.broadcast(table), bits).join(repeated, ["id", "k"], "left_semi")
+    every = stored(every)
+    place = F.struct("doc_id", "d", "line")
+    firsts = every.groupBy("id", "k").agg(F.min(place).alias("first"))
+    equal = every.join(firsts, ["id", "k"]).where(place != F.col("first")).select("doc_id", "d", "line")
+    for part in near:
+        equal = equal.unionByName(part.select("doc_id", "d", "line"))
+    gone = stored(equal)
+    forget(prefixed, repeated, every, *near)
+    return gone
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id and lines (sorted) of each document that loses lines."""
-    return duplicate_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    """doc_id, d and lines (sorted) of each document that loses lines."""
+    lines = duplicate_lines(docs)
+    gone = stored(lines.groupBy("doc_id", "d").agg(F.array_sort(F.collect_set("line")).alias("lines")))
+    forget(lines)
+    return gone.select(F.col("doc_id").alias("_doc"), F.col("d").alias("_d"), F.col("lines").alias("_lines"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0, comma-joined) of each document."""
-    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    gone = cut(removals(docs)).withColumnRenamed("doc_id", "_doc")
-    release(docs.sparkSession)
-    joined = counts.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("lines").cast("array<string>"), ","), F.lit("")).alias("removed"))
+    counts = docs.select("doc_id", text_key().alias("d"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    both = counts.join(removals(docs), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("d") == F.col("_d")), "left")
+    return both.select("doc_id", "n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("_lines").cast("array<string>"), ","), F.lit("")).alias("removed"))
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that earlier ones match; n_chars follows where there is one."""
-    gone = cut(removals(docs)).select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_gone"))
-    release(docs.sparkSession)
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    own = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(own).cast("long") - 1), F.col("_gone"))
-    kept = F.transform(stay, lambda i: F.get(own, i.cast("int")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("text", text)
+    rows = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_key"), whole_row(docs).alias("_row"))
+    both = rows.join(removals(docs), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_d")), "left")
+    own = F.split("_row.text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(own).cast("long") - 1), F.col("_lines"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(own, i.cast("int"))), "\n")
+    changed = {"text": F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(kept)}
+    out = both.withColumn("_text", changed["text"])
+    changed["text"] = F.col("_text")
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-        out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        chars = F.when(F.col("_lines").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text"))
+        changed["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    return out.select(*unpacked("_row", docs.columns, changed))
