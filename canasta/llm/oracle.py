@@ -9,7 +9,7 @@ set-similarity join, too slow in SQL on whole tables (10).
 from __future__ import annotations
 
 from .mixing import DRAW_DIGITS, DRAWS, IN_DIGEST, MOST_REPEATS, WEIGHTS
-from .quality_rules import STOP_WORDS
+from .quality_rules import BULLET, ELLIPSIS, SENTENCE_END, STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 WEIGHT = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS))
@@ -34,6 +34,8 @@ best AS (SELECT source, k FROM (SELECT *, row_number() OVER (PARTITION BY source
 SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.copies * c.size AS BIGINT) AS taken FROM copied c JOIN best b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k
 """
 
+LIKE = {name: pattern.replace("'", "''") for name, pattern in (("bullet", BULLET), ("ellipsis", ELLIPSIS), ("sentence", SENTENCE_END))}
+LINES = ", ".join(f"len(list_filter(lines, lambda x: regexp_matches(x, '{pattern}'))) AS n_{name}_lines" for name, pattern in LIKE.items())
 STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 OP3 = f"""
 WITH worded AS (SELECT doc_id, {WORDS} AS w, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
@@ -42,11 +44,12 @@ placed AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri F
 often AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM placed) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM often CROSS JOIN (VALUES (0), (1), (2)) t(j) GROUP BY doc_id),
 measured AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, coalesce(c.n, 0) AS n_repeat_words,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, {LINES}, coalesce(c.n, 0) AS n_repeat_words,
   len(list_filter(w, lambda x: x IN ({STOPS}))) AS n_stops FROM worded d LEFT JOIN covered c USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
-  AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 4 * n_symbols <= n_words AND 100 * n_stops >= n_words AND 2 * n_dup_lines <= n_lines AS kept FROM judged
+  AND word_chars >= 2 * n_words AND word_chars <= 15 * n_words AND 4 * n_symbols <= n_words AND 100 * n_stops >= n_words AND 2 * n_dup_lines <= n_lines
+  AND 10 * n_bullet_lines <= 9 * n_lines AND 10 * n_ellipsis_lines <= 3 * n_lines AND 10 * n_sentence_lines >= n_lines AS kept FROM judged
 """
 
 ORACLE: dict[str, str] = {"op2_mixing": OP2, "op3_quality_rules": OP3}

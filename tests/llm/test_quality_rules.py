@@ -40,6 +40,32 @@ def test_verdict_on_labelled_quality(spark, documents):
     assert judged.where("kept").count() >= 0.97 * judged.count()
 
 
+def test_filtered_plan_has_each_measure_once(documents):
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plain, filtered = (text(df) for df in (q.apply_rules(documents), q.apply_rules(documents).where("not base_failed and kept")))
+    for part in ("xxhash64(", "split(", "regexp_extract_all(", "array_distinct("):
+        assert plain.count(part) == filtered.count(part) > 0, part
+
+
+def test_long_texts_filtered(spark):
+    rows = [(i, " ".join(f"w{k * (i + 1) % 4999}" for k in range(20_000)), "x", "y") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _w string, _own string")
+    out = q.apply_rules(docs).where("not base_failed")
+    assert out.columns[:4] == docs.columns and out.count() == sum(not brute(t)[-1] for _, t, *_ in rows)
+
+
+def test_rules_of_lines(spark):
+    said = "the quick word of the day is to be said in full"
+    texts = {
+        "bullets": "\n".join(f"- {said} {i}." for i in range(10)),
+        "ellipses": "\n".join(f"{said} {i}{'...' if i % 2 else '.'}" for i in range(10)),
+        "sentences": "\n".join(f"{said} {i}" for i in range(12)),
+        None: "\n".join(f"{'* ' if i % 2 else ''}a{i} b{i} c{i} of the d{i} e{i}{'…' if i < 3 else '.' if i < 5 else ''}" for i in range(10)),
+    }
+    rows = q.apply_rules(spark.createDataFrame([(str(k), t) for k, t in texts.items()], "doc_id string, text string"), base=()).collect()
+    assert {r["doc_id"]: r["failed_rules"] for r in rows} == {str(k): [k] if k else [] for k in texts}
+
+
 def test_native_plan_without_shuffle(documents):
     plan = q.apply_rules(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
