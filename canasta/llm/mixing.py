@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, unpacked, whole_row
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -131,10 +131,10 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPE
     The rates of the sources are found on keys and sizes alone; each row's
     copies then follow from its own source and doc_id, so texts are not shuffled.
     """
-    columns = df.columns
-    sized = df.select("doc_id", "source", "text")
-    sources = plan(sized, weights, most).groupBy("source").agg(F.first("rate").alias("_rate"), F.first("draw_no").alias("_draw"))
-    joined = join_sources(df, cut(sources))
+    rows = df.select("doc_id", "source", whole_row(df).alias("_row"))
+    sources = plan(df.select("doc_id", "source", "text"), weights, most).groupBy("source").agg(F.first("rate").alias("_rate"), F.first("draw_no").alias("_draw"))
+    joined = join_sources(rows, cut(sources))
     times = copies(F.col("_rate"), F.col("doc_id"), F.col("_draw"))
-    taken = joined.withColumn("_times", times).where("_times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*[F.col(f"`{c}`") for c in columns])
+    # no copy: the sequence is null, and so explodes to no row
+    numbers = F.when(times > 0, F.sequence(F.lit(1).cast("long"), times))
+    return joined.select("_row", F.explode(numbers)).select(*unpacked("_row", df.columns))

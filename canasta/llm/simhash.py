@@ -19,8 +19,10 @@ gives a link for each member, not for each pair, and members already joined
 are not compared again.
 
 Defined results: null, empty and blank texts have no words and fingerprint
-zero, and link like any other; equal rows share a fingerprint; an empty table
-gives an empty result; extra columns stay out.
+zero, and link like any other; equal rows share a fingerprint; null ids come
+after all others; ids may be of any type that Spark orders; an empty table gives
+an empty result; extra columns stay out of :func:`near_duplicates` and pass
+through :func:`firsts_only` whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import cut
+from .common import cut, text_key, unpacked, whole_row
 from .components import components
 
 SEED = 42
@@ -47,6 +50,8 @@ MANY = 1 << 24
 #: Reference fingerprints: eight, so that their distances (0 to 64) fill the bytes of one long.
 PIVOTS = 8
 CELL = 8_192
+#: Keys of rows to drop that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 18
 WINDOW = 1 << 16
 BATCH = 500
 
@@ -70,18 +75,19 @@ def fingerprint_text(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
-    schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long"
+def fingerprints(df: DataFrame, text: str = "text", size: int = SHINGLE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """carry columns and fp (the fingerprint as a signed long)."""
+    names = [*carry, "fp"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
-                fps = np.array([fingerprint_text(t.as_py(), size) for t in part.column(1)], "<u8").view("<i8")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["doc_id", "fp"])
+                fps = np.array([fingerprint_text(t.as_py(), size) for t in part.column(len(carry))], "<u8").view("<i8")
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(fps)], names=names)
 
-    return df.select("doc_id", text).mapInArrow(work, schema)
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    return df.select(*carry, text).mapInArrow(work, f"{fields}, fp long")
 
 
 def pivots(count: int = PIVOTS) -> list[int]:
@@ -218,13 +224,26 @@ def links(distinct: DataFrame, most: int = MOST_BITS, cell: int = CELL, blocks:
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(work, "hi long, lo long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links of most bits or fewer)."""
-    docs = cut(fingerprints(df, text, size))
-    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+def near_duplicates(df: DataFrame, text: str = "text", size: int = SHINGLE, most: int = MOST_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, carry columns, fp, component_id (the smallest doc_id reachable over links of most bits or fewer) and first (doc_id and carry columns of the first row reachable)."""
+    key = ("doc_id", *carry)
+    docs = cut(fingerprints(df, text, size, key))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), *key)
+    distinct = cut(docs.groupBy("fp").agg(F.min(place).alias("first")))
     blocks = BLOCKS if distinct.count() <= MANY else FINE_BLOCKS
     roots = components(links(distinct, most, blocks=blocks))
-    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    labels = cut(rooted.join(lowest, "root").select("fp", "component_id"))
-    return docs.join(labels, "fp").select("doc_id", "fp", "component_id")
+    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    lowest = cut(rooted.groupBy("root").agg(F.min("first").alias("first")))
+    labels = cut(rooted.select("fp", "root").join(lowest, "root").select("fp", F.struct(*[F.col(f"first.{c}") for c in key]).alias("first")))
+    return docs.join(labels, "fp").select(*key, "fp", F.col("first.doc_id").alias("component_id"), "first")
+
+
+def firsts_only(df: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest doc_id, then of the smallest digest of its text; rows equal in both stay together."""
+    rows = df.select(F.col("doc_id").alias("_id"), text_key().alias("_key"), whole_row(df).alias("_row"))
+    linked = near_duplicates(df.select("doc_id", text_key().alias("d"), "text"), carry=("d",))
+    later = cut(linked.where(F.struct("doc_id", "d") != F.col("first")).select(F.col("doc_id").alias("_doc"), F.col("d").alias("_d")).distinct())
+    if isinstance(df.schema["doc_id"].dataType, IntegralType) and later.count() <= BROADCAST_KEYS:  # 16 bytes a key
+        later = F.broadcast(later)
+    left = rows.join(later, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_d")), "left_anti")
+    return left.select(*unpacked("_row", df.columns))
