@@ -18,9 +18,10 @@ place), then only units with a repeated digest meet it in a join of plain
 shuffles, of which adaptive execution splits a hot digest's.
 
 Defined results: null, empty and blank texts and those under ``RUN_WORDS`` words
-have no units; rows that share a doc_id count as one document, so none is
-removed for the other; repeats within a document go too; an empty table gives an
-empty result; extra columns pass through :func:`remove_spans`.
+have no units; rows that share a doc_id are told apart by a digest of their
+text, which orders them (rows equal in both lose the same spans, and none to
+each other); null ids come first; ids of any type that Spark orders; repeats within a document go too; an empty table gives an
+empty result; extra columns of any name pass through :func:`remove_spans`.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_key, unpacked, whole_row
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RUN_WORDS = 20
@@ -107,8 +108,8 @@ def lines_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def units(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
-    """doc_id, unit (from 0; of whole lines from FIRST_LINE), start, end and the digest's halves h1 and h2."""
-    names = ["doc_id", "unit", "start", "end", "h1", "h2"]
+    """doc_id, d (a digest of the text), unit (from 0; of whole lines from FIRST_LINE), start, end and the digest's halves h1 and h2."""
+    names = ["doc_id", "d", "unit", "start", "end", "h1", "h2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +118,12 @@ def units(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False
             def made() -> pa.RecordBatch:
                 unit, start, end = np.array(rest, np.int32).reshape(-1, 3).T
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                columns = [batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, (unit, start, end)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+                of = pa.array(row, pa.int64())
+                columns = [batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, (unit, start, end)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
                 return pa.RecordBatch.from_arrays(columns, names=names)
 
             for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py() or ""
+                text = batch.column(2)[i].as_py() or ""
                 own = ((k, *unit[:2], unit[3]) for k, unit in enumerate(units_of(text, run_words)))
                 whole = ((FIRST_LINE + k, *line) for k, *line in lines_of(text)) if whole_lines else ()
                 for k, start, end, digest in chain(own, whole):
@@ -134,50 +136,56 @@ def units(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False
             if row:
                 yield made()
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit int, start int, end int, h1 long, h2 long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key().alias("d"), "text").mapInArrow(work, f"doc_id {kind}, d long, unit int, start int, end int, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
-    """doc_id, n_removed (units) and spans (start and end, sorted) of each document with repeated passages.
+    """doc_id, d (a digest of the text), n_removed (units) and spans (start and end, sorted) of each document with repeated passages.
 
     With whole_lines also those of repeated lines, of any length; spans that overlap are then joined.
     """
     every = units(docs, run_words, whole_lines)
-    place = F.struct("doc_id", "unit")
+    place = F.struct("doc_id", "d", "unit")
     firsts = cut(every.select("h1", "h2", place.alias("p")).groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").drop("last"))
-    later = cut(every.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "unit", "start", "end").distinct())
-    run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id").orderBy("unit"))
+    later = cut(every.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "d", "unit", "start", "end").distinct())
+    run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "d").orderBy("unit"))
     if whole_lines:
-        by_start = Window.partitionBy("doc_id").orderBy("start", "end", "unit")
+        by_start = Window.partitionBy("doc_id", "d").orderBy("start", "end", "unit")
         before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
         later = later.withColumn("apart", F.coalesce(before < F.col("start"), F.lit(True)).cast("int"))
         run = F.sum("apart").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    runs = later.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
-    return runs.groupBy("doc_id").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    runs = later.withColumn("run", run).groupBy("doc_id", "d", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
+    return runs.groupBy("doc_id", "d").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def _gone(docs: DataFrame, run_words: int, whole_lines: bool) -> DataFrame:
+    found = cut(repeated_spans(docs, run_words, whole_lines))
+    return found.select(F.col("doc_id").alias("_doc"), F.col("d").alias("_d"), "n_removed", F.col("spans").alias("_spans"))
 
 
 def report(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
     """doc_id, n_chars, n_removed (units), removed_chars and spans (start:end, comma-joined) of each document."""
-    gone = cut(repeated_spans(docs, run_words, whole_lines)).withColumnRenamed("doc_id", "_doc")
-    sizes = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
-    joined = sizes.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    sizes = docs.select("doc_id", text_key().alias("d"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    joined = sizes.join(_gone(docs, run_words, whole_lines), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("d") == F.col("_d")), "left")
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))  # characters so far, each once
     more = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(s["end"], a["upto"]).alias("upto"))
     return joined.select(
         "doc_id",
         "n_chars",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce(F.aggregate("spans", none, more)["n"], F.lit(0)).alias("removed_chars"),
-        F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","), F.lit("")).alias("spans"),
+        F.coalesce(F.aggregate("_spans", none, more)["n"], F.lit(0)).alias("removed_chars"),
+        F.coalesce(F.array_join(F.transform("_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","), F.lit("")).alias("spans"),
     )
 
 
 def remove_spans(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
     """docs without their repeated passages."""
-    gone = cut(repeated_spans(docs, run_words, whole_lines)).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    rows = docs.select(F.col("doc_id").alias("_id"), text_key().alias("_key"), whole_row(docs).alias("_row"))
+    joined = rows.join(_gone(docs, run_words, whole_lines), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_d")), "left")
+    own = F.col("_row.text")
     ends = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
-    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text")))
-    pieces = F.zip_with(ends, starts, lambda a, b: F.substr(F.col("text"), a + 1, b - a))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
-    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length(own)))
+    pieces = F.zip_with(ends, starts, lambda a, b: F.substr(own, a + 1, b - a))
+    text = F.when(F.col("_spans").isNull(), own).otherwise(F.array_join(pieces, ""))
+    return joined.select(*unpacked("_row", docs.columns, {"text": text}))
