@@ -3,38 +3,61 @@
 The content view measures a text alone (shares of kinds of characters, lengths
 of words and lines, repetition); the metadata view has what the page says about
 itself (language, source, declared length). Each view has a logistic
-classifier. Over ``ROUNDS`` rounds each labels the unlabelled rows of which it
-is surest, and the other learns from them. Both are then calibrated on labelled
-rows that neither learned from, by a curve of two parameters, and the views are
-added as log odds, weighed by how well each does there.
-
-Fitting uses at most ``MOST_LABELLED`` labelled and ``MOST_UNLABELLED``
-unlabelled rows, chosen by hash; their ids are found first and broadcast, so no
-text is shuffled. All documents are measured and scored in Arrow batches.
+classifier, fitted on the labelled rows and on pseudo-labels from the other
+view. In each of ``ROUNDS`` rounds a view labels, among all unlabelled rows that
+it has not labelled yet, those of which it is surest: both classes in the
+proportion of the labelled rows, ``SHARE`` of all at most, and none of which it
+is less sure than ``SURE``. How sure it is, a curve of two parameters tells that
+is fitted anew in each round on labelled rows that neither view learns from, so
+that a view that knows little teaches little. What a view has taught stays
+taught. At the end the calibrated views are added as log odds, weighed by how
+well each does on the rows of the curves.
+
+Every unlabelled row of the table takes part. Texts are measured once, into a
+stored table of numbers; a Newton step is one pass over it that sends sums of
+gradients and curvatures, whose size is that of the columns, and a round's
+bounds come from histograms of log odds. Which rows a view has taught follows
+from the models and bounds of the rounds so far, so no state is written. Only
+the calibration curves use a bounded sample (``MOST_CALIBRATION`` labelled rows,
+by hash).
 
 Defined results: null, empty and blank texts have all measures zero and are
-scored like any other; repeated rows score alike; without labelled rows of both
-classes every score is 0.5; an empty table gives an empty result; extra columns
-stay out.
+scored like any other; repeated rows score alike, each for itself; null ids have
+no label; without labelled rows of both classes every score is 0.5; an empty
+table gives an empty result; extra columns stay out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_LABELLED = 20_000
-MOST_UNLABELLED = 20_000
+from .common import stored
+
+MOST_CALIBRATION = 20_000
 ROUNDS = 5
-#: The share of the unlabelled rows that each view labels in a round, and how sure it must be.
+#: The share of the unlabelled rows that each view labels in a round at most, and how sure it must be.
 SHARE = 0.1
 SURE = 0.95
+RIDGE = 1.0
+STEPS = 7
+#: Log odds are kept within this; histograms of them have BINS bins.
+MOST_ODDS = 30.0
+BINS = 6_000
 #: Hashed columns of the metadata's names.
 NAMES = 64
+META = NAMES + 2
+#: Partial sums are added up in so many groups before they reach the driver.
+SLOTS = 64
+#: Bytes of text measured at once.
+BLOCK_BYTES = 4_000_000
 
 #: Kinds of bytes: upper, lower, digit, space, line end, stop, other mark, beyond ASCII.
 KIND = np.full(256, 6, np.uint8)
@@ -71,107 +94,226 @@ def content(text: str | None) -> np.ndarray:
     return out
 
 
-def metadata(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
-    """Hashed names and the declared length."""
+def name_column(kind: str, value: str | None) -> int:
     import xxhash
 
-    out = np.zeros(NAMES + 2)
-    for kind, value in (("lang", lang), ("source", source)):
-        out[xxhash.xxh64_intdigest(f"{kind}={value}".encode()) % NAMES] += 1
-    size = 0.0 if n_chars is None or n_chars != n_chars else max(0.0, float(n_chars))
-    out[NAMES] = np.log1p(size)
-    out[NAMES + 1] = np.log1p(size) ** 2 / 10
-    return out
+    return xxhash.xxh64_intdigest(f"{kind}={value}".encode()) % NAMES
 
 
-def measured(df: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """carry columns, and both views as arrays of doubles."""
-    names = [*carry, "content", "meta"]
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, content (array of floats), lang and source (hashed columns) and size (log of the declared length)."""
+    names = ["doc_id", "content", "lang", "source", "size"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, *meta = (batch.column(len(carry) + i) for i in range(4))
-            one = [content(t.as_py()).tolist() for t in texts]
-            two = [metadata(*row).tolist() for row in zip(*(m.to_pylist() for m in meta))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(one, pa.list_(pa.float64())), pa.array(two, pa.list_(pa.float64()))], names=names)
+            bytes_ = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(np.cumsum(bytes_, dtype=np.int64) // BLOCK_BYTES)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                part = batch.slice(a, b - a)
+                one = np.array([content(t.as_py()) for t in part.column(1)], np.float32).reshape(-1, CONTENT)
+                columns = [pa.array([name_column(kind, v) for v in part.column(i).to_pylist()], pa.int32()) for kind, i in (("lang", 2), ("source", 3))]
+                size = np.log1p(np.maximum(0.0, np.nan_to_num(part.column(4).to_numpy(zero_copy_only=False).astype(float)))).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(one), pa.list_(pa.float32())), *columns, pa.array(size)], names=names)
 
-    return df.select(*carry, "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(work, f"{fields}{', ' if carry else ''}content array<double>, meta array<double>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = docs.select("doc_id", "text", "lang", "source", F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars"))
+    return told.mapInArrow(work, f"doc_id {kind}, content array<float>, lang int, source int, size float")
 
 
-class Logistic:
-    """A ridge logistic classifier over standardised columns, by Newton steps."""
+def views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Both views of the rows of a batch with the columns of :func:`measured`."""
+    one = batch.column("content").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTENT).astype(float)
+    two = np.zeros((batch.num_rows, META))
+    at = np.arange(batch.num_rows)
+    for c in ("lang", "source"):
+        two[at, batch.column(c).to_numpy()] += 1
+    size = batch.column("size").to_numpy().astype(float)
+    two[:, NAMES], two[:, NAMES + 1] = size, size**2 / 10
+    return [one, two]
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        z = self._z(x)
-        self.w = np.zeros(z.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge * np.eye(z.shape[1]), z.T @ (p - y) + ridge * self.w)
-            self.w -= step
-            if np.abs(step).max() < 1e-6:
-                break
 
-    def _z(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.ones(len(x)), np.clip((x - self.mean) / self.scale, -8, 8)])
+@dataclass
+class CoTrained:
+    """Both views' classifiers, what they taught in each round, and the curves that combine them."""
+
+    mean: list[np.ndarray]
+    scale: list[np.ndarray]
+    weights: list[np.ndarray]
+    #: For each round: the weights of both views then, and for each view the log odds from which it labelled 1 and up to which 0.
+    taught: list[tuple[list[np.ndarray], list[tuple[float, float]]]] = field(default_factory=list)
+    curves: list[tuple[float, float]] = field(default_factory=list)
+    both: np.ndarray | None = None
+
+    def columns(self, of: list[np.ndarray]) -> list[np.ndarray]:
+        """Standardised, with a column of ones."""
+        return [np.column_stack([np.ones(len(x)), np.clip((x - m) / s, -8, 8)]) for x, m, s in zip(of, self.mean, self.scale)]
+
+    def labels_by(self, view: int, z: list[np.ndarray]) -> np.ndarray:
+        """What a view has labelled each unlabelled row: 0, 1 or NaN for none."""
+        out = np.full(len(z[view]), np.nan)
+        for weights, bounds in self.taught:
+            odds, (high, low) = log_odds(z[view], weights[view]), bounds[view]
+            new = np.isnan(out)
+            out[new & (odds >= high)] = 1.0
+            out[new & (odds <= low)] = 0.0
+        return out
 
-    def odds(self, x: np.ndarray) -> np.ndarray:
-        """Log odds."""
-        return np.clip(self._z(x) @ self.w, -30, 30)
+    def score(self, of: list[np.ndarray]) -> np.ndarray:
+        odds = [a + b * log_odds(z, w) for z, w, (a, b) in zip(self.columns(of), self.weights, self.curves)]
+        return logistic(np.column_stack([np.ones(len(odds[0])), *odds]) @ self.both)
 
 
-class CoTrained:
-    """Both views' classifiers, calibrated and combined."""
-
-    def __init__(self, one: np.ndarray, two: np.ndarray, y: np.ndarray, free_one: np.ndarray, free_two: np.ndarray, rounds: int = ROUNDS):
-        held = np.arange(len(y)) % 5 == 0  # for calibration alone; rows come in hash order
-        learn = ~held if len(set(y[~held])) == 2 and len(set(y[held])) == 2 else np.ones(len(y), bool)
-        views = [one, two]
-        free = [free_one, free_two]
-        taught = [(np.zeros(0, int), np.zeros(0)), (np.zeros(0, int), np.zeros(0))]
-        models: list[Logistic] = []
-        for _ in range(rounds + 1):
-            models = [Logistic(np.concatenate([v[learn], f[rows]]), np.concatenate([y[learn], labels])) for v, f, (rows, labels) in zip(views, free, taught)]
-            # each view teaches the other the rows of which it is surest, both classes in its own proportions
-            taught = [self._surest(models[1 - k], free[1 - k]) for k in (0, 1)]
-        self.models = models
-        check = held if learn is not held and len(set(y[held])) == 2 else learn
-        odds = np.column_stack([m.odds(v[check]) for m, v in zip(models, views)])
-        self.curves = [Logistic(odds[:, k : k + 1], y[check]) for k in (0, 1)]
-        calibrated = np.column_stack([c.odds(odds[:, k : k + 1]) for k, c in enumerate(self.curves)])
-        self.both = Logistic(calibrated, y[check])
-
-    @staticmethod
-    def _surest(model: Logistic, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(rows):
-            return np.zeros(0, int), np.zeros(0)
-        odds = model.odds(rows)
-        order = np.argsort(-np.abs(odds), kind="stable")[: int(SHARE * len(rows))]
-        order = order[1 / (1 + np.exp(-np.abs(odds[order]))) >= SURE]
-        return order, (odds[order] > 0).astype(float)
-
-    def score(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        odds = [c.odds(m.odds(v)[:, None]) for m, c, v in zip(self.models, self.curves, (one, two))]
-        return 1 / (1 + np.exp(-self.both.odds(np.column_stack(odds))))
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_free: int = MOST_UNLABELLED) -> CoTrained | None:
-    """The classifiers, from bounded samples chosen by the hash of doc_id; None without both classes."""
-    one_each = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("_y"))
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    # bounded samples of ids by hash, so they can be broadcast and no text is shuffled
-    known_ids = one_each.withColumn("_h", order).orderBy("_h", "doc_id").limit(most)
-    free_ids = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().withColumn("_h", order).orderBy("_h", "doc_id").limit(most_free)
-    row = F.min(F.struct("text", "lang", "source", "n_chars")).alias("_row")  # an id's rows count once
-    known = docs.join(F.broadcast(known_ids), "doc_id").groupBy("doc_id", "_h", "_y").agg(row).select("_h", "_y", "_row.*")
-    free = docs.join(F.broadcast(free_ids), "doc_id").groupBy("doc_id", "_h").agg(row).select("_h", "_row.*")
-    a = measured(known, ("_y", "_h")).toArrow().to_pandas().sort_values("_h", kind="stable")
-    b = measured(free, ("_h",)).toArrow().to_pandas().sort_values("_h", kind="stable")
-    if a["_y"].nunique() < 2:
+def logistic(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -MOST_ODDS, MOST_ODDS)))
+
+
+def log_odds(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.clip(z @ w, -MOST_ODDS, MOST_ODDS)
+
+
+def newton_parts(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the rows with a label, in one column."""
+    known = ~np.isnan(y)
+    z, y = z[known], y[known]
+    p = logistic(z @ w)
+    return np.concatenate([z.T @ (p - y), ((z * (p * (1 - p) + 1e-6)[:, None]).T @ z).ravel()])
+
+
+def newton_step(parts: np.ndarray, w: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    k = len(w)
+    step = np.linalg.solve(parts[k:].reshape(k, k) + ridge * np.eye(k), parts[:k] + ridge * w)
+    return w - step * min(1.0, 10 / max(1e-9, np.abs(step).max()))
+
+
+def fit_small(z: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    w = np.zeros(z.shape[1])
+    for _ in range(25):
+        w = newton_step(newton_parts(z, y, w), w, ridge)
+    return w
+
+
+def summed(rows: DataFrame, size: int, of_batch: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of a column of so many numbers, in a fixed order."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += of_batch(batch)
+        at = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([at % SLOTS], pa.int32()), pa.array([at], pa.int32()), pa.array([total.tobytes()])], names=["slot", "part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, slot = np.zeros(size), None
+        for batch in batches:
+            for s, sums in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                total, slot = total + np.frombuffer(sums), s
+        if slot is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()])], names=["slot", "sums"])
+
+    parts = rows.mapInArrow(part, "slot int, part int, sums binary")
+    added = parts.repartition("slot").sortWithinPartitions("slot", "part").mapInArrow(add, "slot int, sums binary")
+    return sum((np.frombuffer(r["sums"]) for r in sorted(added.collect(), key=lambda r: r["slot"])), np.zeros(size))  # SLOTS rows at most
+
+
+def label_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The label that is learned from (NaN: none), and whether a row is unlabelled."""
+    y = pc.fill_null(batch.column("y"), np.nan).to_numpy(zero_copy_only=False)
+    return np.where(batch.column("held").to_numpy(zero_copy_only=False), np.nan, y), np.isnan(y)
+
+
+def bounds(found: np.ndarray, curve: tuple[float, float], rows: float, prior: float, share: float, sure: float) -> tuple[float, float]:
+    """From a histogram of log odds: those from which the surest share is labelled 1, and up to which it is labelled 0, in the classes' proportion, where the curve is sure enough."""
+    edges = np.linspace(-MOST_ODDS, MOST_ODDS, BINS + 1)
+    least, told = np.log(sure / (1 - sure)), curve[0] + max(0.0, curve[1]) * edges
+    above = np.cumsum(found[::-1])[::-1]
+    below = np.cumsum(found)
+    high = np.flatnonzero((above <= share * rows * prior) & (told[:-1] >= least))
+    low = np.flatnonzero((below <= share * rows * (1 - prior)) & (told[1:] <= -least))
+    if curve[1] <= 0:
+        return np.inf, -np.inf
+    return (float(edges[high[0]]) if len(high) else np.inf), (float(edges[low[-1] + 1]) if len(low) else -np.inf)
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, sure: float = SURE) -> CoTrained | None:
+    """The classifiers, from a table of :func:`measured` with y and held (for calibration alone); None without both classes."""
+    size = [CONTENT, META]
+
+    def moments(batch: pa.RecordBatch) -> np.ndarray:
+        y, _ = label_of(batch)
+        return np.concatenate([[batch.num_rows, np.nansum(y == 1), np.nansum(y == 0)], *(np.concatenate([x.sum(axis=0), (x**2).sum(axis=0)]) for x in views(batch))])
+
+    found = summed(rows, 3 + 2 * sum(size), moments)
+    n, good, bad = found[:3]
+    if not good or not bad:
         return None
-    stack = lambda frame, c, width: np.array(frame[c].tolist(), float).reshape(-1, width)
-    return CoTrained(stack(a, "content", CONTENT), stack(a, "meta", NAMES + 2), a["_y"].to_numpy(), stack(b, "content", CONTENT), stack(b, "meta", NAMES + 2))
+    mean, scale, at = [], [], 3
+    for k in size:
+        mean.append(found[at : at + k] / n)
+        scale.append(np.sqrt(np.maximum(0, found[at + k : at + 2 * k] / n - mean[-1] ** 2)) + 1e-6)
+        at += 2 * k
+    model = CoTrained(mean, scale, [np.zeros(k + 1) for k in size])
+    widths = [(k + 1) * (k + 2) for k in size]
+
+    def step() -> None:
+        def parts(batch: pa.RecordBatch) -> np.ndarray:
+            z = model.columns(views(batch))
+            y, free = label_of(batch)
+            out = []
+            for view in (0, 1):
+                from_other = np.where(free, model.labels_by(1 - view, z), np.nan) if model.taught else np.full(len(y), np.nan)
+                out.append(newton_parts(z[view], np.where(np.isnan(y), from_other, y), model.weights[view]))
+            return np.concatenate(out)
+
+        sums = summed(rows, sum(widths), parts)
+        model.weights = [newton_step(sums[: widths[0]], model.weights[0]), newton_step(sums[widths[0] :], model.weights[1])]
+
+    def surest(batch: pa.RecordBatch) -> np.ndarray:
+        z = model.columns(views(batch))
+        _, free = label_of(batch)
+        out = [np.array([free.sum()], float)]
+        for view in (0, 1):
+            open_ = free & np.isnan(model.labels_by(view, z))
+            out.append(np.histogram(log_odds(z[view][open_], model.weights[view]), BINS, (-MOST_ODDS, MOST_ODDS))[0].astype(float))
+        return np.concatenate(out)
+
+    held, truth = calibration_rows(rows)
+    def learn() -> None:
+        """Both views anew from zero, from where Newton steps do not overshoot."""
+        model.weights = [np.zeros(k + 1) for k in size]
+        for _ in range(STEPS):
+            step()
+
+    learn()
+    for _ in range(rounds):
+        curves = curves_of(model, held, truth)
+        histograms = summed(rows, 1 + 2 * BINS, surest)
+        free = histograms[0]
+        marks = [bounds(histograms[1 + v * BINS : 1 + (v + 1) * BINS], curves[v], free, good / (good + bad), share, sure) for v in (0, 1)]
+        if all(np.isinf(x) for mark in marks for x in mark):
+            break  # nothing is sure enough any more
+        model.taught.append((list(model.weights), marks))
+        learn()
+    model.curves = curves_of(model, held, truth)
+    told = [a + b * log_odds(z, w) for z, w, (a, b) in zip(model.columns(held), model.weights, model.curves)]
+    model.both = fit_small(np.column_stack([np.ones(len(truth)), *told]), truth, 0.1)
+    return model
+
+
+def calibration_rows(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Views and labels of a bounded sample of the held labelled rows (of all labelled rows where those are of one class)."""
+    known = rows.where("y is not null").withColumn("h", F.xxhash64(F.lit("calibration"), F.col("doc_id")))
+    for chosen in (known.where("held"), known):
+        sample = chosen.orderBy("h", "doc_id", "content", "lang", "source", "size").limit(MOST_CALIBRATION).toArrow()
+        y = sample.column("y").to_numpy()
+        if len(set(y)) == 2:
+            break
+    return views(sample.combine_chunks().to_batches()[0]), y
+
+
+def curves_of(model: CoTrained, held: list[np.ndarray], truth: np.ndarray) -> list[tuple[float, float]]:
+    """For each view, the log odds of label 1 as a line of its own log odds."""
+    return [tuple(fit_small(np.column_stack([np.ones(len(truth)), log_odds(z, w)]), truth, 0.1)) for z, w in zip(model.columns(held), model.weights)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,21 +321,24 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A stored table of all documents' measures with y (0, 1 or null; null where held out) and held (a fifth of the labelled rows, for calibration)."""
+    known = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
+    joined = measured(docs).join(known, "doc_id", "left")
+    held = F.col("y").isNotNull() & (F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(5)) == 0)
+    return stored(joined.withColumn("held", held))
+
+
+def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: better), predicted (1 from 0.5) and kept of every document."""
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    model = fit(docs, labels.select("doc_id", "quality").where(~held_out(F.col("doc_id"))))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = labelled(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels.select("doc_id", "quality"))
+    model = fit(rows, rounds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            one = np.array([content(t.as_py()) for t in batch.column(1)])
-            two = np.array([metadata(*row) for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))])
-            p = model.score(one, two) if model else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
-
-    scored = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars")).mapInArrow(work, f"doc_id {kind}, score double")
+            p = model.score(views(batch)) if model else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+
+    scored = rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     good = F.col("score") >= 0.5
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", good.cast("int").alias("predicted"), good.alias("kept"))
