@@ -11,22 +11,16 @@ empty table passes every stage as one; extra columns stay until the last.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from canasta.llm import line_dedup, mixing, quality_rules, sentencepiece_codec, simhash
-from canasta.llm.common import cut, shared_folder, table
+from canasta.llm.common import forget, stored, table, unpacked, whole_row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    names = docs.columns
-    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    # a filter that also reads a row's place stays above the measures; pushed below, it would compute them anew for each rule
-    judged = quality_rules.apply_rules(whole).withColumn("_place", F.monotonically_increasing_id())
-    return judged.where("kept and _place >= 0").select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    rows = docs.select("text", whole_row(docs).alias("_row"))
+    return quality_rules.apply_rules(rows).where("kept").select(*unpacked("_row", docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest doc_id."""
-    groups = simhash.near_duplicates(docs)
-    kept = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct())
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    return simhash.firsts_only(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        at = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
