@@ -32,11 +32,12 @@ pass through :func:`remove_lines`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, forget, stored, text_key, unpacked, whole_row
@@ -61,6 +62,10 @@ ROWS_AT_ONCE = 1 << 20
 PAIRS_AT_ONCE = 1 << 19
 EMIT = 20_000
 
+#: Sets of words in more lines than this are met by broadcast, of which there are at most MOST_HOT_SETS.
+HOT_SET = 4_096
+MOST_HOT_SETS = 1 << 16
+
 #: A prefix row. shape: the position in the line, and in the lowest bit whether the row is of the second of two cells.
 ROW = np.dtype([("word", "<u4"), ("pair", "<u4"), ("n", "<u4"), ("shape", "<u4"), ("id", "<i8"), ("doc", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 
@@ -460,19 +465,31 @@ def places(prefixed: DataFrame, wanted, bits: int) -> DataFrame:
     return prefixed.mapInArrow(work, f"id long, k long, doc_id {prefixed.schema['doc_id'].dataType.simpleString()}, d long, line long")
 
 
+def place() -> Column:
+    """Where a line stands, in the order of all lines."""
+    return F.struct("doc_id", "d", "line")
+
+
+def place_key(d, line):
+    """A long by which a bitmap finds places: the text's digest, its low bits by line."""
+    return d.bitwiseXOR(line) if hasattr(d, "bitwiseXOR") else d ^ line
+
+
 def line_texts(docs: DataFrame, wanted, bits: int) -> DataFrame:
-    """id and text of a line of each wanted id (and of a few others), once a block."""
+    """doc_id, d, line and text of each line whose place may be wanted."""
+    names = ["doc_id", "d", "line", "text"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, 0):
-            counts, line, number, hashes = word_table(part.column(0))
-            n = np.bincount(line, minlength=int(counts.sum()))
-            ids, at = np.unique(set_ids(hashes[number], n)[:, 0], return_index=True)
-            hit = in_table(ids, wanted.value, bits) & (n[at] > 0)
-            texts = pc.split_pattern(pc.fill_null(part.column(0).cast(pa.large_string()), ""), "\n").flatten().take(pa.array(at[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), texts.cast(pa.string())], names=["id", "text"])
+        for part in blocks(batches, 2):
+            lines = pc.split_pattern(pc.fill_null(part.column(2).cast(pa.large_string()), ""), "\n")
+            counts = pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+            line, row = within(counts), np.repeat(np.arange(len(counts)), counts)
+            hit = np.flatnonzero(in_table(place_key(part.column(1).to_numpy()[row], line), wanted.value, bits))
+            own = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(line[hit]), lines.flatten().take(pa.array(hit)).cast(pa.string())], names=names)
 
-    return docs.select("text").mapInArrow(work, "id long, text string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key().alias("d"), "text").mapInArrow(work, f"doc_id {kind}, d long, line long, text string")
 
 
 def similar(one: pa.Array, other: pa.Array) -> np.ndarray:
@@ -492,10 +509,11 @@ def verified(pairs: DataFrame, docs: DataFrame, prefixed: DataFrame) -> DataFram
     context = pairs.sparkSession.sparkContext
     table, bits = bit_table(pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct())
     wanted = context.broadcast(table)
-    place = F.struct("doc_id", "d", "line")
-    firsts = places(prefixed, wanted, bits).groupBy("id").agg(F.min(place).alias("place"))
-    texts = line_texts(docs, wanted, bits).groupBy("id").agg(F.min("text").alias("text"))
-    lines = stored(firsts.join(texts, "id"))
+    firsts = stored(places(prefixed, wanted, bits).groupBy("id").agg(F.min(place()).alias("place")))
+    table, bits = bit_table(firsts.select(place_key(F.col("place.d"), F.col("place.line")).alias("id")))
+    texts = line_texts(docs, context.broadcast(table), bits).distinct()  # equal rows give a place more than once
+    at = firsts.select("id", "place", F.col("place.doc_id").alias("_doc"), F.col("place.d").alias("_d"), F.col("place.line").alias("_line"))
+    lines = stored(at.join(texts, (F.col("_d") == F.col("d")) & (F.col("_line") == F.col("line")) & F.col("_doc").eqNullSafe(F.col("doc_id"))).select("id", "place", "text"))
     later, earlier = (lines.select(F.col("id").alias(x), F.col("place").alias(f"{x}_at"), F.col("text").alias(f"{x}_text")) for x in ("later", "earlier"))
     both = pairs.select("later", "earlier").join(later, "later").join(earlier, "earlier").where("earlier_at < later_at").select("later", "later_at.*", "later_text", "earlier_text")
 
@@ -507,7 +525,7 @@ def verified(pairs: DataFrame, docs: DataFrame, prefixed: DataFrame) -> DataFram
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = stored(both.mapInArrow(work, f"later long, doc_id {kind}, d long, line long").distinct())
-    forget(lines)
+    forget(firsts, lines)
     return found
 
 
@@ -556,20 +574,24 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     prefixed = stored(prefix_table(docs, context.broadcast(rarity_levels(word_counts(docs)))))  # COUNTERS levels
     near = near_lines(docs, prefixed)
-    repeated = stored(line_ids(prefixed).groupBy("id", "k").count().where("count > 1").select("id", "k"))
+    repeated = stored(line_ids(prefixed).groupBy("id", "k").agg(F.count("*").alias("n")).where("n > 1"))
     table, bits = bit_table(repeated)
-    every = places(prefixed, context.broadcast(table), bits).join(repeated, ["id", "k"], "left_semi")
-    every = stored(every)
-    place = F.struct("doc_id", "d", "line")
-    firsts = every.groupBy("id", "k").agg(F.min(place).alias("first"))
-    equal = every.join(firsts, ["id", "k"]).where(place != F.col("first")).select("doc_id", "d", "line")
-    for part in near:
-        equal = equal.unionByName(part.select("doc_id", "d", "line"))
-    gone = stored(equal)
+    every = stored(places(prefixed, context.broadcast(table), bits))
+    gone = stored(equal_lines(every, repeated.agg(F.sum("n")).first()[0] or 0).unionByName(reduce(DataFrame.unionByName, [part.select("doc_id", "d", "line") for part in near])))
     forget(prefixed, repeated, every, *near)
     return gone
 
 
+def equal_lines(every: DataFrame, total: int) -> DataFrame:
+    """doc_id, d and line of all but the first place of each set of words (id, k); total: of lines whose set is not their own alone."""
+    firsts = every.groupBy("id", "k").agg(F.min(place()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    hot = F.col("n") > max(HOT_SET, total // MOST_HOT_SETS)
+    most = stored(firsts.where(hot))  # MOST_HOT_SETS rows at most
+    out = every.join(F.broadcast(most), ["id", "k"])
+    rest = every.join(F.broadcast(most.select("id", "k")), ["id", "k"], "left_anti").join(firsts.where(~hot), ["id", "k"])
+    return out.unionByName(rest).where(place() != F.col("first")).select("doc_id", "d", "line")
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, d and lines (sorted) of each document that loses lines."""
     lines = duplicate_lines(docs)
