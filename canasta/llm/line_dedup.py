@@ -31,7 +31,7 @@ pass through :func:`remove_lines`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -57,9 +57,10 @@ MOST_HOT = 1 << 22
 BLOCK_ROWS = 100_000
 TASK_ROWS = 400_000
 #: Bounds of a task's memory: bytes of text, prefix rows held before they are dealt, pairs of rows looked at together.
-BLOCK_BYTES = 4_000_000
-ROWS_AT_ONCE = 1 << 20
-PAIRS_AT_ONCE = 1 << 19
+BLOCK_BYTES = 2_000_000
+ROWS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 17
+FEW_PAIRS = 1 << 14
 EMIT = 20_000
 
 #: Sets of words in more lines than this are met by broadcast, of which there are at most MOST_HOT_SETS.
@@ -341,72 +342,132 @@ def needed(size: np.ndarray) -> np.ndarray:
     return -(-size * up // (up + down))
 
 
-def match_groups(rows: np.ndarray, best: bool) -> tuple[np.ndarray, ...]:
-    """later, earlier (ids), apart and more of pairs under a word that may match; best: of each later line the one that differs least, and whether there are more.
-
-    Rows of a word are put in order of size, so that those of fitting size are a
-    window before each row; of a pair, the row of the smaller order key is the
-    earlier, and both are if they share it.
+class Group:
+    """Prefix rows in order of word, cells and size, so that those of fitting size are a window before each row; equal lines of a word once, the earliest."""
+
+    def __init__(self, rows: np.ndarray):
+        up, down = SIMILARITY
+        rows = rows[np.lexsort((rows["doc"], rows["id"], rows["n"], rows["pair"], rows["word"]))]
+        same = [rows[c][1:] == rows[c][:-1] for c in ("word", "pair", "id", "n")]
+        rows = rows[np.concatenate([[True], ~(same[0] & same[1] & same[2] & same[3])])]
+        head = np.concatenate([[True], (rows["word"][1:] != rows["word"][:-1]) | (rows["pair"][1:] != rows["pair"][:-1])])
+        group = np.cumsum(head) - 1
+        self.ids, self.doc, self.s0, self.s1 = (np.ascontiguousarray(rows[c]) for c in ("id", "doc", "s0", "s1"))
+        self.n, self.left = rows["n"].astype(np.int32), rows["n"].astype(np.int32) - (rows["shape"] >> 1).astype(np.int32)
+        self.side = (rows["shape"] & 1).astype(np.int8)
+        heads = np.flatnonzero(head)
+        self.split = (np.maximum.reduceat(self.side, heads) != np.minimum.reduceat(self.side, heads))[group]
+        n = self.n.astype(np.int64)
+        self.width = np.arange(len(n)) - np.searchsorted(group << 32 | n, group << 32 | -(-n * up // down), "left")
+
+    def pairs(self, open_: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Rows, rows before them, and words apart and at most apart of those that may match, by distance, where one of both is open (which may change meanwhile)."""
+        j, step = np.flatnonzero(self.width > 0), 1
+        while len(j):
+            several = max(1, min(64, FEW_PAIRS // len(j)))  # distances at once
+            for a in range(0, len(j), PAIRS_AT_ONCE):
+                y = j[a : a + PAIRS_AT_ONCE]
+                if several > 1:
+                    back = np.tile(np.arange(step, step + several), len(y))
+                    y = np.repeat(y, several)
+                    y, back = y[back <= self.width[y]], back[back <= self.width[y]]
+                    x = y - back
+                else:
+                    x = y - step
+                some = open_[x] | open_[y]
+                x, y = x[some], y[some]
+                size = self.n[x] + self.n[y]
+                need = needed(size)
+                most = size - 2 * need
+                apart = np.bitwise_count(self.s0[x] ^ self.s0[y]).astype(np.int32)
+                ok = np.flatnonzero(apart <= most)
+                x, y, need, most, apart = x[ok], y[ok], need[ok], most[ok], apart[ok]
+                apart += np.bitwise_count(self.s1[x] ^ self.s1[y])
+                ok = (apart <= most) & (np.minimum(self.left[x], self.left[y]) >= need) & (self.ids[x] != self.ids[y]) & (~self.split[x] | (self.side[x] != self.side[y]))
+                if ok.any():
+                    yield x[ok], y[ok], apart[ok], most[ok]
+            step += several
+            j = j[self.width[j] >= step]
+
+    def directed(self, x: np.ndarray, y: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Later and earlier rows of pairs, by the order key; both ways where it is the same."""
+        forth, back = self.doc[x] <= self.doc[y], self.doc[y] <= self.doc[x]
+        yield (y[forth], x[forth], *(c[forth] for c in more))
+        yield (x[back], y[back], *(c[back] for c in more))
+
+
+def best_candidates(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """later, earlier (ids), apart and more: of each line the earlier one that differs least, and whether there may be others.
+
+    A line whose candidate differs by clearly less than it may is not compared any more, so that a
+    group of near copies takes a few comparisons a line, not one for each pair.
     """
-    up, down = SIMILARITY
-    none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int16), np.zeros(0, bool))
     if not len(rows):
-        return none
-    rows = rows[np.lexsort((rows["doc"], rows["id"], rows["n"], rows["pair"], rows["word"]))]
-    same = (rows["word"][1:] == rows["word"][:-1]) & (rows["pair"][1:] == rows["pair"][:-1])
-    # equal lines of other tasks: the earliest stands for all
-    rows = rows[np.concatenate([[True], ~(same & (rows["id"][1:] == rows["id"][:-1]) & (rows["n"][1:] == rows["n"][:-1]))])]
-    key = rows["word"].astype(np.uint64) << np.uint64(32) | rows["pair"]
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.cumsum(head) - 1
-    n, position, side = rows["n"].astype(np.int64), (rows["shape"] >> 1).astype(np.int64), rows["shape"] & 1
-    ids, doc, s0, s1 = (np.ascontiguousarray(rows[c]) for c in ("id", "doc", "s0", "s1"))
-    heads = np.flatnonzero(head)
-    split = (np.maximum.reduceat(side, heads) != np.minimum.reduceat(side, heads))[group]
-    low = np.searchsorted(group << 32 | n, group << 32 | -(-n * up // down), "left")
-    width = np.arange(len(n)) - low
-    upto, found = np.cumsum(width), []
-    a = 0
-    while a < len(n):
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
-        j = np.repeat(np.arange(a, b), width[a:b])
-        i = within(width[a:b]) + low[j]
-        size = n[i] + n[j]
-        need = needed(size)
-        apart = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int16) + np.bitwise_count(s1[i] ^ s1[j])
-        ok = np.flatnonzero(apart <= size - 2 * need)
-        i, j, need, apart = i[ok], j[ok], need[ok], apart[ok]
-        ok = (np.minimum(n[i] - position[i], n[j] - position[j]) >= need) & (ids[i] != ids[j]) & (~split[i] | (side[i] != side[j]))
-        found.append((i[ok], j[ok], apart[ok]))
-        a = b
-    i, j, apart = (np.concatenate(c) for c in zip(*found))
-    back, forth = doc[j] <= doc[i], doc[i] <= doc[j]
-    later, earlier, apart = ids[np.concatenate([j[forth], i[back]])], ids[np.concatenate([i[forth], j[back]])], np.concatenate([apart[forth], apart[back]]).astype(np.int16)
-    if not len(later):
-        return none
-    order = np.lexsort((earlier, apart, later))
-    later, earlier, apart = later[order], earlier[order], apart[order]
-    if not best:
-        return later, earlier, apart, np.zeros(len(later), bool)
-    head = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
-    more = np.maximum.reduceat(earlier, head) != np.minimum.reduceat(earlier, head)
-    return later[head], earlier[head], apart[head], more
-
-
-def candidates(rows: DataFrame, parts: int, best: bool = True, only=None, bits: int = 0) -> DataFrame:
-    """later, earlier, apart and more: pairs of line ids that may match; only: a broadcast bitmap of the later ones wanted."""
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, bool)
+    g = Group(rows)
+    open_, more = np.ones(len(g.n), bool), np.zeros(len(g.n), bool)
+    least, other = np.full(len(g.n), 2**15 - 1, np.int32), np.full(len(g.n), -1)
+    for pair in g.pairs(open_):
+        for later, earlier, apart, most in g.directed(*pair):
+            order = np.lexsort((apart, later))
+            later, earlier, apart, most = (c[order] for c in (later, earlier, apart, most))
+            head = np.concatenate([[True], later[1:] != later[:-1]])[: len(later)]
+            more[later[~head]] = True
+            later, earlier, apart, most = (c[head] for c in (later, earlier, apart, most))
+            more[later] |= other[later] >= 0
+            better = apart < least[later]
+            at = later[better]
+            least[at], other[at] = apart[better], earlier[better]
+            sure = later[4 * apart <= 3 * most]
+            open_[sure], more[sure] = False, True
+    at = np.flatnonzero(other >= 0)
+    order = np.lexsort((g.ids[other[at]], least[at], g.ids[at]))  # under one of the block's words
+    at = at[order]
+    head = np.flatnonzero(np.concatenate([[True], g.ids[at][1:] != g.ids[at][:-1]])) if len(at) else at
+    found, earlier = g.ids[at], g.ids[other[at]]
+    if len(head):
+        many = np.maximum.reduceat(earlier, head) != np.minimum.reduceat(earlier, head)
+        some = np.maximum.reduceat(more[at], head)
+        return found[head], earlier[head], least[at][head].astype(np.int16), some | many
+    return found, earlier, least[at].astype(np.int16), more[at]
+
+
+def all_candidates(rows: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """later, earlier, apart and more (false) of all pairs that may match and whose later line is wanted."""
+    if not len(rows):
+        return
+    g = Group(rows)
+    open_ = wanted(g.ids)
+    for pair in g.pairs(open_):
+        for later, earlier, apart in g.directed(*pair[:3]):
+            hit = open_[later]
+            if hit.any():
+                yield g.ids[later[hit]], g.ids[earlier[hit]], apart[hit].astype(np.int16), np.zeros(hit.sum(), bool)
+
+
+def candidates(rows: DataFrame, parts: int, only=None, bits: int = 0) -> DataFrame:
+    """later, earlier, apart and more: pairs of line ids that may match, of a later line the best of each block; only: a broadcast bitmap of the later ones of which all are wanted."""
+    names = ["later", "earlier", "apart", "more"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def matched() -> Iterator[pa.RecordBatch]:
-            found = match_groups(unpack(held), best)
+            own = unpack(held)
             held.clear()
-            if only is not None:
-                hit = in_table(found[0], only.value, bits)
-                found = tuple(c[hit] for c in found)
-            for a in range(0, len(found[0]), EMIT):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + EMIT]) for c in found], names=["later", "earlier", "apart", "more"])
+            found, size = [], 0
+            for part in [best_candidates(own)] if only is None else all_candidates(own, lambda ids: in_table(ids, only.value, bits)):
+                found.append(part)
+                size += len(part[0])
+                if size >= EMIT:
+                    yield from emitted(found)
+                    found, size = [], 0
+            yield from emitted(found)
+
+        def emitted(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*found)]
+            for a in range(0, len(columns[0]) if columns else 0, EMIT):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + EMIT]) for c in columns], names=names)
 
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -561,7 +622,7 @@ def near_lines(docs: DataFrame, prefixed: DataFrame) -> list[DataFrame]:
             return np.concatenate(found)
 
         rows = prefix_rows(prefixed, hot, count, only=context.broadcast(counted(prefixed, words_of_late) > 0))
-        again = stored(candidates(rows, parts, False, seen, bits).join(late, "later", "left_semi").select("later", "earlier").distinct())
+        again = stored(candidates(rows, parts, seen, bits).join(late, "later", "left_semi").select("later", "earlier").distinct())
         gone.append(verified(again, docs, prefixed))
         forget(again)
     forget(late)
