@@ -13,7 +13,8 @@ range pairs neighbours.
 
 Defined results: null texts count as empty; texts under five bytes have empty
 counters, so that empty texts share a digest and are wholly alike; equal texts
-have equal digests; rows that share a doc_id follow each other by text; a single
+have equal digests; ids are integers or strings; rows without an id come first,
+and rows that share one follow each other by a digest of their text; a single
 document is its own successor; an empty table gives an empty result; extra
 columns stay out.
 """
@@ -26,6 +27,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
+
+from .common import text_key
 
 BUCKETS = 256
 #: Offsets of the triplets in a window.
@@ -37,6 +41,8 @@ UNRELATED = 192
 #: Rows sought in a range, and rows that a task takes up at once.
 RANGE_ROWS = 2_000
 MOST_RANGES = 50_000
+#: Ids sampled for each range where they are strings.
+SAMPLED = 20
 BATCH = 200
 
 
@@ -89,28 +95,42 @@ def fingerprints(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("d
     return df.select(*carry, text).mapInArrow(work, f"{fields}, fingerprint string")
 
 
+def id_bounds(df: DataFrame, parts: int) -> np.ndarray:
+    """Ids that part a table with a column doc_id into about equal ranges."""
+    if isinstance(df.schema["doc_id"].dataType, IntegralType):
+        found = df.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / (parts + 1) for i in range(1, parts + 1)], 10 * parts).alias("q")).first()["q"]
+        return np.array(sorted(set(found or [])), np.int64)
+    if not isinstance(df.schema["doc_id"].dataType, StringType):
+        raise ValueError("doc_id must be an integer or a string")
+    # a sample by hash, which sets where ranges end and no result
+    ids = df.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLED * parts).toArrow().column(0).to_pylist()
+    return np.array(sorted(set(sorted(ids)[SAMPLED // 2 :: SAMPLED])), object)
+
+
 def ranges(df: DataFrame) -> DataFrame:
     """doc_id, text, range, copy (1 for the next range's first document), rows sorted by doc_id within a range of one partition."""
     spark = df.sparkSession
-    rows = df.select("doc_id").agg(F.count("*").alias("n")).first()["n"]
-    parts = max(1, min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS)))
-    found = df.select(F.percentile_approx("doc_id", [i / (parts + 1) for i in range(1, parts + 1)], 10 * parts).alias("q")).first()["q"]
-    bounds = np.array(sorted(set(found or [])), np.int64)
+    rows = df.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    parts = max(1, min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows["n"] // RANGE_ROWS)))
+    bounds, nulls = id_bounds(df.select("doc_id"), parts), 1 + min(MOST_RANGES, rows["nulls"] // RANGE_ROWS)
 
     @F.pandas_udf("int")
     def reached(ids: pd.Series) -> pd.Series:
         """How many bounds are at or under an id."""
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "right").astype(np.int32))
 
-    at = F.when(F.col("doc_id").isNull(), -1).otherwise(reached(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
-    dealt = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), at.alias("range"))
-    firsts = sorted((r["range"], r["first"]) for r in dealt.groupBy("range").agg(F.min("doc_id").alias("first")).collect())  # a row for each range
-    # the first row of a range by doc_id, then text, is also the last of the range before it
-    heads = spark.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], f"head {df.schema['doc_id'].dataType.simpleString()}, before int")
-    head = dealt.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("doc_id", "before").agg(F.min("text").alias("text"))
-    copied = head.select("doc_id", "text", F.col("before").alias("range"), F.lit(1).alias("copy"))
+    # rows without an id come first, in ranges of their texts' digests, below those of ids
+    at_null = (F.floor((F.shiftright("d", 32) + F.lit(1 << 31)) * F.lit(nulls) / F.lit(1 << 32)) - nulls).cast("int")
+    plain = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) if bounds.dtype != object else F.coalesce("doc_id", F.lit(""))
+    dealt = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key().alias("d"))
+    dealt = dealt.withColumn("range", F.when(F.col("doc_id").isNull(), at_null).otherwise(reached(plain)))
+    firsts = sorted((r["range"], r["doc_id"], r["d"]) for r in dealt.groupBy("range").agg(F.min(F.struct("doc_id", "d")).alias("first")).select("range", "first.*").collect())  # a row for each range
+    # the first row of a range by doc_id, then digest, is also the last of the range before it
+    heads = spark.createDataFrame([(doc_id, d, firsts[i - 1][0]) for i, (_, doc_id, d) in enumerate(firsts)], f"head {df.schema['doc_id'].dataType.simpleString()}, key long, before int")
+    head = dealt.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("d") == F.col("key"))).groupBy("doc_id", "d", "before").agg(F.min("text").alias("text"))
+    copied = head.select("doc_id", "text", "d", F.col("before").alias("range"), F.lit(1).alias("copy"))
     both = dealt.withColumn("copy", F.lit(0)).unionByName(copied)
-    return both.repartition("range").sortWithinPartitions("range", "copy", "doc_id", "text")
+    return both.repartition("range").sortWithinPartitions("range", "copy", "doc_id", "d", "text")
 
 
 def with_edits(df: DataFrame) -> DataFrame:
