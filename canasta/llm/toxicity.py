@@ -3,18 +3,22 @@
 Folding lower-cases, turns homoglyphs and full-width letters into Latin ones
 and undoes digit and symbol substitutions inside words, character by character,
 so matches keep their offsets. The lexicon is learned from labelled rows: the
-documents of each class that hold a folded word are counted over a sample of
-at most ``MOST_LABELLED`` rows, and words that toxic documents hold far more
-often get the log of the odds as weight. Each task matches all entries at once
-with an automaton, at word bounds alone; exception phrases are entries too, and
-a match inside one does not count. The weights found are summed, divided by
-the square root of the length in words, and a two-parameter logistic curve,
-fitted on the same sample, turns both figures into a score.
+documents of each class that hold a folded word are counted over two thirds of a
+sample of at most ``MOST_LABELLED`` rows, and words that toxic documents hold
+far more often get the log of the odds as weight (the ``MOST_ENTRIES`` of most
+evidence). An exception phrase is an entry with the word before or after it that
+only documents of label 0 hold, or one of ``EXCEPTIONS``. Each task matches all
+entries at once with an automaton, at word bounds alone; exception phrases are
+entries too, and a match inside one does not count. The weights found are
+summed, divided by the square root of the length in words, and a logistic curve,
+fitted on the third of the sample that the lexicon has not seen, turns both
+figures into a score.
 
 Defined results: null, empty and blank texts match nothing and get the score of
 a text without matches; repeated rows score alike; without labelled rows of
-both classes the lexicon is empty and every score is the share of toxic labels
-(0 without labels); an empty table gives an empty result.
+both classes the lexicon is empty and every score is under 0.001, or over 0.999
+if all labels are toxic; null ids have no label; an empty table gives an empty
+result; extra columns stay out.
 """
 
 from __future__ import annotations
@@ -23,9 +27,11 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +39,14 @@ from .common import cut
 
 
 #: Letters of other scripts that look like Latin ones (fixed values).
-HOMOGLYPHS = str.maketrans(
-    "аеорсухіјѕԁһӏԛԝвнкмтαεορυικνχτβ",
-    "aeopcyxijsdhlqwbhkmtaeopuiknxtb",
-)
+HOMOGLYPHS = dict(zip(
+    "аеорсухіјѕԁһӏԛԝвнкмтαεορυικνχτβ" "ɑɡıɩłøđħŧßʏʀᴀᴄᴅᴇᴊᴋᴍɴᴏᴘᴛᴜᴠᴡᴢ" "գզհոսցօրուաե" "ⅼⅰⅽⅾⅿⅴⅹ",
+    "aeopcyxijsdhlqwbhkmtaeopuiknxtb" "agiilodhtsyracdejkmnoptuvwz" "qqhnugopnuwe" "licdmvx",
+))
 #: Digits and symbols written for letters (fixed values).
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: Phrases in which an entry is no insult.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pathetic fallacy", "sore loser bracket", "weight loser")
+#: Phrases in which an entry is no insult, whatever the labelled rows hold (fixed values).
+EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pathetic fallacy", "biggest loser", "class clown", "dummy variable", "dummy text", "crash test dummy", "kill switch", "dead pixel", "idiot proof")
 
 MOST_LABELLED = 20_000
 MOST_ENTRIES = 2_000
@@ -49,6 +55,17 @@ LEAST_WEIGHT = 2.5
 #: Log likelihood ratio of a word's documents, as chance hardly gives among a hundred thousand words.
 LEAST_EVIDENCE = 16.0
 SMOOTHING = 0.5
+#: Bytes of text that a task takes up at once.
+BLOCK_BYTES = 4_000_000
+
+
+@lru_cache(1 << 16)
+def plain_letter(c: str) -> str:
+    """The Latin letter that a character stands for (full-width, mathematical and other forms of letters too), or the character."""
+    if c in HOMOGLYPHS:
+        return HOMOGLYPHS[c]
+    same = unicodedata.normalize("NFKC", c).lower()
+    return same if len(same) == 1 and same.isascii() else c
 
 
 def fold(text: str) -> str:
@@ -57,10 +74,7 @@ def fold(text: str) -> str:
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if not low.isascii():
-        low = low.translate(HOMOGLYPHS)
-        wide = set(c for c in set(low) if "！" <= c <= "～")
-        if wide:
-            low = low.translate({ord(c): unicodedata.normalize("NFKC", c) for c in wide})
+        low = low.translate({ord(c): plain_letter(c) for c in set(low) if c > "\x7f"})
     return SUBSTITUTED.sub(_plain, low)
 
 
@@ -109,15 +123,28 @@ class Matcher:
         return found
 
 
-def learn(labelled: DataFrame) -> tuple[dict[str, float], list[float]]:
-    """The lexicon and the curve from a bounded sample of rows with text and toxic (0 or 1)."""
-    sample = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"))
-    # counts of a bounded sample: distinct folded words by document, then documents by word
-    words = sample.select("toxic", "text").mapInArrow(_folded_words, "toxic int, word string")
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
+def blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with texts of bounded size, or one text."""
+    for batch in batches:
+        bytes_ = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        edges = (np.flatnonzero(np.diff(np.cumsum(bytes_, dtype=np.int64) // BLOCK_BYTES)) + 1).tolist()
+        for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def learn(labelled: DataFrame) -> tuple[dict[str, float], tuple[str, ...], list[float]]:
+    """The lexicon, the exception phrases and the curve from a bounded sample of rows with text and toxic (0 or 1)."""
+    sample = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("unseen"))
+    seen, unseen = sample.where(~F.col("unseen")), sample.where("unseen")
+    totals = {(r["unseen"], r["toxic"]): r["n"] for r in sample.groupBy("unseen", "toxic").agg(F.count("*").alias("n")).collect()}
+    if not all(totals.get((False, k)) and totals.get((True, k)) for k in (0, 1)):
+        seen = unseen = sample  # too few rows to part
+    bad, good = (sum(totals.get((u, k), 0) for u in ((False,) if seen is not sample else (False, True))) for k in (1, 0))
     if not bad or not good:
-        return {}, [8.0 if bad else -8.0, 0.0, 0.0]
+        return {}, EXCEPTIONS, [8.0 if bad else -8.0, 0.0, 0.0]
+    # counts of a bounded sample: distinct folded words by document, then documents by word
+    words = seen.select("toxic", "text").mapInArrow(_folded_words, "toxic int, word string")
     weight = F.log((F.col("b") + SMOOTHING) / F.lit(bad + 2 * SMOOTHING)) - F.log((F.col("g") + SMOOTHING) / F.lit(good + 2 * SMOOTHING))
     n, share = F.col("b") + F.col("g"), bad / (bad + good)
     evidence = F.col("b") * F.log(F.col("b") / (n * share)) + F.when(F.col("g") > 0, F.col("g") * F.log(F.col("g") / (n * (1 - share)))).otherwise(0.0)
@@ -132,12 +159,35 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], list[float]]:
         .limit(MOST_ENTRIES)
     )
     lexicon = {r["word"]: float(r["weight"]) for r in counted.collect()}
-    held = score_parts(sample.withColumn("doc_id", F.lit(0)), lexicon, ("toxic",)).select("toxic", "hits", "density").toArrow().to_pandas()  # the bounded sample
-    return lexicon, fit(held["hits"].to_numpy(), held["density"].to_numpy(), held["toxic"].to_numpy())
+    exceptions = (*EXCEPTIONS, *learned_exceptions(seen, lexicon))
+    held = score_parts(unseen, lexicon, ("toxic",), exceptions).select("toxic", "hits", "density").toArrow().to_pandas()  # the bounded sample
+    return lexicon, exceptions, fit(held["hits"].to_numpy(), held["density"].to_numpy(), held["toxic"].to_numpy())
+
+
+def learned_exceptions(sample: DataFrame, lexicon: dict[str, float]) -> list[str]:
+    """Entries with a neighbouring word, as LEAST_DOCS documents of label 0 and none of label 1 hold them."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon, ())
+        for part in blocks(batches, 1):
+            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if found := matcher.spans(text or ""):
+                    folded, phrases = fold(text), set()
+                    for a, b, _ in found:
+                        phrases |= {m.group(0) for m in (BEFORE.search(folded[max(0, a - 42) : b]), AFTER.match(folded[a : b + 42])) if m and len(m.group(0)) > b - a}
+                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(phrases), pa.int32()), pa.array(sorted(phrases), pa.string())], names=["toxic", "phrase"])
+
+    found = sample.select("toxic", "text").mapInArrow(work, "toxic int, phrase string").groupBy("phrase").agg(F.sum("toxic").alias("b"), F.count("*").alias("n"))
+    return [r["phrase"] for r in found.where((F.col("b") == 0) & (F.col("n") >= LEAST_DOCS)).orderBy(F.desc("n"), "phrase").limit(MOST_ENTRIES).collect()]
+
+
+#: The word before an entry that ends a text, and the word after one that begins it.
+BEFORE = re.compile(r"(?<![^\W\d_])[^\W\d_]+ [^\W\d_]+\Z")
+AFTER = re.compile(r"[^\W\d_]+ [^\W\d_]+(?![^\W\d_])")
 
 
 def _folded_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in blocks(batches, 1):
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = sorted({w for w in re.findall(r"[^\W\d_]+", fold(text or "")) if 3 <= len(w) <= 40})
             yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(words), pa.int32()), pa.array(words, pa.string())], names=["toxic", "word"])
@@ -155,14 +205,14 @@ def fit(hits: np.ndarray, density: np.ndarray, toxic: np.ndarray, steps: int = 6
     return [float(v) for v in w]
 
 
-def score_parts(df: DataFrame, lexicon: dict[str, float], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_parts(df: DataFrame, lexicon: dict[str, float], carry: tuple[str, ...] = ("doc_id",), exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """carry columns, hits (summed weights) and density (by the square root of the words)."""
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
     names = [*carry, "hits", "density"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(lexicon)
-        for batch in batches:
+        matcher = Matcher(lexicon, exceptions)
+        for batch in blocks(batches, len(carry)):
             hits, density = [], []
             for text in batch.column(len(carry)):
                 t = text.as_py() or ""
@@ -184,8 +234,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taught = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)  # a bounded sample by hash, so its ids can be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # an id's rows count once
-    lexicon, curve = learn(cut(sample))
-    parts = score_parts(docs, lexicon)
+    lexicon, exceptions, curve = learn(cut(sample))
+    parts = score_parts(docs, lexicon, exceptions=exceptions)
     z = F.lit(curve[0]) + F.lit(curve[1]) * F.log1p("hits") + F.lit(curve[2]) * F.log1p("density")
     scored = parts.withColumn("score", 1 / (1 + F.exp(-z)))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits", "density")

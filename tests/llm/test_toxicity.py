@@ -1,4 +1,7 @@
+import random
+import re
 import zlib
+from collections import Counter
 
 from canasta.llm import toxicity
 
@@ -21,6 +24,52 @@ def test_words_bounds_and_exceptions():
     assert found("") == []
 
 
+def test_other_forms_of_letters_fold():
+    for raw in ("𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "IDIOT", "ıdıot", "𝕴𝖉𝖎𝖔𝖙"):
+        assert toxicity.fold(raw) == "idiot" and len(toxicity.fold(raw)) == len(raw)
+    assert toxicity.fold("façade naïve Straße 日本") == "façade naïve strase 日本"
+    assert len("".join(toxicity.HOMOGLYPHS)) == len(toxicity.HOMOGLYPHS)
+
+
+def naive_spans(text, lexicon, exceptions):
+    """Each entry and phrase sought by itself."""
+    folded = toxicity.fold(text)
+
+    def at(phrase):
+        k = folded.find(phrase)
+        while k >= 0:
+            end = k + len(phrase)
+            if not (k and folded[k - 1].isalpha()) and not (end < len(folded) and folded[end].isalpha()):
+                yield k, end
+            k = folded.find(phrase, k + 1)
+
+    spared = [s for p in exceptions for s in at(p)]
+    return sorted((a, b, w) for e, w in lexicon.items() for a, b in at(e) if not any(x <= a and b <= y for x, y in spared))
+
+
+def test_matcher_against_a_naive_one(documents, texts):
+    words = Counter(w for t in texts.values() for w in re.findall(r"[^\W\d_]+", toxicity.fold(t or "")))
+    lexicon = {w: float(i % 7 + 1) for i, w in enumerate(list(words)[:: max(1, len(words) // 150)])} | LEXICON
+    often = Counter(x for t in texts.values() for x in re.findall(r"(?=\b([^\W\d_]+ [^\W\d_]+)\b)", toxicity.fold(t or "")) if x.split()[0] in lexicon)
+    exceptions = (*toxicity.EXCEPTIONS, *[p for p, _ in often.most_common(20)])
+    found = {r["doc_id"]: sorted((s["start"], s["end"], s["weight"]) for s in r["spans"]) for r in toxicity.spans(documents, lexicon, exceptions).collect()}
+    assert found == {i: naive_spans(t or "", lexicon, exceptions) for i, t in texts.items()}
+    assert sum(map(len, found.values())) > 200 and any(naive_spans(t or "", lexicon, ()) != found[i] for i, t in texts.items())
+
+
+def test_exceptions_are_learned_and_the_curve_is_fitted_on_other_rows(spark):
+    rng = random.Random(4)
+    filler = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    said = lambda *more: " ".join([*rng.sample(filler, 30), *more, *rng.sample(filler, 10)])
+    rows = [(i, said("you", "numbskull", "there") if i % 2 else said("numbskull", "island") if i % 12 == 0 else said(), i % 2) for i in range(300)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("text", "toxic")
+    lexicon, exceptions, curve = toxicity.learn(sample)
+    assert "numbskull" in lexicon and "numbskull island" in exceptions and "you numbskull" not in exceptions
+    docs = spark.createDataFrame([(1, said("numbskull", "island")), (2, said("numbskull", "again"))], "doc_id long, text string")
+    hits = {r["doc_id"]: r["hits"] for r in toxicity.score_parts(docs, lexicon, exceptions=exceptions).collect()}
+    assert hits[1] == 0 < hits[2]
+
+
 def test_held_out_accuracy_and_no_leak(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
