@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from canasta.llm import secrets
@@ -45,6 +46,37 @@ def test_weak_parts_need_each_other(spark):
         assert ",".join(told) == base(text)[4]
 
 
+def brute_spans(text):
+    """All spans of a text, weak ones if each part that they need is within scope of them."""
+    weak = {"weak_access": ("access", ("secret",)), "weak_secret": ("secret", ("access",)), "endpoint": ("endpoint", ("access", "secret"))}
+    part = {"assign": "secret", "access": "access", "hex": "secret"} | {k: v[0] for k, v in weak.items()}
+    spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base(text)[4].split(",") if x)]
+    for p in secrets.WEAK:
+        spans += [(m.start(), m.end(), p.kind) for m in re.finditer(p.regex, text)]
+    near = lambda s, need: any(part[o[2]] == need and o[0] <= s[1] + secrets.SCOPE and o[1] >= s[0] - secrets.SCOPE for o in spans)
+    kept = [s for s in spans if s[2] not in weak or all(near(s, need) for need in weak[s[2]][1])]
+    order = ["assign", "access", "hex", *weak]
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(kept, key=lambda s: (s[0], order.index(s[2]), s[1])))
+
+
+def test_linking_against_brute_force_on_generated_texts(spark):
+    rng = random.Random(5)
+    pieces = [
+        lambda: "AKIA" + "".join(rng.choices("ABCDEFGH0123", k=rng.randint(12, 18))),
+        lambda: rng.choice(["ASIA", "AROA", "AIDA"]) + "".join(rng.choices("ABCDEFGH0123", k=rng.randint(11, 17))),
+        lambda: "".join(rng.choices("abcdefXYZ0123456789+/", k=rng.choice([39, 40, 40, 41]))),
+        lambda: f"https://{rng.choice('abc')}.example.org/x?y=🙂",
+        lambda: f"token: '{''.join(rng.choices('abcdef0123', k=rng.randint(10, 16)))}'",
+        lambda: " word" * rng.choice([1, 3, 20, 79, 80, 81, 160, 400]),
+    ]
+    rows = [(i, " ".join(rng.choice(pieces)() for _ in range(rng.randint(1, 14)))) for i in range(400)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: brute_spans(t) for i, t in rows}
+    assert got == want
+    for kind in ("weak_access", "weak_secret", "endpoint"):
+        assert 20 < sum(kind in x for x in want.values())
+
+
 def test_native_plan(documents, empty):
     plan = secrets.find_spans(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
