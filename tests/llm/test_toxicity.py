@@ -61,7 +61,7 @@ def test_exceptions_are_learned_and_the_curve_is_fitted_on_other_rows(spark):
     rng = random.Random(4)
     filler = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
     said = lambda *more: " ".join([*rng.sample(filler, 30), *more, *rng.sample(filler, 10)])
-    rows = [(i, said("you", "numbskull", "there") if i % 2 else said("numbskull", "island") if i % 12 == 0 else said(), i % 2) for i in range(300)]
+    rows = [(i, said("you", "numbskull", "there") if i % 2 else said("numbskull", "island") if i % 30 == 0 else said(), i % 2) for i in range(300)]
     sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("text", "toxic")
     lexicon, exceptions, curve = toxicity.learn(sample)
     assert "numbskull" in lexicon and "numbskull island" in exceptions and "you numbskull" not in exceptions
