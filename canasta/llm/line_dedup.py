@@ -57,7 +57,7 @@ MOST_HOT = 1 << 22
 BLOCK_ROWS = 100_000
 TASK_ROWS = 400_000
 #: Bounds of a task's memory: bytes of text, prefix rows held before they are dealt, pairs of rows looked at together.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 4_000_000
 ROWS_AT_ONCE = 1 << 18
 PAIRS_AT_ONCE = 1 << 17
 FEW_PAIRS = 1 << 14
@@ -112,7 +112,7 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     parts = pc.ascii_split_whitespace(lines.flatten())
     sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = parts.flatten().dictionary_encode()
-    plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), characters=PUNCTUATION).dictionary_encode()
+    plain = plain_words(coded.dictionary).dictionary_encode()
     number = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
     pairs = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | number)
     pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
@@ -150,12 +150,14 @@ def joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(df: DataFrame, numbers) -> np.ndarray:
-    """COUNTERS counts summed over all rows; numbers gives the counters that a batch touches."""
+    """COUNTERS counts summed over all rows; numbers gives the counters that a batch touches, and how often (null: once each)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            total += np.bincount(numbers(batch) & (COUNTERS - 1), minlength=COUNTERS)
+            for at, often in numbers(batch):
+                at = at & np.uint32(COUNTERS - 1)
+                total += np.bincount(at, minlength=COUNTERS) if often is None else np.bincount(at, often, COUNTERS).astype(np.int64)
         yield from slots(total.reshape(-1, SLOT))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,18 +179,23 @@ def counted(df: DataFrame, numbers) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> np.ndarray:
-    """How many lines hold the words of each counter."""
+    """How often the words of each counter stand in all texts."""
 
-    def numbers(batch: pa.RecordBatch) -> np.ndarray:
-        found = [np.zeros(0, np.int64)]
+    def numbers(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in blocks(iter([batch]), 0):
-            _, _, number, hashes = word_table(part.column(0))
-            found.append(hashes.astype("<u4")[number].astype(np.int64))
-        return np.concatenate(found)
+            coded = pc.ascii_split_whitespace(part.column(0).cast(pa.large_string())).flatten().dictionary_encode()
+            often = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+            plain = plain_words(coded.dictionary)
+            some = pc.greater(pc.binary_length(plain), 0)
+            yield word_hashes(plain.filter(some)).astype("<u4"), often[some.to_numpy(zero_copy_only=False)]
 
     return counted(docs.select("text"), numbers)
 
 
+def plain_words(words: pa.Array) -> pa.Array:
+    return pc.utf8_trim(pc.utf8_lower(words), characters=PUNCTUATION)
+
+
 def rarity_levels(counts: np.ndarray) -> np.ndarray:
     """Counts on a logarithmic scale of 1024 steps."""
     return np.minimum(1023, 25 * np.log2(1 + counts)).astype(np.uint16)
@@ -320,7 +327,7 @@ def prefix_rows(prefixed: DataFrame, hot, count: int, crowd=None, only=None) ->
             at = rows["word"] & np.uint32(COUNTERS - 1)
             rows = dealt_rows(rows[(only.value if only is not None else crowd.value)[at]], *hot.value)
             block = (mix(rows["word"].astype(np.uint64) << np.uint64(32) | rows["pair"], 3) % np.uint64(count)).astype(np.int64)
-            order = np.lexsort((rows["word"], block))
+            order = np.argsort(block.astype(np.uint16) if count <= 1 << 16 else block, kind="stable")
             rows, block = rows[order], block[order]
             edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else block
             for a in range(0, len(edges), 64):
@@ -347,9 +354,16 @@ class Group:
 
     def __init__(self, rows: np.ndarray):
         up, down = SIMILARITY
-        rows = rows[np.lexsort((rows["doc"], rows["id"], rows["n"], rows["pair"], rows["word"]))]
+        if rows["pair"].any() or rows["n"].max() >= 4096:
+            order = np.lexsort((rows["id"], rows["n"], rows["pair"], rows["word"]))
+        else:  # the same in one key, in which unlike ids may rarely mix; equal lines that stay apart so are merely compared
+            order = np.argsort(rows["word"].astype(np.uint64) << np.uint64(32) | rows["n"].astype(np.uint64) << np.uint64(20) | rows["id"].view(np.uint64) & np.uint64(0xFFFFF))
+        rows = rows[order]
         same = [rows[c][1:] == rows[c][:-1] for c in ("word", "pair", "id", "n")]
-        rows = rows[np.concatenate([[True], ~(same[0] & same[1] & same[2] & same[3])])]
+        new = np.flatnonzero(np.concatenate([[True], ~(same[0] & same[1] & same[2] & same[3])]))
+        doc = np.minimum.reduceat(rows["doc"], new)
+        rows = rows[new]
+        rows["doc"] = doc
         head = np.concatenate([[True], (rows["word"][1:] != rows["word"][:-1]) | (rows["pair"][1:] != rows["pair"][:-1])])
         group = np.cumsum(head) - 1
         self.ids, self.doc, self.s0, self.s1 = (np.ascontiguousarray(rows[c]) for c in ("id", "doc", "s0", "s1"))
@@ -595,8 +609,8 @@ def near_lines(docs: DataFrame, prefixed: DataFrame) -> list[DataFrame]:
     spark = docs.sparkSession
     context = spark.sparkContext
 
-    def words_of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *(x.words.astype(np.int64) for x in line_blocks(iter([batch])))])
+    def words_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return ((x.words, None) for x in line_blocks(iter([batch])))
 
     crowd = counted(prefixed, words_of)
     hot = context.broadcast(hot_words(prefixed, crowd))
@@ -615,11 +629,8 @@ def near_lines(docs: DataFrame, prefixed: DataFrame) -> list[DataFrame]:
         table, bits = bit_table(late.select(F.col("later").alias("id")))
         seen = context.broadcast(table)
 
-        def words_of_late(batch: pa.RecordBatch) -> np.ndarray:
-            found = [np.zeros(0, np.int64)]
-            for x in line_blocks(iter([batch])):
-                found.append(x.words[np.repeat(in_table(x.ids, seen.value, bits), x.own)].astype(np.int64))
-            return np.concatenate(found)
+        def words_of_late(batch: pa.RecordBatch) -> Iterator[tuple]:
+            return ((x.words[np.repeat(in_table(x.ids, seen.value, bits), x.own)], None) for x in line_blocks(iter([batch])))
 
         rows = prefix_rows(prefixed, hot, count, only=context.broadcast(counted(prefixed, words_of_late) > 0))
         again = stored(candidates(rows, parts, seen, bits).join(late, "later", "left_semi").select("later", "earlier").distinct())
