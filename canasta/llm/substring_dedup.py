@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_key, unpacked, whole_row
+from .common import forget, stored, text_key, unpacked, whole_row
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RUN_WORDS = 20
@@ -147,8 +147,9 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: boo
     """
     every = units(docs, run_words, whole_lines)
     place = F.struct("doc_id", "d", "unit")
-    firsts = cut(every.select("h1", "h2", place.alias("p")).groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").drop("last"))
-    later = cut(every.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "d", "unit", "start", "end").distinct())
+    firsts = stored(every.select("h1", "h2", place.alias("p")).groupBy("h1", "h2").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").drop("last"))
+    # dealt by document once; what follows asks for no other order
+    later = every.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "d", "unit", "start", "end").repartition("doc_id", "d").distinct()
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "d").orderBy("unit"))
     if whole_lines:
         by_start = Window.partitionBy("doc_id", "d").orderBy("start", "end", "unit")
@@ -156,11 +157,13 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: boo
         later = later.withColumn("apart", F.coalesce(before < F.col("start"), F.lit(True)).cast("int"))
         run = F.sum("apart").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
     runs = later.withColumn("run", run).groupBy("doc_id", "d", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
-    return runs.groupBy("doc_id", "d").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = stored(runs.groupBy("doc_id", "d").agg(F.sum("n").alias("n_removed"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    forget(firsts)
+    return spans
 
 
 def _gone(docs: DataFrame, run_words: int, whole_lines: bool) -> DataFrame:
-    found = cut(repeated_spans(docs, run_words, whole_lines))
+    found = repeated_spans(docs, run_words, whole_lines)
     return found.select(F.col("doc_id").alias("_doc"), F.col("d").alias("_d"), "n_removed", F.col("spans").alias("_spans"))
 
 
