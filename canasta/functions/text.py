@@ -20,12 +20,14 @@ def collapse_whitespace(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    there = texts.notna()
+    return texts.where(~there, texts[there].map(lambda t: unicodedata.normalize("NFKC", t))) if there.any() else texts
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; text in plain ASCII, which it leaves as it is, stays out of Python."""
-    return F.when(text.rlike("[^\\x00-\\x7F]"), _nfkc(text)).otherwise(text)
+    """Compatibility composition. Spark runs a Python function on all rows, so text in plain ASCII, which stays as it is, goes to it as null."""
+    other = F.when(text.rlike("[^\\x00-\\x7F]"), text)
+    return F.coalesce(_nfkc(other), text)
 
 
 def normalize_title(text: Column) -> Column:

@@ -21,5 +21,14 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def literal(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def values(rows, names: str) -> str:
+    """SQL for fixed rows."""
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") t({names})"
+
+
 for _module in ("offers", "states", "history", "search", "unit_prices", "matching", "baskets", "reports", "control", "catalog", "landed", "read_models"):
     importlib.import_module(f"{__name__}.{_module}")

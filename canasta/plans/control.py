@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.domain import event_observations, latest_offers, read, with_
 from . import query
 from .offers import AGE, age_days
+from .unit_prices import PRICED
 
 HOUR = 3_600_000_000
 us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -61,6 +62,16 @@ DEMAND = """asked AS (SELECT conv_id, turn, lower(regexp_extract(text, '^(\\S+ \
 demand AS (SELECT q, count(*) AS n, min(conv_id) AS first_id, max(conv_id) AS last_id FROM asked WHERE length(q) BETWEEN 3 AND 80 GROUP BY 1)"""
 
 
+#: Conversations stand for time: the last is now, a tenth of them is a day, a third of them a month.
+CLOCK = "clock AS (SELECT max(conv_id) AS now, (max(conv_id) - min(conv_id)) // 10 AS day, (max(conv_id) - min(conv_id)) // 3 AS month FROM conversations)"
+
+
+def clock(spark, sf_dir):
+    """One row: now, and the lengths of a day and a month."""
+    c = read(spark, sf_dir, "conversations").agg(F.max("conv_id").alias("now"), (F.max("conv_id") - F.min("conv_id")).alias("span"))
+    return F.broadcast(c.select("now", F.expr("span div 10").alias("day"), F.expr("span div 3").alias("month")))
+
+
 def demand(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").where("role = 'user'")
     asked = c.select("conv_id", F.lower(F.regexp_extract("text", "^(\\S+ \\S+)", 1)).alias("q"))
@@ -72,21 +83,34 @@ def ing19(spark, sf_dir):
     return demand(spark, sf_dir)
 
 
-@query("ing20_demand_claim", f"WITH {DEMAND} SELECT q, n FROM demand WHERE last_id % 3 <> 0 ORDER BY n DESC, first_id, q LIMIT least(20, 240 - 227)")
+@query("ing20_demand_claim", f"WITH {DEMAND}, {CLOCK}, left_ AS (SELECT greatest(0, 240 - count(*)) AS n FROM demand, clock WHERE last_id > now - day), ranked AS (SELECT q, d.n, row_number() OVER (ORDER BY d.n DESC, first_id, q) AS rn FROM demand d, clock WHERE last_id <= now - day) SELECT q, n FROM ranked WHERE rn <= (SELECT least(20, n) FROM left_)")
 def ing20(spark, sf_dir):
-    """The most asked eligible queries within what is left of the daily budget."""
-    return demand(spark, sf_dir).where("last_id % 3 <> 0").orderBy(F.desc("n"), "first_id", "q").limit(min(20, 240 - 227)).select("q", "n")
+    """The most asked queries that were not asked within a day, twenty at most and within what the day's asking has left of 240."""
+    known = demand(spark, sf_dir).join(clock(spark, sf_dir))
+    left = known.where("last_id > now - day").agg(F.greatest(F.lit(0), 240 - F.count("*")).alias("left"))
+    first = known.where("last_id <= now - day").orderBy(F.desc("n"), "first_id", "q").limit(20)
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "first_id", "q"))  # of twenty rows
+    return first.withColumn("rn", rank).join(F.broadcast(left)).where("rn <= left").select("q", "n")
 
 
-@query("ing21_demand_cleanup", f"WITH {DEMAND} SELECT q FROM demand WHERE n = 1 AND last_id % 3 = 0 ORDER BY last_id, q LIMIT 100")
+@query("ing21_demand_cleanup", f"WITH {DEMAND}, {CLOCK} SELECT q FROM demand, clock WHERE last_id < now - month AND last_id <= now - day ORDER BY last_id, q LIMIT 100")
 def ing21(spark, sf_dir):
-    return demand(spark, sf_dir).where("n = 1 and last_id % 3 = 0").orderBy("last_id", "q").limit(100).select("q")
+    """The hundred oldest queries that nobody has asked for a month and that are off their cooldown."""
+    known = demand(spark, sf_dir).join(clock(spark, sf_dir))
+    return known.where("last_id < now - month and last_id <= now - day").orderBy("last_id", "q").limit(100).select("q")
 
 
-@query("ing22_demand_outcome", f"WITH {DEMAND} SELECT q, CASE WHEN n % 5 = 0 THEN 'failed' WHEN last_id % 4 = 0 THEN 'partial' WHEN first_id % 3 = 0 THEN 'no_results' ELSE 'completed' END AS outcome FROM demand")
+@query("ing22_demand_outcome", with_("latest") + f", {DEMAND}, " + """heads AS (SELECT DISTINCT substr(lower(w), 1, 2) AS head, retailer FROM (SELECT unnest(string_split(p_name, ' ')) AS w, l.retailer FROM latest l JOIN part ON p_partkey = l.part)),
+n AS (SELECT head, count(*) AS retailers FROM heads GROUP BY 1)
+SELECT q, CASE WHEN NOT regexp_matches(q, '[a-z]') THEN 'failed' WHEN n.retailers IS NULL THEN 'no_results' WHEN n.retailers < 4 THEN 'partial' ELSE 'completed' END AS outcome FROM demand LEFT JOIN n ON n.head = substr(q, 1, 2)""")
 def ing22(spark, sf_dir):
-    outcome = F.when(F.col("n") % 5 == 0, "failed").when(F.col("last_id") % 4 == 0, "partial").when(F.col("first_id") % 3 == 0, "no_results").otherwise("completed")
-    return demand(spark, sf_dir).select("q", outcome.alias("outcome"))
+    """A query fails without a letter, has no results where no product word begins as it does, is partial where not all four retailers sell one."""
+    words = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.explode(F.split("p_name", " ")).alias("w"))
+    heads = latest_offers(spark, sf_dir).join(words, "part").select(F.substring(F.lower("w"), 1, 2).alias("head"), "retailer").distinct()
+    n = heads.groupBy("head").agg(F.count("*").alias("retailers"))
+    asked = demand(spark, sf_dir).withColumn("head", F.substring("q", 1, 2)).join(n, "head", "left")
+    outcome = F.when(~F.col("q").rlike("[a-z]"), "failed").when(F.col("retailers").isNull(), "no_results").when(F.col("retailers") < 4, "partial").otherwise("completed")
+    return asked.select("q", outcome.alias("outcome"))
 
 
 @query("ing23_run_log", with_("ev") + " SELECT listing % 4 AS retailer, day, epoch_us(min(seen_at)) AS started_us, epoch_us(max(seen_at)) AS finished_us, count(*) FILTER (WHERE available) AS accepted, CASE WHEN bool_or(NOT available) THEN 'partial' ELSE 'success' END AS status FROM ev GROUP BY 1, 2")
@@ -108,35 +132,51 @@ def ing24(spark, sf_dir):
     return e.groupBy(F.col("listing").alias("user_")).agg(fold.alias("s")).select("user_", "s.revision", "s.conflicts")
 
 
-@query("ing25_refresh_demand", f"WITH {SOURCES} SELECT s.retailer, s.key, least(s.idle_hours, 4) AS next_hours FROM sources s WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 4 = s.retailer AND s_acctbal > 5000)")
+@query("ing25_refresh_demand", f"WITH {SOURCES}, wanted AS (SELECT DISTINCT c_nationkey % 4 AS retailer, c_mktsegment || '/' || c_nationkey AS key FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') SELECT s.retailer, s.key, least(s.idle_hours, 4) AS next_hours FROM sources s JOIN wanted USING (retailer, key)")
 def ing25(spark, sf_dir):
-    wanted = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").select((F.col("s_suppkey") % 4).alias("retailer"))
-    return sources(spark, sf_dir).join(wanted, "retailer", "left_semi").select("retailer", "key", F.least("idle_hours", F.lit(4)).alias("next_hours"))
+    """Sources that somebody with an urgent open order waits for come due within four hours."""
+    urgent = read(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    c = read(spark, sf_dir, "customer").join(urgent, "c_custkey", "left_semi")
+    wanted = c.select((F.col("c_nationkey") % 4).alias("retailer"), F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("key"))
+    return sources(spark, sf_dir).join(wanted, ["retailer", "key"], "left_semi").select("retailer", "key", F.least("idle_hours", F.lit(4)).alias("next_hours"))
 
 
-@query("rfr01_refresh_eligibility", with_("latest") + f" SELECT part, retailer FROM latest WHERE {AGE} >= 6 AND part % 4 <> 0")
+@query("rfr01_refresh_eligibility", with_("latest") + f" SELECT part, retailer FROM latest WHERE {AGE} >= 6 AND cents > 0")
 def rfr01(spark, sf_dir):
-    return latest_offers(spark, sf_dir).where((age_days() >= 6) & (F.col("part") % 4 != 0)).select("part", "retailer")
+    """Listings whose evidence is old enough and that have a path to fetch them by, which those without a price lack."""
+    return latest_offers(spark, sf_dir).where((age_days() >= 6) & (F.col("cents") > 0)).select("part", "retailer")
 
 
-PRIORITY = "CASE WHEN part % 11 = 0 THEN 0 WHEN part % 7 = 0 THEN 1 WHEN part % 5 = 0 THEN 2 WHEN part % 3 = 0 THEN 3 ELSE 4 END"
+#: Where the wish to refresh a listing comes from: it is compared in public, on an open list, asked for, a staple, or none of these.
+ORIGINS = """open_parts AS (SELECT DISTINCT l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'), public_parts AS (SELECT part FROM latest GROUP BY 1 HAVING count(*) = 4),
+heads AS (SELECT DISTINCT substr(q, 1, 3) AS head FROM demand), origins AS (SELECT l.*, CASE WHEN p.part IS NOT NULL THEN 0 WHEN o.part IS NOT NULL THEN 1 WHEN h.head IS NOT NULL THEN 2 WHEN split_part(p_name, ' ', 2) IN ('widget', 'anvil') THEN 3 ELSE 4 END AS origin
+FROM latest l JOIN part ON p_partkey = l.part LEFT JOIN public_parts p ON p.part = l.part LEFT JOIN open_parts o ON o.part = l.part LEFT JOIN heads h ON h.head = substr(p_name, 1, 3))"""
 
 
-def priority():
-    p = F.col("part")
-    return F.when(p % 11 == 0, 0).when(p % 7 == 0, 1).when(p % 5 == 0, 2).when(p % 3 == 0, 3).otherwise(4)
+def origins(spark, sf_dir):
+    """Latest offers with the origin of the wish to refresh them."""
+    latest = latest_offers(spark, sf_dir)
+    urgent = read(spark, sf_dir, "orders").where("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    listed = read(spark, sf_dir, "lineitem").join(urgent, "l_orderkey", "left_semi").select(F.col("l_partkey").alias("part")).distinct().withColumn("listed", F.lit(True))
+    public = latest.groupBy("part").agg(F.count("*").alias("n")).where("n = 4").select("part", F.lit(True).alias("public"))
+    asked = demand(spark, sf_dir).select(F.substring("q", 1, 3).alias("head")).distinct().withColumn("asked", F.lit(True))
+    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.substring("p_name", 1, 3).alias("head"), F.split_part("p_name", F.lit(" "), F.lit(2)).isin("widget", "anvil").alias("staple"))
+    known = latest.join(names, "part").join(public, "part", "left").join(listed, "part", "left").join(asked, "head", "left")
+    origin = F.when(F.col("public"), 0).when(F.col("listed"), 1).when(F.col("asked"), 2).when(F.col("staple"), 3).otherwise(4)
+    return known.withColumn("origin", origin)
 
 
-@query("rfr02_refresh_priority", with_("latest") + f" SELECT part, retailer FROM latest ORDER BY {PRIORITY}, seen_at, part, retailer LIMIT 500")
+@query("rfr02_refresh_priority", with_("latest") + f", {DEMAND}, {ORIGINS} SELECT part, retailer, origin FROM origins WHERE {AGE} >= 6 ORDER BY origin, seen_at, part, retailer LIMIT 500")
 def rfr02(spark, sf_dir):
     """The first 500 by origin, then age, then identity."""
-    return latest_offers(spark, sf_dir).orderBy(priority(), "at", "part", "retailer").limit(500).select("part", "retailer")
+    return origins(spark, sf_dir).where(age_days() >= 6).orderBy("origin", "at", "part", "retailer").limit(500).select("part", "retailer", "origin")
 
 
-@query("rfr03_refresh_pool", with_("latest") + f", pool AS (SELECT * FROM latest WHERE {AGE} >= 6 ORDER BY seen_at, part, retailer LIMIT 5000) SELECT {PRIORITY} AS origin, count(*) AS n FROM pool GROUP BY 1")
+@query("rfr03_refresh_pool", with_("latest") + f", {DEMAND}, {ORIGINS}, pool AS (SELECT * FROM origins WHERE {AGE} >= 6 ORDER BY seen_at, part, retailer LIMIT 5000) SELECT origin, count(*) AS n FROM pool GROUP BY 1")
 def rfr03(spark, sf_dir):
-    pool = latest_offers(spark, sf_dir).where(age_days() >= 6).orderBy("at", "part", "retailer").limit(5000)
-    return pool.groupBy(priority().alias("origin")).agg(F.count("*").alias("n"))
+    """Eligible listings, the 5000 oldest, by origin."""
+    pool = origins(spark, sf_dir).where(age_days() >= 6).orderBy("at", "part", "retailer").limit(5000)
+    return pool.groupBy("origin").agg(F.count("*").alias("n"))
 
 
 @query("rdm01_acquisition_status", f"WITH {SOURCES} SELECT retailer, count(*) AS sources, count(*) FILTER (WHERE idle_hours >= 20) AS due, min(idle_hours) AS newest, max(idle_hours) AS oldest, CAST(sum(pages) AS BIGINT) AS pages FROM sources GROUP BY 1")
@@ -149,12 +189,12 @@ def rdm02(spark, sf_dir):
     return demand(spark, sf_dir).orderBy(F.desc("n"), "q").limit(100).select("q", "n")
 
 
-@query("rdm03_discovery_completion", f"WITH {DEMAND}, done AS (SELECT q, first_id + CASE WHEN n > 1 THEN 1 ELSE 0 END AS attempt FROM demand) SELECT d.q FROM demand d JOIN done x ON x.q = d.q AND x.attempt = d.first_id")
+@query("rdm03_discovery_completion", f"WITH {DEMAND} SELECT d.q, count(*) AS n_turns FROM asked a JOIN demand d ON d.q = a.q AND d.last_id = a.conv_id GROUP BY 1")
 def rdm03(spark, sf_dir):
-    """A result counts only for the attempt it belongs to."""
-    d = demand(spark, sf_dir)
-    done = d.select("q", (F.col("first_id") + F.when(F.col("n") > 1, 1).otherwise(0)).alias("first_id"))
-    return d.join(done, ["q", "first_id"]).select("q")
+    """Of all attempts at a query the last one's results count, and late results of earlier ones do not: a join on both keys."""
+    c = read(spark, sf_dir, "conversations").where("role = 'user'")
+    attempts = c.select(F.col("conv_id").alias("last_id"), F.lower(F.regexp_extract("text", "^(\\S+ \\S+)", 1)).alias("q"))
+    return attempts.join(demand(spark, sf_dir), ["q", "last_id"]).groupBy("q").agg(F.count("*").alias("n_turns"))
 
 
 @query("rdm04_ingestion_inspection", with_("ev") + " SELECT event_id, listing, type FROM ev ORDER BY seen_at DESC, event_id LIMIT 10")
@@ -234,9 +274,10 @@ def hlp04(spark, sf_dir):
     return event_observations(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n")).select("day", F.date_add("day", 1).alias("next_day"), "n")
 
 
-@query("hlp06_result_blocks", with_("latest", "parts") + " SELECT part, retailer, CASE WHEN type = 'PROMO' THEN 'direct' WHEN size > 45 THEN 'unknown' ELSE 'package' END AS block FROM latest JOIN parts USING (part)")
+@query("hlp06_result_blocks", PRICED + " SELECT coalesce(basis, 'unknown') AS unit_block, CASE WHEN type = 'LARGE' THEN 'direct' ELSE 'package' END AS total_block, count(*) AS n, min(cents) AS low FROM priced GROUP BY 1, 2")
 def hlp06(spark, sf_dir):
-    from ..sources.domain import parts
+    """The block of each offer when sorted by unit price (its basis, or unknown) and by total (quoted by weight, or a package)."""
+    from .unit_prices import priced_offers
 
-    block = F.when(F.col("type") == "PROMO", "direct").when(F.col("size") > 45, "unknown").otherwise("package")
-    return latest_offers(spark, sf_dir).join(parts(spark, sf_dir), "part").select("part", "retailer", block.alias("block"))
+    offers = priced_offers(spark, sf_dir)
+    return offers.groupBy(F.coalesce("basis", F.lit("unknown")).alias("unit_block"), F.when(F.col("weighed"), "direct").otherwise("package").alias("total_block")).agg(F.count("*").alias("n"), F.min("cents").alias("low"))

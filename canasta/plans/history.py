@@ -210,13 +210,15 @@ def his10(spark, sf_dir):
     return all_.select("listing", F.when(~enough, "insufficient").when(good, "recommended").otherwise("no_pattern").alias("status"), F.when(good, F.col("weekday")).alias("weekday"))
 
 
-@query("his14_price_change_audit", with_("obs") + """, l AS (SELECT part, retailer, cents, seen_at, lag(cents) OVER w AS before, lag(seen_at) OVER w AS before_at FROM obs WINDOW w AS (PARTITION BY part, retailer ORDER BY seen_at, ok, ln))
-SELECT retailer, count(*) FILTER (WHERE before IS NOT NULL AND cents <> before) AS changes, count(*) FILTER (WHERE before = cents) AS repeats,
-count(*) FILTER (WHERE date_diff('day', before_at, seen_at) > 36) AS spaced FROM l GROUP BY 1""")
+@query("his14_price_change_audit", with_("states", "days") + """, c AS (SELECT s.listing, epoch_us(s.valid_from) - epoch_us(p.last_at) AS gap FROM states s ASOF JOIN (SELECT listing, seen_at AS last_at FROM ev WHERE available) p ON p.listing = s.listing AND p.last_at < s.valid_from WHERE s.previous_band IS NOT NULL)
+SELECT listing % 4 AS retailer, count(*) AS changes, count(*) FILTER (WHERE gap > 36 * 3600000000) AS spaced FROM c GROUP BY 1""")
 def his14(spark, sf_dir):
-    w = Window.partitionBy("part", "retailer").orderBy("at", "ok", "ln")
-    lagged = price_observations(spark, sf_dir).withColumns({"before": F.lag("cents").over(w), "before_at": F.lag("at").over(w)})
-    return lagged.groupBy("retailer").agg(F.count_if(F.col("cents") != F.col("before")).alias("changes"), F.count_if(F.col("cents") == F.col("before")).alias("repeats"), F.count_if(F.datediff("at", "before_at") > 36).alias("spaced"))
+    """Changes of price, and those whose last sight of the old price is more than 36 hours before."""
+    w = Window.partitionBy("listing").orderBy("at")
+    seen = usable(spark, sf_dir).withColumns({"before": F.lag("band").over(w), "before_at": F.lag("at").over(w)})
+    changed = seen.where("before is not null and band <> before")
+    gap = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("before_at").cast("timestamp"))
+    return changed.groupBy((F.col("listing") % 4).alias("retailer")).agg(F.count("*").alias("changes"), F.count_if(gap > 36 * 3_600_000_000).alias("spaced"))
 
 
 @query("his15_top_depth", with_("states") + " SELECT listing, count(*) AS n_states FROM states GROUP BY 1 HAVING count(*) > 1 ORDER BY n_states DESC, listing LIMIT 20")

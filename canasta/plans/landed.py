@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_pen
 from ..sources import landed as L
 from ..sources.domain import read, with_
-from . import query
-from .catalog import values
+from . import query, values
 
 
 def _item(number, price, list_price=None, sellers=("1",), unit="un", multiplier=1.0, available=True):
@@ -92,10 +91,16 @@ def src12(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", start.alias("from_"), F.least(start + 19, F.lit(2519)).alias("to_"), (start > 2500).alias("coverage_limited"))
 
 
-@query("src14_lookup_outcome", with_("ev") + " SELECT event_id, CASE type WHEN 'purchase' THEN 'observed' WHEN 'error' THEN 'unavailable' ELSE 'not-found' END AS outcome FROM ev")
+@query("src14_lookup_outcome", with_("latest") + """ SELECT p_partkey AS part, r.retailer, CASE WHEN l.part IS NULL THEN 'not-found' WHEN l.cents <= 0 THEN 'error' WHEN l.flag = 'R' THEN 'unavailable' ELSE 'observed' END AS outcome, CASE WHEN l.flag <> 'R' AND l.cents > 0 THEN l.cents END AS cents
+FROM part CROSS JOIN (VALUES (0), (1), (2), (3)) r(retailer) LEFT JOIN latest l ON l.part = p_partkey AND l.retailer = r.retailer""")
 def src14(spark, sf_dir):
-    outcome = F.when(F.col("event_type") == "purchase", "observed").when(F.col("event_type") == "error", "unavailable").otherwise("not-found")
-    return read(spark, sf_dir, "events").select("event_id", outcome.alias("outcome"))
+    """Each product looked up at each of the four retailers: what is found, or that it is not; a price of nothing is an error, no absence."""
+    from ..sources.domain import latest_offers
+
+    asked = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.explode(F.array(*[F.lit(r).cast("long") for r in range(4)])).alias("retailer"))
+    found = asked.join(latest_offers(spark, sf_dir), ["part", "retailer"], "left")
+    outcome = F.when(F.col("at").isNull(), "not-found").when(F.col("cents") <= 0, "error").when(F.col("flag") == "R", "unavailable").otherwise("observed")
+    return found.select("part", "retailer", outcome.alias("outcome"), F.when(outcome == "observed", F.col("cents")).alias("cents"))
 
 
 @query("src15_bounded_search", with_("obs", "parts") + """, f AS (SELECT part, retailer, min(ok * 10 + ln) AS position, max_by(cents, (ok * 10 + ln) * 1000000000 + cents) AS cents FROM obs GROUP BY 1, 2)
@@ -109,15 +114,13 @@ def src15(spark, sf_dir):
     return f.join(parts(spark, sf_dir), "part").orderBy(~F.col("name").contains("widget"), "position", "part", "retailer").limit(60).select("part", "retailer", "cents")
 
 
-@query("src17_coverage_union", with_("parts") + """, a AS (SELECT part, name, 1 AS source FROM parts WHERE part % 2 = 0), b AS (SELECT part, name || '*', 2 FROM parts WHERE part % 3 = 0), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
-SELECT part, max_by(name, source) AS name, count(*) AS n FROM u GROUP BY 1""")
+@query("src17_coverage_union", with_("parts") + " SELECT brand, name, size, max_by(part, type || lpad(CAST(part AS VARCHAR), 20, '0')) AS part, max(type) AS category, count(DISTINCT type) AS n_categories, count(*) AS n FROM parts GROUP BY 1, 2, 3")
 def src17(spark, sf_dir):
-    """All categories together; a later one overwrites the same product."""
+    """All categories (types, in order) in one union; a later category's product overwrites an earlier one's of the same SKU (brand, name and size)."""
     from ..sources.domain import parts
 
-    p = parts(spark, sf_dir).select("part", "name")
-    u = p.where("part % 2 = 0").withColumn("source", F.lit(1)).unionByName(p.where("part % 3 = 0").select("part", F.concat("name", F.lit("*")).alias("name"), F.lit(2).alias("source")))
-    return u.groupBy("part").agg(F.max_by("name", "source").alias("name"), F.count("*").alias("n"))
+    last = F.max(F.struct("type", "part"))
+    return parts(spark, sf_dir).groupBy("brand", "name", "size").agg(last.alias("l"), F.count_distinct("type").alias("n_categories"), F.count("*").alias("n")).select("brand", "name", "size", "l.part", F.col("l.type").alias("category"), "n_categories", "n")
 
 
 @query("snk02_list_export", """SELECT o_orderkey AS list, '{"version":2,"status":"' || o_orderstatus || '","items":' || n || '}' AS exported FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")

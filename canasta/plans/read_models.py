@@ -10,24 +10,32 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
-from ..functions.text import parse_pen, search_text
+from ..functions.text import normalize_title, parse_pen, search_text
 from ..sources.domain import event_observations, latest_offers, parts, price_observations, price_states, read, with_
-from . import query
-from .catalog import values
+from ..sources.groceries import SQL as GROCERIES
+from ..sources.groceries import groceries
+from . import query, values
+from .catalog import need_profile
 from .offers import CURRENT, FRESHNESS, current_offers, freshness
 from .states import coverage_days, micros, usable
+from .unit_prices import PRICED, priced_offers
 
 
-@query("src05_grouped_price", values([("1,234.5", 123450), ("12,345,678", 1234567800), ("0,123", None), ("1,23", None), ("12,34.5", None)], "raw, cents"))
+@query("src05_grouped_price", "SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(18,6)) * 100) AS BIGINT) AS cents FROM lineitem")
 def src05(spark, sf_dir):
-    return spark.createDataFrame([("1,234.5",), ("12,345,678",), ("0,123",), ("1,23",), ("12,34.5",)], "raw string").select("raw", parse_pen(F.col("raw")).alias("cents"))
+    """Amounts as storefronts write them, thousands grouped, read back as cents."""
+    told = F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", parse_pen(told).alias("cents"))
 
 
-@query("src08_benefit_validation", with_("ev") + " SELECT event_id, CASE WHEN type NOT IN ('click', 'purchase') THEN 'type' WHEN band IS NULL OR band <= 0 THEN 'price' WHEN event_id % 10 = 0 THEN 'period' END AS reject FROM ev")
+@query("src08_benefit_validation", with_("obs") + """, p AS (SELECT *, max(seen_at) OVER (PARTITION BY part, retailer) AS ends FROM obs)
+SELECT part, retailer, ok, ln, CASE WHEN flag NOT IN ('A', 'N') THEN 'type' WHEN cents <= 0 THEN 'price' WHEN seen_at >= ends THEN 'period' END AS reject FROM p""")
 def src08(spark, sf_dir):
-    """Only two kinds of benefit, a positive price, and a start before the end."""
-    reject = F.when(~F.col("type").isin("click", "purchase"), "type").when(F.col("band").isNull() | (F.col("band") <= 0), "price").when(F.col("event_id") % 10 == 0, "period")
-    return event_observations(spark, sf_dir).select("event_id", reject.alias("reject"))
+    """Only two kinds of benefit, a positive price, and a start before the end, which is the listing's last sight."""
+    o = price_observations(spark, sf_dir)
+    ends = o.groupBy("part", "retailer").agg(F.max("at").alias("ends"))
+    reject = F.when(~F.col("flag").isin("A", "N"), "type").when(F.col("cents") <= 0, "price").when(F.col("at") >= F.col("ends"), "period")
+    return o.join(ends, ["part", "retailer"]).select("part", "retailer", "ok", "ln", reject.alias("reject"))
 
 
 @query("src10_category_menu", "SELECT DISTINCT link, regexp_extract(link, '^/([^/]+)', 1) AS department FROM (SELECT unnest(regexp_extract_all(html, '<a href=\"(/[^\"]+)\"', 1)) AS link FROM pages) WHERE NOT regexp_matches(link, '^/(the|The|and)')")
@@ -84,30 +92,24 @@ def snk01(spark, sf_dir):
     return spark.read.schema("flag string, n long").json(path).withColumn("second", F.lit(second))
 
 
-RESOLVED = [("arroz extra", "rice", "extra"), ("huevos", "eggs", ""), ("aceite de girasol", "cooking_oil", "de girasol"), ("detergente líquido", "detergent", "liquido"), ("leche", None, "leche")]
-
-
-@query("cls02_family_query", values(RESOLVED, "query, family, rest"))
+@query("cls02_family_query", with_("parts") + ", " + GROCERIES + """ SELECT DISTINCT phrase AS query, family, CASE noun WHEN 'widget' THEN 'extra' WHEN 'gear' THEN 'de girasol gloria' WHEN 'bolt' THEN 'leche deslactosada laive' WHEN 'ring' THEN 'pardos la calera'
+WHEN 'plate' THEN 'suiza' WHEN 'rod' THEN 'liquido matic' WHEN 'anvil' THEN 'rubia bell s' WHEN 'gizmo' THEN 'costeno' END AS rest FROM groceries""")
 def cls02(spark, sf_dir):
-    """The family that a query's leading noun names, and the tokens left."""
-    from ..functions.text import fold_accents
-
-    q = spark.createDataFrame([(r[0],) for r in RESOLVED], "query string")
-    family, text = C.family(F.col("query")), fold_accents(search_text(F.col("query")))
-    nouns = "|".join(noun for _, noun, _ in C.FAMILIES)
-    rest = F.when(family.isNotNull(), F.trim(F.regexp_replace(text, f"^(?:{nouns})(?![a-z0-9_])", ""))).otherwise(text)
-    return q.select("query", family.alias("family"), rest.alias("rest"))
-
+    """The family that the leading noun of each product phrase names, and the tokens left."""
+    phrases = groceries(spark, sf_dir).select(F.trim(F.regexp_replace("title", "( (Bolsa|Caja|Botella|Frasco|Aprox\\.))? *((Pack|PACK|Paquete|Tripack) .*|\\d.*)$", "")).alias("query")).distinct()
+    text = C.fold_accents(search_text(F.col("query")))
+    named = C.leading_noun(text)
+    rest = F.when(named["family"].isNotNull(), F.trim(F.substr(text, F.length(named["noun"]) + 1))).otherwise(text)
+    return phrases.select("query", named["family"].alias("family"), rest.alias("rest"))
 
-NEEDS = [("aceite", "L", "oil:vegetable"), ("detergente", "L", "detergent:liquid"), ("detergente", "kg", "detergent:powder"), ("aceite de girasol", "L", "oil:sunflower"), ("arroz", "kg", "rice:white"), ("leche", "L", None)]
 
-
-@query("cls07_need_profile", values(NEEDS, "query, unit, profile"))
+@query("cls07_need_profile", with_("parts") + ", " + GROCERIES + """ SELECT noun, unit, count(*) AS n, any_value(title_profile) AS profile FROM groceries WHERE NOT bundle AND unit IS NOT NULL GROUP BY 1, 2""")
 def cls07(spark, sf_dir):
-    """An explicit profile, else that of bare oil or detergent by its unit."""
-    q = spark.createDataFrame([r[:2] for r in NEEDS], "query string, unit string")
-    bare = F.when(search_text(F.col("query")) == "aceite", "oil:vegetable").when((search_text(F.col("query")) == "detergente") & (F.col("unit") == "L"), "detergent:liquid").when((search_text(F.col("query")) == "detergente") & (F.col("unit") == "kg"), "detergent:powder")
-    return q.select("query", "unit", F.coalesce(C.substitution_profile(F.col("query")), bare).alias("profile"))
+    """The profile that each product infers as a need: what its title says, else that of bare oil or detergent by its unit."""
+    unit = F.when(F.col("a.unit") == "g", "kg").when(F.col("a.unit") == "ml", "L").otherwise("unit")
+    needs = groceries(spark, sf_dir).withColumn("a", C.attributes(F.col("title"))).where("a.unit is not null")
+    told = needs.select(F.split_part("name", F.lit(" "), F.lit(2)).alias("noun"), F.col("a.unit").alias("unit"), need_profile(F.col("title"), unit).alias("profile"))
+    return told.groupBy("noun", "unit").agg(F.count("*").alias("n"), F.max("profile").alias("profile"))
 
 
 @query("cls10_diagnostics", with_("ev") + " SELECT type, CASE WHEN type = 'error' THEN CASE WHEN band < 2 THEN 'timeout' WHEN band < 4 THEN 'parse' ELSE 'unexpected' END END AS reason, count(*) AS n FROM ev GROUP BY 1, 2")
@@ -117,10 +119,14 @@ def cls10(spark, sf_dir):
     return event_observations(spark, sf_dir).groupBy("type", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("elg04_offer_validation", with_("latest", "parts") + f" SELECT l.part, l.retailer, CASE WHEN l.cents <= 0 THEN 'price' WHEN l.flag = 'R' THEN 'unavailable' WHEN {FRESHNESS} <> 'fresh' THEN 'not-fresh' WHEN p.size % 13 = 0 THEN 'version' END AS reject FROM latest l JOIN parts p USING (part)")
+@query("elg04_offer_validation", PRICED + """ SELECT part, retailer, title_family AS family, CASE WHEN reason IN ('invalid-price', 'unavailable', 'not-fresh') THEN reason END AS reject,
+CASE WHEN reason IS NULL THEN (2 * num + den) // (2 * den) END AS unit_cents, CASE WHEN reason NOT IN ('invalid-price', 'unavailable', 'not-fresh') THEN reason END AS withheld FROM priced""")
 def elg04(spark, sf_dir):
-    reject = F.when(F.col("cents") <= 0, "price").when(F.col("flag") == "R", "unavailable").when(freshness() != "fresh", "not-fresh").when(F.col("size") % 13 == 0, "version")
-    return latest_offers(spark, sf_dir).join(parts(spark, sf_dir), "part").select("part", "retailer", reject.alias("reject"))
+    """Offers with their family and unit price; those that are not payable, fresh and available are rejected, others merely lack a unit price."""
+    barred = F.col("reason").isin("invalid-price", "unavailable", "not-fresh")
+    return priced_offers(spark, sf_dir).select(
+        "part", "retailer", "family", F.when(barred, F.col("reason")).alias("reject"),
+        F.when(F.col("reason").isNull(), F.expr("(2 * num + den) div (2 * den)")).alias("unit_cents"), F.when(~barred, F.col("reason")).alias("withheld"))
 
 
 @query("elg07_shared_prices", CURRENT + " SELECT a.part, a.retailer, a.cents, g.n, g.low FROM current a JOIN (SELECT part, count(*) AS n, min(cents) AS low FROM current GROUP BY 1) g USING (part)")
@@ -156,10 +162,12 @@ def orc04(spark, sf_dir):
     return spark.createDataFrame([(x[0],) for x in STATUS], "status int").select("status", outcome.alias("outcome"))
 
 
-@query("orc05_source_registry", "SELECT r_name AS region, count(*) AS nations, min(n_name) AS first_nation FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+@query("orc05_source_registry", """SELECT c_nationkey % 4 AS retailer, count(DISTINCT c_mktsegment || '/' || c_nationkey) AS sources, min(c_mktsegment || '/' || c_nationkey) AS first_source, max(c_mktsegment || '/' || c_nationkey) AS last_source FROM customer GROUP BY 1""")
 def orc05(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("nations"), F.min("n_name").alias("first_nation"))
+    """The registry of each retailer in one pass: its sources (a segment of a nation), each once."""
+    source = F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    listed = read(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 4).alias("retailer"), source.alias("source")).count()
+    return listed.groupBy("retailer").agg(F.count("*").alias("sources"), F.min("source").alias("first_source"), F.max("source").alias("last_source"))
 
 
 @query("orc06_single_product_page", values([("1", "observed", 990), ("2", "unavailable", None), ("3", "unknown", None)], "sku, outcome, cents"))
@@ -202,25 +210,28 @@ def rdm11(spark, sf_dir):
     return current_offers(spark, sf_dir).groupBy("retailer").agg(F.count("*").alias("n"), (F.count("*") <= 5000).alias("within"))
 
 
-@query("rdm12_sync_contracts", "SELECT c_custkey AS user_, n, CASE WHEN n IS NULL AND c_custkey % 10 = 0 THEN 'revision-without-list' WHEN n IS NOT NULL AND c_custkey % 15 = 0 THEN 'list-without-revision' END AS reject FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("rdm12_sync_contracts", """SELECT c_custkey AS user_, coalesce(n, 0) AS revision, CASE WHEN n IS NULL AND lists > 0 THEN 'list-without-revision' WHEN n > 0 AND coalesce(lists, 0) = 0 THEN 'revision-without-list' END AS reject FROM customer
+LEFT JOIN (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS lists, nullif(count(*) FILTER (WHERE o_orderstatus <> 'O'), 0) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def rdm12(spark, sf_dir):
-    """Revision 0 exactly where there is no list."""
-    n = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_")).agg(F.count("*").alias("n"))
-    u = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_")).join(n, "user_", "left")
-    return u.select("user_", "n", F.when(F.col("n").isNull() & (F.col("user_") % 10 == 0), "revision-without-list").when(F.col("n").isNotNull() & (F.col("user_") % 15 == 0), "list-without-revision").alias("reject"))
-
-
-DEFAULTS = [("arroz 5kg", 1, "kg"), ("aceite 900ml", 1, "L"), ("huevos 15un", 30, "unit"), ("jabón", 1, "unit")]
+    """Revision 0 exactly where there is no list: settled orders are the revisions, open ones the list."""
+    settled = F.col("o_orderstatus") != "O"
+    n = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_")).agg(F.count_if(settled).alias("revision"), F.count_if(~settled).alias("lists"))
+    u = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_")).join(n, "user_", "left").na.fill(0, ["revision", "lists"])
+    reject = F.when((F.col("revision") == 0) & (F.col("lists") > 0), "list-without-revision").when((F.col("revision") > 0) & (F.col("lists") == 0), "revision-without-list")
+    return u.select("user_", "revision", reject.alias("reject"))
 
 
-@query("hlp05_search_quantity", values(DEFAULTS, "title, amount, unit"))
+@query("hlp05_search_quantity", with_("parts") + ", " + GROCERIES + """ SELECT part, CASE WHEN title_family = 'eggs' THEN 30 ELSE 1 END AS amount, CASE base_unit WHEN 'g' THEN 'kg' WHEN 'ml' THEN 'L' ELSE 'unit' END AS unit FROM groceries""")
 def hlp05(spark, sf_dir):
     """A kilo, a litre or thirty eggs, by the first measure of the title."""
-    t = spark.createDataFrame([(r[0],) for r in DEFAULTS], "title string").withColumn("u", C.attributes(F.col("title"))["unit"])
-    unit = F.when(F.col("u") == "g", "kg").when(F.col("u") == "ml", "L").otherwise("unit")
-    return t.select("title", F.when(F.col("title").startswith("huevo"), 30).otherwise(1).alias("amount"), unit.alias("unit"))
+    first = F.get(C.quantities(normalize_title(F.col("title"))), F.lit(0))["unit"]
+    unit = F.when(first == "g", "kg").when(first == "ml", "L").otherwise("unit")
+    amount = F.when(F.coalesce(C.family(F.col("title")) == "eggs", F.lit(False)), 30).otherwise(1)
+    return groceries(spark, sf_dir).select("part", amount.alias("amount"), unit.alias("unit"))
 
 
-@query("hlp08_page_bounds", "SELECT page_id, len(regexp_extract_all(html, '<li>')) <= 48 AS within FROM pages")
+@query("hlp08_page_bounds", "SELECT page_id, len(regexp_extract_all(html, '<li>')) AS listed, len(regexp_extract_all(html, '<p[ >]')) AS n_rows, page_id >= 0 AND len(regexp_extract_all(html, '<li>')) <= 48 AND len(regexp_extract_all(html, '<p[ >]')) <= 64 AS within FROM pages")
 def hlp08(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", (F.regexp_count("html", F.lit("<li>")) <= 48).alias("within"))
+    """A page number, 48 products at most and 64 rows at most."""
+    counted = read(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<li>")).cast("long").alias("listed"), F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("n_rows"))
+    return counted.withColumn("within", (F.col("page_id") >= 0) & (F.col("listed") <= 48) & (F.col("n_rows") <= 64))

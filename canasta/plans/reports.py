@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.catalog import attributes
 from ..sources.domain import event_observations, latest_offers, parts, price_observations, read, with_
+from ..sources.groceries import SQL as GROCERIES
+from ..sources.groceries import groceries
 from . import query
-from .offers import CURRENT, FRESHNESS, current_offers, freshness
+from .offers import CURRENT, FRESHNESS, KEY, current_offers, freshness
 from .unit_prices import PRICED, priced_offers
 
 AUDIT = with_("latest", "parts") + f", known AS (SELECT l.*, p.type, p.size, {FRESHNESS} AS state FROM latest l JOIN parts p USING (part))"
@@ -57,9 +60,18 @@ def agg05(spark, sf_dir):
     return days.crossJoin(F.broadcast(today)).groupBy((F.col("listing") % 4).alias("retailer")).agg(F.count("*").alias("days"), F.sum("n").alias("observations"), F.count_if(F.col("day") == F.col("t")).alias("today"))  # one row
 
 
-@query("agg06_pending_work", with_("parts") + " SELECT count(*) FILTER (WHERE part % 5 = 0 OR size <= 3) AS normalization, count(*) FILTER (WHERE part % 7 = 0) AS matching FROM parts")
+@query("agg06_pending_work", CURRENT + ", " + GROCERIES + """, normalized AS (SELECT part, brand, name, size FROM groceries WHERE total IS NOT NULL), groups AS (SELECT brand, name, size FROM current GROUP BY 1, 2, 3 HAVING count(DISTINCT retailer) >= 2)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT part FROM current) c WHERE NOT EXISTS (SELECT 1 FROM normalized n WHERE n.part = c.part)) AS normalization,
+(SELECT count(*) FROM (SELECT DISTINCT part FROM current) c JOIN normalized n USING (part) WHERE NOT EXISTS (SELECT 1 FROM groups g WHERE g.brand = n.brand AND g.name = n.name AND g.size = n.size)) AS matching""")
 def agg06(spark, sf_dir):
-    return parts(spark, sf_dir).agg(F.count_if((F.col("part") % 5 == 0) | (F.col("size") <= 3)).alias("normalization"), F.count_if(F.col("part") % 7 == 0).alias("matching"))
+    """Products on offer whose title gives no total, and those that it does but that no other retailer's product matches: anti joins."""
+    offers = current_offers(spark, sf_dir)
+    titles = groceries(spark, sf_dir).select("part", *KEY, attributes(F.col("title"))["total"].alias("total")).where("total is not null")
+    groups = offers.groupBy(*KEY).agg(F.count_distinct("retailer").alias("n")).where("n >= 2")
+    listed = offers.select("part").distinct()
+    bare = listed.join(titles, "part", "left_anti").agg(F.count("*").alias("normalization"))
+    alone = titles.join(listed, "part", "left_semi").join(groups, KEY, "left_anti").agg(F.count("*").alias("matching"))
+    return bare.join(F.broadcast(alone))  # one row each
 
 
 @query("agg07_catalog_budget", with_("obs") + """, l AS (SELECT count(*) AS observations, count(DISTINCT part * 4 + retailer) AS listings FROM obs),
@@ -154,9 +166,10 @@ def hlt04(spark, sf_dir):
     return e.groupBy((F.col("listing") % 4).alias("retailer")).agg(F.max_by("type", "at").alias("attempt"), us(F.col("at")).alias("attempt_us"), us(F.when(F.col("available"), F.col("at"))).alias("success_us"))
 
 
-@query("hlt05_capacity_log", "SELECT count(*) FILTER (WHERE regexp_matches(text, '^(Capacity|Attion)')) AS markers, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(text, '^(Capacity|Attion)')) = 1 AS valid FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark)")
+@query("hlt05_capacity_log", """SELECT page_id, markers, markers = 1 AS valid, CASE WHEN markers = 1 THEN length(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) END AS size FROM (SELECT page_id, html, len(regexp_extract_all(html, '<h1>')) AS markers FROM pages)""")
 def hlt05(spark, sf_dir):
-    """A log is valid with exactly one marker line."""
-    lines = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("text"))
-    marker = F.count_if(F.col("text").rlike("^(Capacity|Attion)"))
-    return lines.agg(marker.alias("markers"), F.count("*").alias("lines"), (marker == 1).alias("valid"))
+    """A landed page counts as a log only with exactly one marker, whose value is then read."""
+    markers = F.regexp_count("html", F.lit("<h1>")).cast("long")
+    found = read(spark, sf_dir, "pages").select("page_id", "html", markers.alias("markers"))
+    size = F.when(F.col("markers") == 1, F.length(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).cast("long"))
+    return found.select("page_id", "markers", (F.col("markers") == 1).alias("valid"), size.alias("size"))

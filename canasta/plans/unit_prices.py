@@ -2,48 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources.domain import with_
+from ..functions.catalog import attributes, family
+from ..functions.unit_price import BASES, unit_price
+from ..sources.domain import latest_offers, with_
+from ..sources.groceries import SQL as GROCERIES
+from ..sources.groceries import groceries
 from . import query
 from .offers import CURRENT, FRESHNESS, current_offers, freshness
 
-#: The basis of a product type: what its size counts (weight, volume, pieces, rolls).
-BASES = ("mass", "volume", "item-count", "roll")
-BASIS_SQL = "CASE part % 5 WHEN 0 THEN 'mass' WHEN 1 THEN 'volume' WHEN 2 THEN 'item-count' WHEN 3 THEN 'roll' END"
-REASON_SQL = f"""CASE WHEN cents < 0 THEN 'invalid-price' WHEN flag = 'R' THEN 'unavailable' WHEN {FRESHNESS} <> 'fresh' THEN 'not-fresh'
-WHEN {BASIS_SQL} IS NULL THEN 'ambiguous-semantics' WHEN size <= 0 OR size > 45 THEN 'invalid-quantity' END"""
-
-
-def basis():
-    m = F.col("part") % 5
-    return F.when(m == 0, BASES[0]).when(m == 1, BASES[1]).when(m == 2, BASES[2]).when(m == 3, BASES[3])
-
-
-def unit_price():
-    """A struct of basis, quality, numerator, denominator (a whole unit is a thousand) or the first reason against one."""
-    reason = (
-        F.when(F.col("cents") < 0, "invalid-price").when(F.col("flag") == "R", "unavailable").when(freshness() != "fresh", "not-fresh")
-        .when(basis().isNull(), "ambiguous-semantics").when((F.col("size") <= 0) | (F.col("size") > 45), "invalid-quantity")
-    )
-    given = reason.isNull()
-    return F.struct(
-        F.when(given, basis()).alias("basis"), F.when(given, F.when(basis() == "roll", "approximate").otherwise("strong")).alias("quality"),
-        F.when(given, F.col("cents") * 1000).alias("num"), F.when(given, F.col("size") * 100).alias("den"), reason.alias("reason"),
-    )
-
-
-PRICED = with_("latest", "parts") + f""", reasons AS (SELECT l.*, p.size, p.brand, p.name, {REASON_SQL} AS reason FROM latest l JOIN parts p USING (part)),
-priced AS (SELECT *, CASE WHEN reason IS NULL THEN {BASIS_SQL} END AS basis, CASE WHEN reason IS NULL THEN CASE WHEN part % 5 = 3 THEN 'approximate' ELSE 'strong' END END AS quality,
-CASE WHEN reason IS NULL THEN cents * 1000 END AS num, CASE WHEN reason IS NULL THEN size * 100 END AS den FROM reasons)"""
+#: The gates of a unit price, by what the columns of a product say of its title.
+REASON_SQL = f"""CASE WHEN cents < 0 THEN 'invalid-price' WHEN flag = 'R' THEN 'unavailable' WHEN {FRESHNESS} <> 'fresh' THEN 'not-fresh' WHEN noun = 'gizmo' THEN 'ambiguous-semantics'
+WHEN issues LIKE '%ambiguous-quantity%' AND u <> v THEN 'conflicting-dimensions' WHEN type = 'LARGE' THEN NULL
+WHEN unit = 'g' AND total < 10 AND title_family IN ('rice', 'sugar', 'flour', 'oats', 'pasta') THEN 'ambiguous-quantity' WHEN issues <> '' THEN 'ambiguous-quantity' WHEN total IS NULL THEN 'missing-quantity' END"""
+PRICED = with_("latest", "parts") + f""", {GROCERIES}, reasons AS (SELECT l.part, l.retailer, l.cents, g.size, g.brand, g.name, g.type, g.unit, g.total, g.title_family, {REASON_SQL} AS reason FROM latest l JOIN groceries g USING (part)),
+priced AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN type = 'LARGE' OR unit = 'g' THEN 'mass' WHEN unit = 'ml' THEN 'volume' WHEN title_family = 'toilet_paper' THEN 'roll' ELSE 'item-count' END END AS basis,
+CASE WHEN reason IS NULL THEN CASE WHEN title_family = 'toilet_paper' AND type <> 'LARGE' THEN 'approximate' ELSE 'strong' END END AS quality,
+CASE WHEN reason IS NULL THEN CASE WHEN type = 'LARGE' THEN cents WHEN unit = 'unit' THEN cents ELSE cents * 1000 END END AS num, CASE WHEN reason IS NULL THEN CASE WHEN type = 'LARGE' THEN 1 ELSE total END END AS den FROM reasons)"""
 
 
 def priced_offers(spark, sf_dir):
-    from ..sources.domain import latest_offers, parts
-
-    joined = latest_offers(spark, sf_dir).join(parts(spark, sf_dir), "part")
-    return joined.withColumn("u", unit_price()).select("part", "retailer", "cents", "brand", "name", "size", "u.*")
+    """The latest offer of each listing with the unit price that its title gives; types sold large are quoted by weight."""
+    titled = groceries(spark, sf_dir).select("part", "brand", "name", "size", "title", (F.col("type") == "LARGE").alias("weighed"), attributes(F.col("title")).alias("a"), family(F.col("title")).alias("family"))
+    u = unit_price(F.col("cents"), F.col("title"), F.col("a"), F.col("family"), freshness() == "fresh", F.col("flag") != "R", F.col("weighed"))
+    return latest_offers(spark, sf_dir).join(titled, "part").withColumn("u", u).select("part", "retailer", "cents", "brand", "name", "size", "family", "weighed", "u.*")
 
 
 @query("upr01_unit_price", PRICED + " SELECT part, retailer, basis, quality, num, den, reason FROM priced")
@@ -51,10 +34,12 @@ def upr01(spark, sf_dir):
     return priced_offers(spark, sf_dir).select("part", "retailer", "basis", "quality", "num", "den", "reason")
 
 
-@query("upr02_unit_metadata", """SELECT unit, CASE unit WHEN 'g' THEN 'mass/kg' WHEN 'ml' THEN 'volume/l' WHEN 'unit' THEN 'item-count/unit' END AS label FROM (VALUES ('g'), ('ml'), ('unit'), ('other')) t(unit)""")
+@query("upr02_unit_metadata", PRICED + """ SELECT basis, CASE basis WHEN 'mass' THEN 'kg' WHEN 'volume' THEN 'l' WHEN 'roll' THEN 'rollo' WHEN 'item-count' THEN CASE WHEN title_family = 'eggs' THEN 'huevo' ELSE 'unidad' END END AS label, count(*) AS n FROM priced WHERE reason IS NULL GROUP BY 1, 2""")
 def upr02(spark, sf_dir):
-    u = spark.createDataFrame([("g",), ("ml",), ("unit",), ("other",)], "unit string")
-    return u.select("unit", F.when(F.col("unit") == "g", "mass/kg").when(F.col("unit") == "ml", "volume/l").when(F.col("unit") == "unit", "item-count/unit").alias("label"))
+    """What a price is for, in words; eggs are counted as such."""
+    told = priced_offers(spark, sf_dir).where("reason is null").withColumn("eggs", F.split_part("name", F.lit(" "), F.lit(2)) == "ring")
+    label = F.when(F.col("basis") == "mass", "kg").when(F.col("basis") == "volume", "l").when(F.col("basis") == "roll", "rollo").when(F.col("eggs"), "huevo").otherwise("unidad")
+    return told.groupBy("basis", label.alias("label")).agg(F.count("*").alias("n"))
 
 
 def exact_key(num: str = "num", den: str = "den"):
@@ -84,12 +69,13 @@ def upr05(spark, sf_dir):
     return priced_offers(spark, sf_dir).where("reason is null and cents > 0").select("part", "retailer", F.expr("num * (cents - cents div 10)").alias("num"), (F.col("den") * F.col("cents")).alias("den"))
 
 
-@query("upr06_canonical_unit_price", PRICED + """ SELECT brand, name, size, part, retailer, unit_cents FROM (SELECT *, (2 * num + den) // (2 * den) AS unit_cents,
-row_number() OVER (PARTITION BY brand, name, size ORDER BY num * 1000000 // den, part, retailer) AS rn FROM priced WHERE reason IS NULL) WHERE rn = 1""")
+@query("upr06_canonical_unit_price", PRICED + """ SELECT brand, name, size, basis, part, retailer, unit_cents FROM (SELECT *, (2 * num + den) // (2 * den) AS unit_cents,
+row_number() OVER (PARTITION BY brand, name, size, basis ORDER BY num * 1000000 // den, part, retailer) AS rn FROM priced WHERE reason IS NULL) WHERE rn = 1""")
 def upr06(spark, sf_dir):
-    """The lowest unit price of each product."""
-    first = F.row_number().over(Window.partitionBy("brand", "name", "size").orderBy(F.expr("num * 1000000 div den"), "part", "retailer"))
-    return priced_offers(spark, sf_dir).where("reason is null").withColumn("rn", first).where("rn = 1").select("brand", "name", "size", "part", "retailer", F.expr("(2 * num + den) div (2 * den)").alias("unit_cents"))
+    """The lowest unit price of each product by basis, as an aggregate: no row of a product is sorted."""
+    given = priced_offers(spark, sf_dir).where("reason is null")
+    least = F.min(F.struct(F.expr("num * 1000000 div den").alias("key"), "part", "retailer", F.expr("(2 * num + den) div (2 * den)").alias("unit_cents")))
+    return given.groupBy("brand", "name", "size", "basis").agg(least.alias("l")).select("brand", "name", "size", "basis", "l.part", "l.retailer", "l.unit_cents")
 
 
 @query("upr07_basis_order", PRICED + " SELECT basis, list_position(['mass', 'volume', 'item-count', 'roll'], basis) AS position, count(*) AS n FROM priced WHERE basis IS NOT NULL GROUP BY 1")
