@@ -264,9 +264,13 @@ def hlp01(spark, sf_dir):
 
 @query("hlp03_demand_predicate", f"WITH {DEMAND} SELECT q FROM demand WHERE NOT EXISTS (SELECT 1 FROM part WHERE starts_with(p_name, split_part(q, ' ', 1)))")
 def hlp03(spark, sf_dir):
-    """Queries whose first word begins no product name."""
-    words = read(spark, sf_dir, "part").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("p_name")), lambda i: F.substr("p_name", F.lit(1), i))).alias("head")).distinct()
-    return demand(spark, sf_dir).withColumn("head", F.split_part("q", F.lit(" "), F.lit(1))).join(words, "head", "left_anti").select("q")
+    """Queries whose first word begins no product name; a name can only begin with a word as its own first letters do, so these are the join's key."""
+    names = read(spark, sf_dir, "part").select("p_name", F.substring("p_name", 1, 2).alias("head")).distinct()
+    asked = demand(spark, sf_dir).withColumn("word", F.split_part("q", F.lit(" "), F.lit(1))).withColumn("head", F.substring("word", 1, 2))
+    short = F.length("word") < 2
+    long_ = asked.where(~short).join(names.withColumnRenamed("head", "h"), (F.col("head") == F.col("h")) & F.startswith("p_name", "word"), "left_anti")
+    first = names.select(F.substring("p_name", 1, 1).alias("word")).distinct()
+    return long_.select("q").union(asked.where(short & (F.col("word") != "")).join(first, "word", "left_anti").select("q"))
 
 
 @query("hlp04_lima_days", with_("ev") + " SELECT day, day + 1 AS next_day, count(*) AS n FROM ev GROUP BY 1")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.domain import parts, read, with_
+from ..sources.groceries import SQL as GROCERIES
+from ..sources.groceries import groceries
 from . import query
-from .offers import CURRENT, current_offers
+from .offers import ADMITTED, CURRENT, KEY, admitted_products, current_offers
+from .unit_prices import BASES, BENEFIT, PRICED, benefits, priced_offers
 
 #: Rows for string functions, the same for both engines.
 TITLES = ["  Arroz   Costeño 5kg ", "Leche Gloria 390g Paquete 6un", "ACEITE  Primor—1L", "Huevos “La Calera” 30un", "yogurt;griego|fresa", "Café 200g", "", "x"]
@@ -67,11 +70,20 @@ MATCH = "len(list_filter(string_split({q}, ' '), lambda t: len(list_filter(strin
 MATCHED = with_("parts") + f", {QUERY_ROWS}, n AS (SELECT q, {parted_sql('q')} AS t FROM queries), hits AS (SELECT n.q, n.t, p.* FROM n JOIN (SELECT *, {parted_sql('name')} AS words FROM parts) p ON {MATCH.format(q='n.t', w='p.words')})"
 
 
-def matched_parts(spark, sf_dir):
-    """Products whose name has each of a query's tokens; the queries are a fixed few, so they are broadcast."""
+def matched_names(spark, sf_dir, named):
+    """q, t, name and words of each distinct name of a table that has each of a query's tokens.
+
+    Names are normalised once each, whatever the number of their rows; the queries are a fixed few, so they are broadcast.
+    """
     wanted = query_rows(spark).select("q", T.search_text(F.col("q")).alias("t"), T.tokens(F.col("q")).alias("wanted"))
-    named = parts(spark, sf_dir).withColumn("words", T.tokens(F.col("name")))
-    return named.join(F.broadcast(wanted), T.matches_prefixes(F.col("words"), F.col("wanted")))
+    names = named.select("name").distinct().withColumn("words", T.tokens(F.col("name")))
+    return names.join(F.broadcast(wanted), T.matches_prefixes(F.col("words"), F.col("wanted"))).select("q", "t", "name", "words")
+
+
+def matched_parts(spark, sf_dir):
+    """Products whose name has each of a query's tokens."""
+    p = parts(spark, sf_dir)
+    return p.join(matched_names(spark, sf_dir, p), "name")
 
 
 @query("str07_token_prefix_match", MATCHED + " SELECT q, part, name FROM hits")
@@ -140,10 +152,12 @@ ORDER = "exact DESC, leads DESC, CAST(shared AS DECIMAL(18,0)) / size DESC, name
 
 
 def ranked_parts(spark, sf_dir):
-    """Exact titles, then those that begin with the query, then by trigrams, name and identity."""
-    hits = matched_parts(spark, sf_dir).withColumn("joined", F.array_join("words", " "))
-    shared, _ = T.shared_trigrams(T.trigrams(F.col("t")), T.trigrams(F.col("name")))
-    return hits.select("q", "part", "name", (F.col("t") == F.col("joined")).alias("exact"), F.startswith("joined", "t").alias("leads"), shared.alias("shared"), F.size(T.trigrams(F.col("name"))).cast("long").alias("size"))
+    """Exact titles, then those that begin with the query, then by trigrams, name and identity; scored once a name."""
+    p = parts(spark, sf_dir).select("part", "name")
+    hits = matched_names(spark, sf_dir, p).withColumn("joined", F.array_join("words", " ")).withColumn("grams", T.trigrams(F.col("name")))
+    shared, _ = T.shared_trigrams(T.trigrams(F.col("t")), F.col("grams"))
+    scored = hits.select("q", "name", (F.col("t") == F.col("joined")).alias("exact"), F.startswith("joined", "t").alias("leads"), shared.alias("shared"), F.size("grams").cast("long").alias("size"))
+    return p.join(scored, "name").select("q", "part", "name", "exact", "leads", "shared", "size")
 
 
 @query("sea01_generic_search", RANKED + " SELECT q, part, name, exact, leads, shared, size FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY exact DESC, leads DESC, shared * 1000000 // size DESC, name, part) AS place FROM scored) WHERE place <= 30")
@@ -166,9 +180,9 @@ SCOPED = CURRENT + f", {QUERY_ROWS}, n AS (SELECT q, {parted_sql('q')} AS t FROM
 
 
 def matched_offers(spark, sf_dir):
-    wanted = query_rows(spark).select("q", T.tokens(F.col("q")).alias("wanted"))
-    named = current_offers(spark, sf_dir).withColumn("words", T.tokens(F.col("name")))
-    return named.join(F.broadcast(wanted), T.matches_prefixes(F.col("words"), F.col("wanted"))).drop("wanted")
+    """Current offers of products whose name has each of a query's tokens."""
+    offers = current_offers(spark, sf_dir)
+    return offers.join(matched_names(spark, sf_dir, parts(spark, sf_dir)).drop("t"), "name")
 
 
 @query("sea03_public_search", SCOPED + " SELECT q, part, retailer, cents FROM hits")
@@ -187,15 +201,28 @@ def sea04(spark, sf_dir):
     return counted.groupBy("q").agg(F.sum("n").alias("total"), F.when(F.size(few) > 0, F.array_join(few.cast("array<string>"), ",")).alias("missing"))
 
 
-@query("sea05_grouped_search", SCOPED + """, g AS (SELECT q, brand, name, min(cents) AS low, count(*) AS n FROM hits GROUP BY 1, 2, 3)
-SELECT g.q, g.brand, g.name, g.low, g.n, (SELECT string_agg(h.part || ':' || h.retailer, ',' ORDER BY h.part, h.retailer) FROM hits h WHERE h.q = g.q AND h.brand = g.brand AND h.name = g.name AND h.cents = g.low) AS ties FROM g""")
+GROUPED = ADMITTED + ", " + GROCERIES + ", " + BENEFIT + f""", {QUERY_ROWS}, n AS (SELECT q, {parted_sql('q')} AS t FROM queries), hits AS (SELECT n.q, c.* FROM n JOIN (SELECT *, {parted_sql('name')} AS words FROM current) c ON {MATCH.format(q='n.t', w='c.words')}),
+member AS (SELECT h.q, CASE WHEN a.brand IS NOT NULL THEN concat_ws('|', h.brand, h.name, h.size) ELSE CAST(h.part AS VARCHAR) END AS grouped, g.title, h.part, h.retailer, h.cents, (SELECT min(b.cents) FROM benefits b WHERE b.part = h.part AND b.retailer = h.retailer AND b.cents < h.cents) AS benefit
+FROM hits h JOIN groceries g ON g.part = h.part LEFT JOIN admitted a ON a.brand = h.brand AND a.name = h.name AND a.size = h.size)"""
+
+
+@query("sea05_grouped_search", GROUPED + """ SELECT q, grouped, min_by(title, lpad(CAST(length(title) AS VARCHAR), 6, '0') || title) AS title, min(cents) AS low, min(benefit) AS benefit, count(*) AS n,
+string_agg(part || ':' || retailer, ',' ORDER BY part, retailer) FILTER (WHERE cents = low_) AS ties FROM (SELECT *, min(cents) OVER (PARTITION BY q, grouped) AS low_ FROM member) GROUP BY 1, 2""")
 def sea05(spark, sf_dir):
-    """Groups of offers with all that tie for the lowest price."""
-    w = Window.partitionBy("q", "brand", "name")
-    lowest = matched_offers(spark, sf_dir).withColumn("low", F.min("cents").over(w))
-    ties = F.array_sort(F.collect_list(F.when(F.col("cents") == F.col("low"), F.struct("part", "retailer"))))
-    told = F.array_join(F.transform(ties, lambda x: F.concat_ws(":", x["part"], x["retailer"])), ",")
-    return lowest.groupBy("q", "brand", "name").agg(F.min("cents").alias("low"), F.count("*").alias("n"), told.alias("ties"))
+    """Offers by canonical product where it is admitted, else by listing: the shortest title stands for a group, with its lowest price, its lowest benefit and all offers that tie."""
+    admitted = admitted_products(spark, sf_dir).withColumn("admitted", F.lit(True))
+    titles = groceries(spark, sf_dir).select("part", "title")
+    b = benefits(spark, sf_dir).select("part", "retailer", F.col("cents").alias("benefit"))
+    best = b.groupBy("part", "retailer").agg(F.min("benefit").alias("benefit"))  # the least is under the price if any is
+    offers = matched_offers(spark, sf_dir).join(admitted, KEY, "left").join(titles, "part").join(best, ["part", "retailer"], "left")
+    grouped = F.when(F.col("admitted"), F.concat_ws("|", "brand", "name", F.col("size").cast("string"))).otherwise(F.col("part").cast("string"))
+    under = F.when(F.col("benefit") < F.col("cents"), F.col("benefit"))
+    # all offers of a price as one sorted list: the least price's list is the group's ties
+    by_price = offers.groupBy("q", grouped.alias("grouped"), "cents").agg(
+        F.min(F.struct(F.length("title"), "title")).alias("t"), F.min(under).alias("benefit"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("part", "retailer"))).alias("ties"))
+    least = F.min_by("ties", "cents")
+    told = F.array_join(F.transform(least, lambda x: F.concat_ws(":", x["part"], x["retailer"])), ",")
+    return by_price.groupBy("q", "grouped").agg(F.min("t")["title"].alias("title"), F.min("cents").alias("low"), F.min("benefit").alias("benefit"), F.sum("n").alias("n"), told.alias("ties"))
 
 
 @query("sea06_whole_word_priority", SCOPED + " SELECT q, part, retailer, list_contains(string_split(words, ' '), t) AS whole FROM hits WHERE regexp_full_match(t, '[a-z]+')")
@@ -204,25 +231,35 @@ def sea06(spark, sf_dir):
     return matched_offers(spark, sf_dir).where(t.rlike("^[a-z]+$")).select("q", "part", "retailer", F.array_contains("words", t).alias("whole"))
 
 
-@query("sea07_sort_modes", CURRENT + """ SELECT mode, part, retailer FROM (SELECT 'total' AS mode, part, retailer, row_number() OVER (ORDER BY cents, part, retailer) AS place FROM current
-UNION ALL SELECT 'unit', part, retailer, row_number() OVER (ORDER BY CAST(cents AS DECIMAL(23,10)) * 1000000 // size, part, retailer) FROM current) WHERE place <= 40""")
+@query("sea07_sort_modes", PRICED + """, c AS (SELECT *, coalesce(list_position(['mass', 'volume', 'item-count', 'roll'], basis), 5) AS block, CASE WHEN basis IS NOT NULL THEN num * 1000000 // den END AS price FROM priced WHERE reason IS NULL OR reason NOT IN ('invalid-price', 'unavailable', 'not-fresh'))
+SELECT mode, part, retailer, place FROM (SELECT 'total' AS mode, part, retailer, row_number() OVER (ORDER BY type = 'LARGE', cents, part, retailer) AS place FROM c
+UNION ALL SELECT 'unit', part, retailer, row_number() OVER (ORDER BY block, price NULLS LAST, cents, part, retailer) FROM c) WHERE place <= 40""")
 def sea07(spark, sf_dir):
-    """The first forty offers by total and by unit price."""
-    c = current_offers(spark, sf_dir)
-    unit = F.expr("cents * 1000000 div size")
-    total = c.orderBy("cents", "part", "retailer").limit(40).select(F.lit("total").alias("mode"), "part", "retailer")
-    return total.union(c.orderBy(unit, "part", "retailer").limit(40).select(F.lit("unit"), "part", "retailer"))
+    """The first forty offers by total (those quoted by weight as a block after the packages) and by unit price (a block for each basis, those without one last)."""
+    c = priced_offers(spark, sf_dir).where("reason is null or reason not in ('invalid-price', 'unavailable', 'not-fresh')")
+    block = F.coalesce(F.when(F.col("basis").isNotNull(), F.array_position(F.array(*map(F.lit, BASES)), F.col("basis"))), F.lit(5))
+    orders = {"total": ["weighed", "cents", "part", "retailer"], "unit": [block, F.expr("num * 1000000 div den").asc_nulls_last(), F.col("cents"), F.col("part"), F.col("retailer")]}
+
+    def first(mode: str):
+        top = c.orderBy(*orders[mode]).limit(40)
+        return top.select(F.lit(mode).alias("mode"), "part", "retailer", F.row_number().over(Window.orderBy(*orders[mode])).alias("place"))  # of forty rows
+
+    return first("total").union(first("unit"))
 
 
 @query("sea08_quota_top_k", CURRENT + """, r AS (SELECT part, retailer, type, row_number() OVER (PARTITION BY type ORDER BY cents, part, retailer) AS own, row_number() OVER (ORDER BY cents, part, retailer) AS place FROM current),
 q AS (SELECT 30 // count(DISTINCT type) AS quota FROM current)
-SELECT part, retailer, type FROM (SELECT r.*, row_number() OVER (ORDER BY own > quota, place) AS rank FROM r CROSS JOIN q) WHERE rank <= 30""")
+SELECT part, retailer, type, (rank - 1) // 30 + 1 AS page FROM (SELECT r.*, row_number() OVER (ORDER BY own > quota, place) AS rank FROM r CROSS JOIN q) WHERE rank <= 90""")
 def sea08(spark, sf_dir):
-    """Thirty offers: a quota from each basis, the rest filled by price."""
+    """Three pages of thirty offers: a quota from each type, the rest filled by price. An offer beyond ninety of its type is on none of them, so each type's rows are cut before they are shuffled."""
     c = current_offers(spark, sf_dir)
-    own = F.row_number().over(Window.partitionBy("type").orderBy("cents", "part", "retailer"))
+    by = ["cents", "part", "retailer"]
+    own = F.row_number().over(Window.partitionBy("type").orderBy(*by))
     quota = c.agg(F.floor(F.lit(30) / F.count_distinct("type")).alias("quota"))
-    return c.withColumn("own", own).crossJoin(F.broadcast(quota)).orderBy(F.col("own") > F.col("quota"), "cents", "part", "retailer").limit(30).select("part", "retailer", "type")
+    few = c.withColumn("own", own).where("own <= 90").crossJoin(F.broadcast(quota)).withColumn("filled", F.col("own") > F.col("quota"))
+    pages = few.orderBy("filled", *by).limit(90)
+    rank = F.row_number().over(Window.orderBy("filled", *by))  # of ninety rows
+    return pages.select("part", "retailer", "type", F.floor((rank - 1) / 30 + 1).alias("page"))
 
 
 @query("sea09_filters", CURRENT + " SELECT part, retailer, cents FROM current WHERE retailer IN (0, 2) AND type = 'ECONOMY' AND cents BETWEEN 1000 AND 200000")

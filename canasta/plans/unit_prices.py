@@ -84,7 +84,8 @@ def upr07(spark, sf_dir):
     return priced_offers(spark, sf_dir).where("basis is not null").groupBy("basis").agg(F.count("*").alias("n")).select("basis", F.array_position(order, F.col("basis")).alias("position"), "n")
 
 
-BENEFITS = CURRENT + """, benefits AS (SELECT part, retailer, flag AS program, min(cents) AS cents FROM obs WHERE flag IN ('A', 'N') AND seen_at >= TIMESTAMP '2001-01-01' GROUP BY 1, 2, 3)"""
+BENEFIT = "benefits AS (SELECT part, retailer, flag AS program, min(cents) AS cents FROM obs WHERE flag IN ('A', 'N') AND seen_at >= TIMESTAMP '2001-01-01' GROUP BY 1, 2, 3)"
+BENEFITS = CURRENT + ", " + BENEFIT
 
 
 def benefits(spark, sf_dir):

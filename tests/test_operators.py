@@ -52,6 +52,61 @@ def test_quantities_keep_to_whole_units(spark):
     assert one(spark, "a" * 5000 + " 2 kg", C.quantities)[0]["value"] == 2000
 
 
+#: Title, quantity, unit, count and total (known results).
+GOLDEN = [
+    ("Leche Gloria Lata 390g Paquete 6un", 390, "g", 6, 2340), ("Leche Laive Tripack Caja 946ml", 946, "ml", 3, 2838), ("Huevos La Calera Bandeja 30un", 30, "unit", 1, 30),
+    ("Leche pack x 500 g", 500, "g", None, None), ("Producto 0.1g", None, None, None, None), ("Producto 500g / 1kg", None, None, None, None), ("Leche Gloria 390g 2x1", 390, "g", 1, 390),
+    ("Arroz Costeño Bolsa 5kg", 5000, "g", 1, 5000), ("Aceite Primor 1L + Arroz 1kg", None, None, None, None), ("Yogurt Gloria 1,5 lt", 1500, "ml", 1, 1500),
+]
+
+
+@pytest.mark.parametrize(("title", "quantity", "unit", "count", "total"), GOLDEN)
+def test_attributes_of_known_titles(spark, title, quantity, unit, count, total):
+    got = one(spark, title, C.attributes)
+    assert (got["quantity"], got["unit"], got["count"], got["total"]) == (quantity, unit, count, total)
+
+
+@pytest.mark.parametrize(("title", "issues"), [("a 1kg + b 2kg", ["mixed-bundle", "ambiguous-quantity"]), ("carne aprox 1kg", ["approximate-quantity"]), ("x 1kg 2kg", ["ambiguous-quantity"]), ("leche pack x 500 g", ["unknown-package-count"]), ("arroz 1kg", [])])
+def test_issues_of_known_titles(spark, title, issues):
+    assert one(spark, title, C.attributes)["issues"] == issues
+
+
+@pytest.mark.parametrize(("title", "counts"), [
+    ("tripack leche 946ml", [3]), ("pack x 6", [6]), ("pack 4 latas 200g", [4]), ("6 x 390 g", [6]), ("pack x 500 g", []), ("paquete x 12 botellas 1l", [12]), ("multipack x 6 1l", []), ("leche 390g x 6", [6]),
+    ("leche 390g 6un", [6]), ("leche 390g -6un", []), ("sixpack pack x 6 390g", [6]), ("pack x 4, 390g", []), ("6×390g", [6]),
+])
+def test_pack_counts_of_known_titles(spark, title, counts):
+    assert one(spark, title, lambda c: C.pack_counts(c, c.rlike(C.QUANTITY))) == counts
+
+
+@pytest.mark.parametrize(("title", "family", "profile"), [
+    ("Huevos pardos 15un", "eggs", "eggs:regular"), ("Huevo de pascua 100g", None, None), ("Arroz extra 5kg", "rice", "rice:white"), ("Arroz integral 1kg", "rice", None), ("Azúcar rubia 1kg", "sugar", None),
+    ("Gaseosa sin azúcar", None, None), ("Aceite de girasol 1L", "cooking_oil", "oil:sunflower"), ("Aceite vegetal 900ml", "cooking_oil", "oil:vegetable"), ("Aceite corporal", None, None), ("Fideos tallarín 500g", "pasta", None),
+    ("Pasta dental", None, None), ("Trozos de atún en aceite", "canned_tuna", None), ("Detergente líquido matic 3L", "detergent", "detergent:liquid:machine"), ("Detergente en polvo 4kg", "detergent", "detergent:powder"),
+    ("Detergente bebé líquido", "detergent", None), ("Detergente líquido y polvo", "detergent", None), ("Papel higiénico 12un", "toilet_paper", None), ("Cocedor de arroz", None, None), ("Tripack arroz 1kg", None, None),
+    ("Fourpack arroz 1kg", "rice", "rice:white"), ("Pack de 6 un Avena 500g", "oats", None), ("Arroz 1kg + Aceite", None, None),
+])
+def test_families_and_profiles_of_known_titles(spark, title, family, profile):
+    assert (one(spark, title, C.family), one(spark, title, C.substitution_profile)) == (family, profile)
+
+
+def test_categories_come_before_titles(spark):
+    rows = [("Leche 1L", "metro", "1001283"), ("Leche 1L", "tottus", "1001283"), ("Arroz 1kg", "makro", "859"), ("Arroz 1kg", "tottus", "859"), ("Arroz + Leche", "metro", "1001283"), ("Arroz 1kg", None, "439"), ("Arroz 1kg", "metro", None)]
+    f = C.family_evidence(F.col("t"), F.col("r"), F.col("c"))
+    got = [tuple(x["f"]) for x in spark.createDataFrame(rows, "t string, r string, c string").select(f.alias("f")).collect()]
+    title = ("rice", "title", "product-noun:rice")
+    assert got == [("rice", "source-category", "1001283"), (None, None, "no-confident-product-noun"), (None, None, "category-mismatch:859"), title, (None, None, "mixed-bundle-or-property/accessory"), title, title]
+
+
+@pytest.mark.parametrize(("title", "brand", "compared"), [
+    ("Leche Gloria Deslactosada 946ml Pack x 6", "Gloria", "leche lactosafree"), ("Yogurt Laive descremado pote 1kg", "Laive", "yogurt descremad"), ("Pavo San Fernando", "San Fernando", "pavo"), ("Leche A2 x6 390 g", None, "leche a2"),
+    ("Gloriana y Laive", "Laive", "gloriana y"), ("Leche 4 x 390g", None, "leche 4"), ("Arroz zero lacto cajas 2x1", None, "arroz lactosafree 2x1"),
+])
+def test_comparison_titles(spark, title, brand, compared):
+    assert one(spark, title, C.title_brand) == brand
+    assert one(spark, title, lambda c: C.comparison_title(c, C.title_brand(c))) == compared
+
+
 def brute_tiers(needs, options):
     out = {}
     for tier in (1, 2, 3):
