@@ -27,10 +27,10 @@ empty result; extra columns of any name pass through :func:`remove_spans`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,71 +40,136 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RUN_WORDS = 20
 WINDOW = 8
 EMIT = 20_000
+#: Bytes of text taken up at once.
+BLOCK_BYTES = 1_000_000
 #: Numbers of whole lines as units lie below those of others.
 FIRST_LINE = -(2**31)
 #: Bytes of words: white space, and what is neither it nor punctuation.
 WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 PLAIN = ~WHITE & ~np.isin(np.arange(256), list(PUNCTUATION))
-#: Powers of an odd number modulo 2^64, by position in a word.
-POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+#: Odd factors of the polynomials that name words (by their bytes) and runs of words, and their inverses modulo 2^64.
+BYTES = 0x9E3779B97F4A7C15
+RUNS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def words_of(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The normalised words, each followed by a space; where each ends there; and its start and end in the text."""
+class Powers:
+    """The powers of a number modulo 2^64, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.known = base % 2**64, np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if n > len(self.known):
+            self.known = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 2 * len(self.known)), self.base, np.uint64))])
+        return self.known[:n]
+
+
+def mix(x: np.ndarray, salt: int) -> np.ndarray:
+    x = x + np.uint64(salt)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(RUNS[0])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(RUNS[1])
+    return x ^ (x >> np.uint64(31))
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, of the same length."""
     low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    raw = low.encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw, np.uint8)
-    edges = np.flatnonzero(np.diff(~WHITE[data], prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    size = np.add.reduceat(PLAIN[data], starts, dtype=np.int64) if len(starts) else starts
-    starts, ends, size = starts[size > 0], ends[size > 0], size[size > 0]
-    if len(raw) != len(text):
-        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        starts, ends = at[starts], at[ends]
-    norm = b" ".join(raw.translate(None, PUNCTUATION).split()) + b" "
-    return norm, np.cumsum(size + 1), starts, ends
-
-
-def cuts(norm: bytes, upto: np.ndarray) -> np.ndarray:
-    """Numbers of words before each cut, with the text's two ends."""
-    n = len(upto)
-    if n < WINDOW:
-        return np.unique([0, n])
-    begins = np.concatenate([[0], upto[:-1]])
-    place = np.arange(len(norm)) - np.repeat(begins, upto - begins)
-    h = np.add.reduceat((np.frombuffer(norm, np.uint8) + np.uint64(1)) * POWERS[place & 63], begins)
-    h[1:] += h[:-1] * POWERS[2]  # single words are too often the same
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    windows = np.lib.stride_tricks.sliding_window_view((h ^ (h >> np.uint64(29)))[::-1], WINDOW)  # of equal words the last
-    return np.unique(np.concatenate([[0, n], n - (np.arange(len(windows)) + windows.argmin(axis=1))]))
-
-
-def units_of(text: str, run_words: int = RUN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
-    """start, end, number of words and digest of each unit."""
-    import xxhash
-
-    norm, upto, starts, ends = words_of(text)
-    if len(upto) < run_words:
-        return
-    edge = cuts(norm, upto)
-    last = np.searchsorted(edge, edge + run_words)
-    first, last = edge[last < len(edge)], edge[last[last < len(edge)]]
-    begins = np.concatenate([[0], upto])
-    for a, b, n, x, y in zip(starts[first].tolist(), ends[last - 1].tolist(), (last - first).tolist(), begins[first].tolist(), begins[last].tolist()):
-        yield a, b, n, xxhash.xxh3_128_digest(norm[x:y])
-
-
-def lines_of(text: str) -> Iterator[tuple[int, int, int, bytes]]:
-    """number, start, end and digest of each line that has words."""
-    import xxhash
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+
+
+class Words:
+    """The normalised words of some texts as hashes, where each starts and ends in its text, and the texts' lines.
 
-    at = 0
-    for k, line in enumerate(text.split("\n")):
-        if words := line.lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).split():
-            yield k, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), xxhash.xxh3_128_digest(b"\n" + b" ".join(words))
-        at += len(line) + 1
+    A run of words is named by two polynomials of their hashes, which prefix sums
+    give for any run at once: the sum over a run, times the inverse power of where it begins.
+    """
+
+    byte_powers = Powers(BYTES)
+    run_powers = [Powers(k) for k in RUNS]
+    inverse_powers = [Powers(pow(k, -1, 2**64)) for k in RUNS]
+
+    def __init__(self, texts: list[str]):
+        parts = [lowered(t).encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join(parts), np.uint8)  # a text ends as its last line does
+        begins = np.cumsum([0, *(len(p) + 1 for p in parts)])[:-1]
+        edges = np.flatnonzero(np.diff(~WHITE[data], prepend=False, append=False))
+        first, last = edges[::2], edges[1::2]
+        plain = PLAIN[data]
+        size = np.add.reduceat(plain, first, dtype=np.int64) if len(first) else first
+        kept = size > 0
+        counts = size[kept]
+        own = data[plain].astype(np.uint64) + np.uint64(1)
+        heads = np.cumsum(counts) - counts
+        at = np.arange(len(own)) - np.repeat(heads, counts)
+        powers = self.byte_powers.upto(int(counts.max(initial=0)))
+        self.hash = mix(np.add.reduceat(own * powers[at], heads), 1) if len(counts) else np.zeros(0, np.uint64)
+        words_before = np.concatenate([[0], np.cumsum(kept)])
+        # lines: their tokens, and of these their words
+        ends = np.flatnonzero(data == 10)
+        self.token_bounds = np.concatenate([[0], np.searchsorted(first, ends), [len(first)]])
+        self.word_bounds = words_before[self.token_bounds]
+        self.first_line = np.concatenate([np.searchsorted(ends, begins), [len(ends) + 1]])
+        # texts: their words
+        self.text_bounds = words_before[np.concatenate([np.searchsorted(first, begins), [len(first)]])]
+        if len(data) and (data & 0x80).any():
+            place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            first, last, begins = place[first], place[last], place[begins]
+        self.begins, self.token_starts, self.token_ends = begins, first, last
+        self.starts, self.ends = first[kept], last[kept]
+        n = len(self.hash)
+        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(self.hash, salt) * k.upto(n))]) for k, salt in zip(self.run_powers, (2, 3))]
+
+    def names(self, a: np.ndarray, b: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit digests of the words from a to b."""
+        out = []
+        for sums, inverse in zip(self.sums, self.inverse_powers):
+            powers = inverse.upto(len(sums))
+            out.append(mix((sums[b] - sums[a]) * powers[a] + (b - a).astype(np.uint64) * np.uint64(BYTES), salt).view(np.int64))
+        return tuple(out)
+
+    def cuts(self) -> np.ndarray:
+        """Numbers of words before each cut, with the ends of all texts."""
+        n = len(self.hash)
+        ends = self.text_bounds
+        if n < WINDOW:
+            return np.unique(ends)
+        h = self.hash.copy()
+        h[1:] += self.hash[:-1] * np.uint64(RUNS[1])  # single words are too often the same
+        inner = ends[:-1][ends[:-1] < n]
+        h[inner] = self.hash[inner]
+        windows = np.lib.stride_tricks.sliding_window_view(mix(h, 5)[::-1], WINDOW)  # of equal words the last
+        low = n - WINDOW - np.arange(len(windows))  # the first word of each window
+        whole = np.searchsorted(ends, low, "right") == np.searchsorted(ends, low + WINDOW - 1, "right")
+        least = windows[whole].argmin(axis=1) + np.flatnonzero(whole)
+        return np.unique(np.concatenate([ends, n - least]))
+
+    def units(self, run_words: int) -> tuple[np.ndarray, ...]:
+        """text, number in it, start, end and digest (two columns) of each unit."""
+        edge = self.cuts()
+        last = np.searchsorted(edge, edge + run_words)
+        a, b = edge[last < len(edge)], edge[last[last < len(edge)]]
+        text = np.searchsorted(self.text_bounds, a, "right") - 1
+        inside = b <= self.text_bounds[np.minimum(text + 1, len(self.text_bounds) - 1)]
+        a, b, text = a[inside], b[inside], text[inside]
+        number = np.arange(len(text)) - np.searchsorted(text, text)
+        return text, number, self.starts[a] - self.begins[text], self.ends[b - 1] - self.begins[text], *self.names(a, b, 7)
+
+    def lines(self) -> tuple[np.ndarray, ...]:
+        """text, number in it, start, end and digest (two columns) of each line that has words."""
+        k = np.flatnonzero(np.diff(self.word_bounds) > 0)
+        text = np.searchsorted(self.first_line, k, "right") - 1
+        start, end = self.token_starts[self.token_bounds[k]], self.token_ends[self.token_bounds[k + 1] - 1]
+        return text, k - self.first_line[text], start - self.begins[text], end - self.begins[text], *self.names(self.word_bounds[k], self.word_bounds[k + 1], 11)
+
+
+def units_of(text: str, run_words: int = RUN_WORDS) -> list[tuple]:
+    """number, start, end and digest of each unit."""
+    return [(*u[1:4], u[4:]) for u in zip(*(c.tolist() for c in Words([text]).units(run_words)))]
+
+
+def lines_of(text: str) -> list[tuple]:
+    """number, start, end and digest of each line that has words."""
+    return [(*x[1:4], x[4:]) for x in zip(*(c.tolist() for c in Words([text]).lines()))]
 
 
 def units(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False) -> DataFrame:
@@ -113,28 +178,24 @@ def units(docs: DataFrame, run_words: int = RUN_WORDS, whole_lines: bool = False
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, rest, digests = [], [], []
-
-            def made() -> pa.RecordBatch:
-                unit, start, end = np.array(rest, np.int32).reshape(-1, 3).T
-                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                of = pa.array(row, pa.int64())
-                columns = [batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, (unit, start, end)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-                return pa.RecordBatch.from_arrays(columns, names=names)
-
-            for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py() or ""
-                own = ((k, *unit[:2], unit[3]) for k, unit in enumerate(units_of(text, run_words)))
-                whole = ((FIRST_LINE + k, *line) for k, *line in lines_of(text)) if whole_lines else ()
-                for k, start, end, digest in chain(own, whole):
-                    row.append(i)
-                    rest.append((k, start, end))
-                    digests.append(digest)
-                    if len(row) >= EMIT:
-                        yield made()
-                        row, rest, digests = [], [], []
-            if row:
-                yield made()
+            bytes_ = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            edges = (np.flatnonzero(np.diff(np.cumsum(bytes_, dtype=np.int64) // BLOCK_BYTES)) + 1).tolist()
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                words = Words([t or "" for t in part.column(2).to_pylist()])
+                yield from made(part, *words.units(run_words))
+                if whole_lines:
+                    text, number, *rest = words.lines()
+                    yield from made(part, text, FIRST_LINE + number, *rest)
+
+    def made(part: pa.RecordBatch, text: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(text), EMIT):
+            of = pa.array(text[a : a + EMIT])
+            unit, start, end, h1, h2 = (c[a : a + EMIT] for c in rest)
+            columns = [part.column(0).take(of), part.column(1).take(of), *(pa.array(c.astype(np.int32)) for c in (unit, start, end)), pa.array(h1), pa.array(h2)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_key().alias("d"), "text").mapInArrow(work, f"doc_id {kind}, d long, unit int, start int, end int, h1 long, h2 long")

@@ -1,3 +1,5 @@
+import re
+import string
 from collections import defaultdict
 
 from canasta.llm import line_dedup, registry, substring_dedup
@@ -114,29 +116,65 @@ def test_odd_lines(odd, empty):
     assert line_dedup.remove_lines(odd).columns == odd.columns
 
 
+def plain_words(text):
+    """Words as plain Python finds them: (word without punctuation, start, end)."""
+    out = []
+    for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in m.group(0))
+        if word := "".join(c for c in low if c not in string.punctuation):
+            out.append((word, *m.span()))
+    return out
+
+
 def brute_units(rows, run_words=substring_dedup.RUN_WORDS):
+    """Repeated units removed after their first place; where units begin is taken from the module, what they hold is compared as words."""
     first, every = {}, defaultdict(list)
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        for k, (a, b, n, digest) in enumerate(substring_dedup.units_of(text or "")):
-            every[key].append((a, b, n, digest, k))
-            first.setdefault(digest, (key, k))
+        words = plain_words(text or "")
+        at = {a: i for i, (_, a, _) in enumerate(words)}
+        upto = {b: i + 1 for i, (_, _, b) in enumerate(words)}
+        for k, a, b, _ in substring_dedup.units_of(text or ""):
+            held = tuple(w for w, _, _ in words[at[a] : upto[b]])
+            assert len(held) >= run_words
+            every[key].append((a, b, held, k))
+            first.setdefault(held, (key, k))
     out = {}
     for key, units in every.items():
         runs, last = [], None
-        for a, b, n, digest, k in units:
-            if first[digest] == (key, k):
-                last = None
-            elif last is not None and last == k - 1:
-                runs[-1] = (runs[-1][0], b, runs[-1][2] + n)
+        for a, b, held, k in units:
+            if first[held] != (key, k):
+                if last == k - 1:
+                    runs[-1] = (runs[-1][0], b)
+                else:
+                    runs.append((a, b))
                 last = k
-            else:
-                runs.append((a, b, n))
-                last = k
-        if spans := [(a, b) for a, b, n in runs if n >= run_words]:
-            out[key] = spans
+        if runs:
+            out[key] = runs
     return out
 
 
+def test_texts_in_a_block_do_not_touch(texts):
+    every = [t or "" for t in texts.values()] + ["", "a", "\n", "x y\nz", "…", "🙂 é\n\nÀ b"]
+    together = substring_dedup.Words(every)
+    for one, found in ((substring_dedup.units_of, together.units(substring_dedup.RUN_WORDS)), (substring_dedup.lines_of, together.lines())):
+        got = defaultdict(list)
+        for text, *rest in zip(*(c.tolist() for c in found)):
+            got[text].append((*rest[:3], tuple(rest[3:])))
+        assert all(got[i] == one(t) for i, t in enumerate(every))
+
+
+def test_lines_are_those_of_plain_python(texts):
+    for text in [t or "" for t in texts.values()][:80]:
+        at, want = 0, []
+        for k, line in enumerate(text.split("\n")):
+            if words := tuple(w for w, _, _ in plain_words(line)):
+                want.append((k, at + len(line) - len(line.lstrip(" \t\r\x0b\x0c")), at + len(line.rstrip(" \t\r\x0b\x0c")), words))
+            at += len(line) + 1
+        got = substring_dedup.lines_of(text)
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        assert len({x[3] for x in got}) == len({x[3] for x in want})
+
+
 def spans(docs):
     return {r["doc_id"]: [tuple(map(int, s.split(":"))) for s in r["spans"].split(",")] for r in substring_dedup.report(docs).collect() if r["spans"]}
 
