@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_pen
 from ..sources import landed as L
+from ..session import shared_path
 from ..sources.domain import read, with_
 from . import query, values
 
@@ -131,17 +129,11 @@ def snk02(spark, sf_dir):
     return read(spark, sf_dir, "orders").join(n, "o_orderkey").select(F.col("o_orderkey").alias("list"), F.to_json(row).alias("exported"))
 
 
-def _folder(spark) -> str:
-    """A folder for streams: under the cluster's checkpoint folder, or a temporary one where the session names none."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    return os.path.join(conf, f"stream-{uuid.uuid4().hex}")
-
-
 @query("str_ing02_streamed_states", with_("changes") + " SELECT listing, epoch_us(valid_from) AS from_us, band, previous_band FROM changes")
 def streamed_states(spark, sf_dir):
     """The stateful fold over the event stream gives the batch's changes."""
     from ..streaming import ingest
 
-    folder = _folder(spark)
+    folder = shared_path(spark, "stream")
     ingest.run_once(ingest.price_changes(ingest.event_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("listing", F.unix_micros("valid_from").alias("from_us"), "band", "previous_band")

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions.text import normalize_title, parse_pen, search_text
+from ..session import shared_path
 from ..sources.domain import event_observations, latest_offers, parts, price_observations, price_states, read, with_
 from ..sources.groceries import SQL as GROCERIES
 from ..sources.groceries import groceries
@@ -50,17 +48,12 @@ def src11(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.col("url").rlike("^https?://[a-z0-9.]+/[a-z]{2}/[0-9]+([?].*)?$").alias("valid"))
 
 
-def _folder(spark) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="run-")
-    return os.path.join(named, f"run-{uuid.uuid4().hex}")
-
-
 @query("src13_resumable_pages", "SELECT event_id, user_id AS listing FROM events WHERE event_type <> 'error'")
 def src13(spark, sf_dir):
     """Landed files read to the end by a stream whose checkpoint is the cursor; a second run finds nothing new."""
     from ..streaming import ingest
 
-    folder = _folder(spark)
+    folder = shared_path(spark, "run")
     for _ in range(2):
         ingest.run_once(ingest.event_stream(spark, sf_dir).select("event_id", "listing"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("event_id", "listing")
@@ -71,7 +64,7 @@ def src16(spark, sf_dir):
     """One retailer's run through the sink, and its log row."""
     from ..streaming import ingest
 
-    folder = _folder(spark)
+    folder = shared_path(spark, "run")
     ingest.run_once(ingest.event_stream(spark, sf_dir).where("listing % 4 = 1"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("accepted"), F.count_distinct("listing").alias("listings"), F.lit("success").alias("status"))
 
@@ -81,7 +74,7 @@ def snk01(spark, sf_dir):
     """A report written as JSON; a second write to its place is refused."""
     from pyspark.errors import AnalysisException
 
-    path = _folder(spark)
+    path = shared_path(spark, "run")
     report = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
     report.write.mode("errorifexists").json(path)
     try:
