@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from canasta.llm import digests as digest_operator
 from canasta.llm import registry
 from test_codec import digests, library
 from test_dedup import brute_lines
@@ -8,7 +9,7 @@ from test_simhash import brute_components, fingerprint
 
 from pyspark.sql import functions as F
 
-from canasta.llm import cotraining, digests, line_dedup, mixing, quality_rules, secrets, simhash, substring_dedup, toxicity
+from canasta.llm import cotraining, line_dedup, mixing, quality_rules, secrets, simhash, substring_dedup, toxicity
 
 
 def brute(docs):
@@ -79,7 +80,7 @@ def test_every_stage_and_operator_takes_hostile_rows(spark, hostile):
     labels = hostile.select("doc_id", (F.length("text") % 2).alias("quality"), (F.length("text") % 2).alias("toxic"))
     n = hostile.count()
     for made in (
-        mixing.plan(hostile.select("doc_id", "source", "text")), quality_rules.apply_rules(hostile), simhash.near_duplicates(hostile), toxicity.score(hostile, labels), digests.with_edits(hostile), secrets.scan(hostile),
+        mixing.plan(hostile.select("doc_id", "source", "text")), quality_rules.apply_rules(hostile), simhash.near_duplicates(hostile), toxicity.score(hostile, labels), digest_operator.with_edits(hostile), secrets.scan(hostile),
         substring_dedup.report(hostile, whole_lines=True), substring_dedup.remove_spans(hostile, whole_lines=True), cotraining.score(hostile, labels), line_dedup.report(hostile), line_dedup.remove_lines(hostile),
     ):
         assert made.count() == n
