@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +94,30 @@ def unpacked(row: str, names: Iterable[str], changed: dict[str, Column] | None =
 def text_key(text: str = "text") -> Column:
     """A digest of a text, which tells rows of one doc_id apart (null: like empty)."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+#: Partial states merged by one task.
+FAN = 32
+
+
+def fan_in(states: DataFrame, parts: int, merge: Callable[[object | None, bytes], object], pack: Callable[[object], bytes], fan: int = FAN) -> DataFrame:
+    """key and state: the states (key int, part long, state binary) of each key as one, merged in groups of ``fan`` parts at a time and in the order of the parts, which are numbered under ``parts``."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, held = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int64()), pa.array([pack(state)], pa.binary())], names=["key", "part", "state"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if held is not None and at != held:
+                    yield out()
+                    state = None
+                state, held = merge(state, batch.column(3)[i].as_py()), at
+        if held is not None:
+            yield out()
+
+    while parts > 1:
+        parts = -(-parts // fan)
+        grouped = states.select("key", F.expr(f"part div {fan}").alias("group"), "part", "state")
+        states = grouped.repartition("key", "group").sortWithinPartitions("key", "group", "part").mapInArrow(join, "key int, part long, state binary")
+    return states.select("key", "state")

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, digests, line_dedup, mixing, quality_rules, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity
+from . import cotraining, digests, fill_in_middle, line_dedup, lm_scoring, mixing, quality_rules, secrets, sentencepiece_codec, simhash, substring_dedup, toxicity, whitening
 from .common import own_names, table
 from .oracle import ORACLE as ORACLE
 
@@ -59,6 +59,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(own_names(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(_documents(spark, sf_dir, "doc_id", "text"), digests=True)
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
@@ -70,5 +82,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_cotraining": op9_cotraining,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lm_scoring": op13_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
