@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "canasta", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,3 +32,19 @@ def shared_path(spark: SparkSession, kind: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
     return f"{folder}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, kind: str = "table") -> DataFrame:
+    """df written once as Parquet into the shared folder and read back: a cut of its lineage that outlives lost executors."""
+    path = shared_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables from :func:`written` that nothing reads any more."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

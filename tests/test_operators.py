@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from canasta.functions import catalog as C
 from canasta.functions import text as T
 from canasta.operators import baskets as B
-from canasta.operators import matching as M
 
 
 def one(spark, value, make, kind="string"):
@@ -149,13 +148,6 @@ def test_golden_basket(spark):
     assert [r["cost"] for r in rows] == [900, 450, 300] and [r["saving"] for r in rows] == [None, 450, 150]
 
 
-def test_complete_link_groups(spark):
-    pairs = [("x", 1, 2, 0, 1, 9900), ("x", 2, 3, 1, 2, 9800), ("x", 1, 3, 0, 2, 9100), ("x", 3, 4, 2, 3, 9700), ("x", 5, 6, 0, 0, 9999), ("y", 7, 8, 0, 1, 9000)]
-    df = spark.createDataFrame(pairs, "block string, a long, b long, retailer_a long, retailer_b long, score long")
-    got = sorted((r["block"], r["group"], r["member"]) for r in M.complete_link_groups(df).collect())
-    assert got == [("x", 1, 1), ("x", 1, 2), ("x", 1, 3), ("y", 7, 7), ("y", 7, 8)]
-
-
 def test_streams_equal_batches(spark, tmp_path):
     from canasta.plans.states import coverage_days, usable
     from canasta.sources.domain import price_states
