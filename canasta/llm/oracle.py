@@ -2,8 +2,9 @@
 
 The others are tested against brute force: SentencePiece merges (1), XXH64 and
 connected components (4), fitted classifiers (5, 9), byte-triplet digests (6),
-offsets of matches with look-around (7), runs of hashed units (8) and the
-set-similarity join, too slow in SQL on whole tables (10).
+offsets of matches with look-around (7), runs of hashed units (8), the
+set-similarity join, too slow in SQL on whole tables (10), eigenvectors (11) and
+trained weights (13).
 """
 
 from __future__ import annotations
@@ -52,4 +53,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND 10 * n_bullet_lines <= 9 * n_lines AND 10 * n_ellipsis_lines <= 3 * n_lines AND 10 * n_sentence_lines >= n_lines AS kept FROM judged
 """
 
-ORACLE: dict[str, str] = {"op2_mixing": OP2, "op3_quality_rules": OP3}
+DRAWN = ", ".join(f"CAST(CAST('0x' || h[{8 * i + 1}:{8 * i + 8}] AS UBIGINT) AS BIGINT) AS h{i + 1}" for i in range(4))
+OP12 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+split AS (SELECT *, string_split(t, chr(10)) AS parts FROM texts),
+cut AS (SELECT doc_id, t, list_filter(list_transform(parts, lambda x, i: CASE WHEN i < len(parts) THEN x || chr(10) ELSE x END), lambda x: x <> '') AS u, {DRAWN} FROM split),
+placed AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+pieces AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM pieces
+"""
+
+ORACLE: dict[str, str] = {"op2_mixing": OP2, "op3_quality_rules": OP3, "op12_fill_in_middle": OP12}
