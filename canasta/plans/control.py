@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import lists as L
+from ..operators.folds import ordered_fold
+from ..session import shared_path
 from ..sources.domain import event_observations, latest_offers, read, with_
+from ..streaming import acquisition as A
 from . import query
 from .offers import AGE, age_days
 from .unit_prices import PRICED
@@ -43,18 +47,56 @@ def ing16(spark, sf_dir):
     return old.join(new, ["retailer", "key"], "full").select("retailer", "key", state.alias("state"))
 
 
-@query("ing17_lease_claim", f"WITH {SOURCES} SELECT retailer, key FROM (SELECT *, row_number() OVER (PARTITION BY retailer ORDER BY failures, idle_hours DESC, key) AS rn FROM sources WHERE idle_hours >= 4) WHERE rn = 1")
+#: Attempts at pages folded by source: each row is the state after an event.
+ACQUIRED = with_("ev", recursive=True).replace("ev AS", "raw AS (SELECT event_id, user_id AS source, epoch_us(ts) AS t, CAST(floor(value / 25) AS BIGINT) AS found, event_type AS type FROM events), ev AS", 1) + f""",
+att AS (SELECT source, event_id, t, found, row_number() OVER (PARTITION BY source ORDER BY t, event_id) AS k, CASE WHEN type = 'error' THEN CASE found WHEN 0 THEN 'crash' WHEN 1 THEN 'redirect' ELSE 'failure' END WHEN type = 'purchase' THEN 'cycle' WHEN type = 'signup' THEN 'request' ELSE 'page' END AS kind FROM raw),
+acq(source, k, event_id, t, outcome, cursor_, cycle, last_cycle, pages, products, lease_until, due, requested, completed, attempted, error) AS (
+SELECT DISTINCT source, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR FROM att
+UNION ALL SELECT source, k, event_id, t, o,
+CASE WHEN o = 'page' THEN cursor_ + {A.PAGE} WHEN o IN ('cycle', 'limited') THEN 0 ELSE cursor_ END, CASE WHEN o = 'page' THEN cycle + found WHEN o IN ('cycle', 'limited') THEN 0 ELSE cycle END,
+CASE WHEN o = 'cycle' THEN cycle + found ELSE last_cycle END, pages + CASE WHEN o IN ('page', 'cycle', 'limited') THEN 1 ELSE 0 END, products + CASE WHEN o IN ('page', 'cycle', 'limited') THEN found ELSE 0 END,
+CASE WHEN o = 'crashed' THEN t + {A.LEASE} WHEN o IN ('page', 'cycle', 'limited', 'failed') THEN 0 ELSE lease_until END,
+CASE o WHEN 'requested' THEN least(due, CASE WHEN completed = 0 THEN t ELSE completed + {A.AFTER_ASKED * A.HOUR} END) WHEN 'failed' THEN t + {A.AFTER_FAILURE * A.HOUR} WHEN 'page' THEN t
+  WHEN 'crashed' THEN due WHEN 'leased' THEN due WHEN 'not_due' THEN due WHEN 'ignored' THEN due ELSE t + CASE WHEN requested > t - {24 * A.HOUR} THEN {A.AFTER_ASKED * A.HOUR} ELSE {A.AFTER_CYCLE * A.HOUR} END END,
+CASE WHEN o = 'requested' THEN t ELSE requested END, CASE WHEN o = 'cycle' THEN t ELSE completed END, CASE WHEN o IN ('page', 'cycle', 'limited', 'failed', 'crashed') THEN t ELSE attempted END,
+CASE WHEN o = 'failed' THEN CASE kind WHEN 'redirect' THEN 'redirect_to_home' ELSE 'source_or_persistence_failed' END WHEN o = 'cycle' THEN NULL WHEN o = 'limited' THEN 'pagination_limit' WHEN o = 'page' AND error IS DISTINCT FROM 'pagination_limit' THEN NULL ELSE error END
+FROM (SELECT a.*, s.* EXCLUDE (source, k, event_id, t, outcome), CASE WHEN kind = 'request' THEN CASE WHEN error IS NOT DISTINCT FROM 'redirect_to_home' THEN 'ignored' ELSE 'requested' END WHEN lease_until > a.t THEN 'leased' WHEN due > a.t THEN 'not_due'
+  WHEN kind = 'crash' THEN 'crashed' WHEN kind IN ('redirect', 'failure') THEN 'failed' WHEN kind = 'cycle' THEN 'cycle' WHEN cursor_ + {A.PAGE} > {A.LAST_FROM} THEN 'limited' ELSE 'page' END AS o FROM acq s JOIN att a ON a.source = s.source AND a.k = s.k + 1)),
+last_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k DESC) AS rn FROM acq) WHERE rn = 1 AND k > 0)"""
+
+
+def acquired(spark, sf_dir):
+    """The states after each attempt, by a fold of the whole event table."""
+    def step(state, row):
+        state, outcome = A.step(state, row["kind"], row["at_us"], row["found"])
+        return state, {"source": row["source"], "event_id": row["event_id"], "at_us": row["at_us"], "outcome": outcome, **state}
+
+    attempts = A.page_events(read(spark, sf_dir, "events")).drop("at")
+    return ordered_fold(attempts, ["source"], ["at_us", "event_id"], A.start, step, A.OUT)
+
+
+@query("ing17_lease_claim", ACQUIRED + f""", now_ AS (SELECT max(t) AS now_ FROM att), open_ AS (SELECT source % 4 AS retailer, l.* FROM last_ l, now_ WHERE due <= now_ AND lease_until <= now_)
+SELECT retailer, arg_min(source, (CASE WHEN requested > 0 AND requested > completed THEN 0 ELSE 1 END, attempted, source)) AS source, count(*) AS open, (SELECT now_ + {A.LEASE} FROM now_) AS lease_until FROM open_ GROUP BY 1""")
 def ing17(spark, sf_dir):
-    """The first eligible source of each retailer by priority."""
-    rn = F.row_number().over(Window.partitionBy("retailer").orderBy("failures", F.desc("idle_hours"), "key"))
-    return sources(spark, sf_dir).where("idle_hours >= 4").withColumn("rn", rn).where("rn = 1").select("retailer", "key")
+    """The source that each retailer claims after the last event, by what the attempts before have left, for five minutes."""
+    now = F.unix_micros(F.col("now").cast("timestamp"))
+    newest = read(spark, sf_dir, "events").agg(F.max("ts").alias("now")).select(now.alias("now"))
+    states = acquired(spark, sf_dir).groupBy("source").agg(F.max_by(F.struct(*A.FIELDS), F.struct("at_us", "event_id")).alias("s")).select("source", "s.*")
+    claimed = A.claims(states.join(F.broadcast(newest)), F.col("now"))  # one row
+    return claimed.join(F.broadcast(newest)).select("retailer", "source", "open", (F.col("now") + A.LEASE).alias("lease_until"))
 
 
-@query("ing18_page_completion", f"WITH {SOURCES} SELECT retailer, key, CASE WHEN failures > 3 THEN 6 WHEN pages >= 5 THEN 20 ELSE 4 END AS next_hours, CASE WHEN pages >= 5 AND failures <= 3 THEN 0 ELSE pages END AS cursor_ FROM sources")
+@query("ing18_page_completion", ACQUIRED + f""", ran_out AS (SELECT source, ((t + {A.LEASE}) // 1000) * 1000 AS at_us FROM acq WHERE outcome = 'crashed')
+SELECT source, event_id, t AS at_us, outcome, cursor_ AS cursor, cycle, last_cycle, pages, products, due, error FROM acq WHERE k > 0
+UNION ALL SELECT source, NULL, at_us, 'lease_expired', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ran_out WHERE at_us <= (SELECT max(t) - 600000000 FROM att)""")
 def ing18(spark, sf_dir):
-    """The next eligible hour after a failure, a full cycle or a page, and the cursor."""
-    hours = F.when(F.col("failures") > 3, 6).when(F.col("pages") >= 5, 20).otherwise(4)
-    return sources(spark, sf_dir).select("retailer", "key", hours.alias("next_hours"), F.when((F.col("pages") >= 5) & (F.col("failures") <= 3), 0).otherwise(F.col("pages")).alias("cursor_"))
+    """Cursor, counters, back-off and leases of each source after each attempt, by keyed state over the event stream; leases run out by timers."""
+    from ..streaming import ingest
+
+    A.state_store(spark)
+    folder = shared_path(spark, "stream")
+    ingest.run_once(A.acquisition(A.page_stream(spark, sf_dir)), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("source", "event_id", "at_us", "outcome", "cursor", "cycle", "last_cycle", "pages", "products", "due", "error")
 
 
 #: Demand: the lower-cased first three words of user turns.
@@ -121,15 +163,31 @@ def ing23(spark, sf_dir):
         F.count_if("available").alias("accepted"), F.when(F.bool_or(~F.col("available")), "partial").otherwise("success").alias("status"))
 
 
-@query("ing24_cas_list_mutation", with_("ev") + """, ops AS (SELECT listing AS user_, row_number() OVER (PARTITION BY listing ORDER BY seen_at) AS step, type FROM ev)
-SELECT user_, count(*) FILTER (WHERE type <> 'error') AS revision, count(*) FILTER (WHERE type = 'error') AS conflicts FROM ops GROUP BY 1""")
+#: Changes of customers' lists in order: a line saves its product's kind, a returned one removes it, each by the device that its order's priority names.
+LIST_OPS = """WITH RECURSIVE ops AS (SELECT o_custkey AS owner, l_orderkey AS ok, l_linenumber AS ln, CAST(left(o_orderpriority, 1) AS INTEGER) AS device, l_returnflag = 'R' AS removes, p_brand || '/' || p_type AS item, CAST(l_quantity AS BIGINT) AS amount,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)"""
+
+
+def list_operations(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("owner"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("device"))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.concat_ws("/", "p_brand", "p_type").alias("item"))
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("part"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at_us"),
+        (F.col("l_returnflag") == "R").alias("removes"), F.col("l_quantity").cast("long").alias("amount"))
+    return lines.join(orders, "ok").join(part, "part").drop("part")
+
+
+@query("ing24_cas_list_mutation", LIST_OPS + f""", fold(owner, k, ok, ln, expected, status, revision, items, known) AS (
+SELECT DISTINCT owner, 0::BIGINT, NULL::BIGINT, NULL::INTEGER, NULL::BIGINT, NULL::VARCHAR, 0::BIGINT, []::VARCHAR[], [0, 0, 0, 0, 0]::BIGINT[] FROM ops
+UNION ALL SELECT owner, k, ok, ln, expected, status, CASE WHEN status = 'saved' OR status = 'removed' THEN revision + 1 ELSE revision END,
+  CASE status WHEN 'saved' THEN CASE WHEN list_contains(items, item) THEN items ELSE list_append(items, item) END WHEN 'removed' THEN list_filter(items, lambda x: x <> item) ELSE items END,
+  list_transform(known, lambda x, i: CASE WHEN i <> device THEN x WHEN status = 'saved' OR status = 'removed' THEN revision + 1 ELSE revision END)
+FROM (SELECT o.*, f.revision, f.items, f.known, f.known[o.device] AS expected, CASE WHEN f.known[o.device] <> f.revision THEN 'conflict' WHEN removes AND NOT list_contains(f.items, item) THEN 'unchanged' WHEN removes THEN 'removed'
+  WHEN NOT list_contains(f.items, item) AND len(f.items) >= {L.CAPACITY} THEN 'rejected' ELSE 'saved' END AS status FROM fold f JOIN ops o ON o.owner = f.owner AND o.k = f.k + 1))
+SELECT owner, ok, ln, expected, status, revision, CAST(len(items) AS BIGINT) AS items FROM fold WHERE k > 0""")
 def ing24(spark, sf_dir):
-    """Operations on a list in order: each good one expects, and raises, the revision; the rest conflict."""
-    e = event_observations(spark, sf_dir)
-    ops = F.array_sort(F.collect_list(F.struct("at", "type")))
-    start = F.struct(F.lit(0).cast("long").alias("revision"), F.lit(0).cast("long").alias("conflicts"))
-    fold = F.aggregate(ops, start, lambda s, o: F.struct((s["revision"] + F.when(o["type"] != "error", 1).otherwise(0)).alias("revision"), (s["conflicts"] + F.when(o["type"] == "error", 1).otherwise(0)).alias("conflicts")))
-    return e.groupBy(F.col("listing").alias("user_")).agg(fold.alias("s")).select("user_", "s.revision", "s.conflicts")
+    """Each change of a customer's list, given the revision that its device expects: saved, removed, unchanged, in conflict or rejected."""
+    return L.mutate(list_operations(spark, sf_dir), ["at_us", "ok", "ln"]).select("owner", "ok", "ln", "expected", "status", "revision", "items")
 
 
 @query("ing25_refresh_demand", f"WITH {SOURCES}, wanted AS (SELECT DISTINCT c_nationkey % 4 AS retailer, c_mktsegment || '/' || c_nationkey AS key FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') SELECT s.retailer, s.key, least(s.idle_hours, 4) AS next_hours FROM sources s JOIN wanted USING (retailer, key)")

@@ -48,15 +48,18 @@ def src11(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.col("url").rlike("^https?://[a-z0-9.]+/[a-z]{2}/[0-9]+([?].*)?$").alias("valid"))
 
 
-@query("src13_resumable_pages", "SELECT event_id, user_id AS listing FROM events WHERE event_type <> 'error'")
+@query("src13_resumable_pages", with_("ev") + """, tries AS (SELECT event_id, listing % 4 AS retailer, day, epoch_us(seen_at) AS t, NOT available AND band = 1 AS redirect FROM ev WHERE type <> 'signup'),
+islands AS (SELECT *, count(*) FILTER (WHERE NOT redirect) OVER (PARTITION BY retailer, day ORDER BY t, event_id) AS island FROM tries),
+streaks AS (SELECT *, CASE WHEN redirect THEN count(*) FILTER (WHERE redirect) OVER (PARTITION BY retailer, day, island ORDER BY t, event_id) ELSE 0 END AS streak FROM islands)
+SELECT event_id, retailer, day, streak, coalesce(max(CASE WHEN streak >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY retailer, day ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS attempted FROM streaks""")
 def src13(spark, sf_dir):
-    """Landed files read to the end by a stream whose checkpoint is the cursor; a second run finds nothing new."""
-    from ..streaming import ingest
+    """Landed page attempts read to the end by a stream whose checkpoint is the cursor, a second run of which finds nothing new; runs stop after three redirects in a row."""
+    from ..streaming import acquisition, ingest
 
     folder = shared_path(spark, "run")
     for _ in range(2):
-        ingest.run_once(ingest.event_stream(spark, sf_dir).select("event_id", "listing"), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out").select("event_id", "listing")
+        ingest.run_once(acquisition.page_stream(spark, sf_dir), f"{folder}/out", f"{folder}/checkpoint")
+    return acquisition.stop_rule(spark.read.parquet(f"{folder}/out"))
 
 
 @query("src16_ingest_run", with_("ev") + " SELECT count(*) AS accepted, count(DISTINCT listing) AS listings, 'success' AS status FROM ev WHERE available AND listing % 4 = 1")
