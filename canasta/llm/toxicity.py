@@ -4,9 +4,11 @@ Folding lower-cases, turns homoglyphs and full-width letters into Latin ones
 and undoes digit and symbol substitutions inside words, character by character,
 so matches keep their offsets. The lexicon is learned from labelled rows: the
 documents of each class that hold a folded word are counted over two thirds of a
-sample of at most ``MOST_LABELLED`` rows, and words that toxic documents hold
-far more often get the log of the odds as weight (the ``MOST_ENTRIES`` of most
-evidence). An exception phrase is an entry with the word before or after it that
+sample of at most ``MOST_LABELLED`` rows, near copies (by SimHash) of one class as
+one, and words that toxic documents hold far more often, by more evidence than chance gives, get the log of the odds as
+weight. Stems, the first ``STEMS`` letters of words, are entries too, written with a
+star, as languages that inflect their insults need; of an entry and one that begins
+with it the one of more evidence stays. An exception phrase is an entry with the word before or after it that
 only documents of label 0 hold, or one of ``EXCEPTIONS``. Each task matches all
 entries at once with an automaton, at word bounds alone; exception phrases are
 entries too, and a match inside one does not count. The weights found are
@@ -27,7 +29,6 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .simhash import near_duplicates
 
 
 #: Letters of other scripts that look like Latin ones (fixed values).
@@ -49,17 +51,17 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pathetic fallacy", "biggest loser", "class clown", "dummy variable", "dummy text", "crash test dummy", "kill switch", "dead pixel", "idiot proof")
 
 MOST_LABELLED = 20_000
-MOST_ENTRIES = 2_000
 LEAST_DOCS = 3
-LEAST_WEIGHT = 2.5
-#: Log likelihood ratio of a word's documents, as chance hardly gives among a hundred thousand words.
-LEAST_EVIDENCE = 16.0
+#: Letters of stems, and the least weights of words and of stems, several of which a toxic text holds.
+STEMS = (5, 6, 7, 8)
+LEAST_WEIGHT, LEAST_STEM_WEIGHT = 2.5, 1.8
+#: Log likelihood ratio of a word's documents, as chance gives once in twenty times among half a million words.
+LEAST_EVIDENCE = 14.0
 SMOOTHING = 0.5
 #: Bytes of text that a task takes up at once.
 BLOCK_BYTES = 4_000_000
 
 
-@lru_cache(1 << 16)
 def plain_letter(c: str) -> str:
     """The Latin letter that a character stands for (full-width, mathematical and other forms of letters too), or the character."""
     if c in HOMOGLYPHS:
@@ -101,22 +103,23 @@ class Matcher:
 
         self.automaton = ahocorasick.Automaton()
         for word, weight in lexicon.items():
-            self.automaton.add_word(word, (len(word), weight))
+            key = word.rstrip("*")
+            self.automaton.add_word(key, (len(key), weight, key != word))
         for phrase in exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None))
+            self.automaton.add_word(phrase, (len(phrase), None, False))
         self.empty = not (lexicon or exceptions)
         if not self.empty:
             self.automaton.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, float]]:
-        """start, end and weight of each entry that stands as a word outside every exception phrase."""
+        """start, end and weight of each entry that stands as a word, or begins one if it is a stem, outside every exception phrase."""
         if self.empty or not text:
             return []
         folded = fold(text)
         found, spared = [], []
-        for last, (size, weight) in self.automaton.iter(folded):
+        for last, (size, weight, stem) in self.automaton.iter(folded):
             a, b = last - size + 1, last + 1
-            if (a == 0 or not is_letter(folded[a - 1])) and (b == len(folded) or not is_letter(folded[b])):
+            if (a == 0 or not is_letter(folded[a - 1])) and (stem or b == len(folded) or not is_letter(folded[b])):
                 (spared if weight is None else found).append((a, b, weight))
         if spared:
             found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in spared)]
@@ -135,16 +138,17 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
 
 def learn(labelled: DataFrame) -> tuple[dict[str, float], tuple[str, ...], list[float]]:
     """The lexicon, the exception phrases and the curve from a bounded sample of rows with text and toxic (0 or 1)."""
-    sample = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("unseen"))
+    copies = F.col("copies") if "copies" in labelled.columns else F.xxhash64("text")  # what near copies share
+    sample = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), copies.alias("copies"), (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("unseen"))
     seen, unseen = sample.where(~F.col("unseen")), sample.where("unseen")
-    totals = {(r["unseen"], r["toxic"]): r["n"] for r in sample.groupBy("unseen", "toxic").agg(F.count("*").alias("n")).collect()}
+    totals = {(r["unseen"], r["toxic"]): r["n"] for r in sample.groupBy("unseen", "toxic").agg(F.count_distinct("copies").alias("n")).collect()}
     if not all(totals.get((False, k)) and totals.get((True, k)) for k in (0, 1)):
         seen = unseen = sample  # too few rows to part
     bad, good = (sum(totals.get((u, k), 0) for u in ((False,) if seen is not sample else (False, True))) for k in (1, 0))
     if not bad or not good:
         return {}, EXCEPTIONS, [8.0 if bad else -8.0, 0.0, 0.0]
     # counts of a bounded sample: distinct folded words by document, then documents by word
-    words = seen.select("toxic", "text").mapInArrow(_folded_words, "toxic int, word string")
+    words = seen.select("toxic", "copies", "text").mapInArrow(_folded_words, "toxic int, copies long, word string").distinct()
     weight = F.log((F.col("b") + SMOOTHING) / F.lit(bad + 2 * SMOOTHING)) - F.log((F.col("g") + SMOOTHING) / F.lit(good + 2 * SMOOTHING))
     n, share = F.col("b") + F.col("g"), bad / (bad + good)
     evidence = F.col("b") * F.log(F.col("b") / (n * share)) + F.when(F.col("g") > 0, F.col("g") * F.log(F.col("g") / (n * (1 - share)))).otherwise(0.0)
@@ -154,16 +158,27 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], tuple[str, ...], list[
         .where(F.col("b") >= LEAST_DOCS)
         .withColumn("weight", weight)
         .withColumn("evidence", evidence)
-        .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE))
-        .orderBy(F.desc("evidence"), "word")
-        .limit(MOST_ENTRIES)
+        .where((F.col("weight") >= F.when(F.col("word").endswith("*"), LEAST_STEM_WEIGHT).otherwise(LEAST_WEIGHT)) & (F.col("evidence") >= LEAST_EVIDENCE))
     )
-    lexicon = {r["word"]: float(r["weight"]) for r in counted.collect()}
+    lexicon = apart({r["word"]: (float(r["evidence"]), float(r["weight"])) for r in counted.collect()})  # of a bounded sample
     exceptions = (*EXCEPTIONS, *learned_exceptions(seen, lexicon))
     held = score_parts(unseen, lexicon, ("toxic",), exceptions).select("toxic", "hits", "density").toArrow().to_pandas()  # the bounded sample
     return lexicon, exceptions, fit(held["hits"].to_numpy(), held["density"].to_numpy(), held["toxic"].to_numpy())
 
 
+def apart(found: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Weights of the entries (evidence, weight) that stay, so that no word counts twice: those of most evidence, words before stems and long stems before short ones."""
+    kept, beginnings = {}, set()
+    for entry in sorted(found, key=lambda e: (-found[e][0], e.endswith("*"), -len(e), e)):
+        key = entry.rstrip("*")
+        begins = {key[:k] for k in range(1, len(key) + 1)}
+        # an entry of more evidence that is a stem of this one, or that this one is a stem of
+        if not any(f"{b}*" in kept for b in begins) and not (entry != key and key in beginnings):
+            kept[entry] = found[entry][1]
+            beginnings |= begins
+    return kept
+
+
 def learned_exceptions(sample: DataFrame, lexicon: dict[str, float]) -> list[str]:
     """Entries with a neighbouring word, as LEAST_DOCS documents of label 0 and none of label 1 hold them."""
 
@@ -178,7 +193,7 @@ def learned_exceptions(sample: DataFrame, lexicon: dict[str, float]) -> list[str
                     yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(phrases), pa.int32()), pa.array(sorted(phrases), pa.string())], names=["toxic", "phrase"])
 
     found = sample.select("toxic", "text").mapInArrow(work, "toxic int, phrase string").groupBy("phrase").agg(F.sum("toxic").alias("b"), F.count("*").alias("n"))
-    return [r["phrase"] for r in found.where((F.col("b") == 0) & (F.col("n") >= LEAST_DOCS)).orderBy(F.desc("n"), "phrase").limit(MOST_ENTRIES).collect()]
+    return [r["phrase"] for r in found.where((F.col("b") == 0) & (F.col("n") >= LEAST_DOCS)).orderBy("phrase").collect()]
 
 
 #: The word before an entry that ends a text, and the word after one that begins it.
@@ -187,10 +202,11 @@ AFTER = re.compile(r"[^\W\d_]+ [^\W\d_]+(?![^\W\d_])")
 
 
 def _folded_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, 1):
-        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = sorted({w for w in re.findall(r"[^\W\d_]+", fold(text or "")) if 3 <= len(w) <= 40})
-            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(words), pa.int32()), pa.array(words, pa.string())], names=["toxic", "word"])
+    for batch in blocks(batches, 2):
+        for toxic, copies, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            words = {w for w in re.findall(r"[^\W\d_]+", fold(text or "")) if len(w) >= 3}
+            words = sorted({w for w in words if len(w) <= 40} | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k})
+            yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(words), pa.int32()), pa.array([copies] * len(words), pa.int64()), pa.array(words, pa.string())], names=["toxic", "copies", "word"])
 
 
 def fit(hits: np.ndarray, density: np.ndarray, toxic: np.ndarray, steps: int = 60) -> list[float]:
@@ -229,12 +245,18 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
+def near_copies(sample: DataFrame) -> DataFrame:
+    """The sample with copies, a number that near copies share."""
+    near = near_duplicates(sample.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.hash("component_id").cast("long").alias("copies"))
+    return sample.join(near, F.col("doc_id") == F.col("_id")).drop("_id")
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for all documents; labels of held-out rows are never read."""
     labelled = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taught = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)  # a bounded sample by hash, so its ids can be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # an id's rows count once
-    lexicon, exceptions, curve = learn(cut(sample))
+    lexicon, exceptions, curve = learn(near_copies(cut(sample)))
     parts = score_parts(docs, lexicon, exceptions=exceptions)
     z = F.lit(curve[0]) + F.lit(curve[1]) * F.log1p("hits") + F.lit(curve[2]) * F.log1p("density")
     scored = parts.withColumn("score", 1 / (1 + F.exp(-z)))

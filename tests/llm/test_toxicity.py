@@ -1,9 +1,12 @@
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import xxhash
 from canasta.llm import toxicity
+from pyspark.sql import functions as F
 
 LEXICON = {"idiot": 4.0, "scum": 4.0, "trash": 3.0}
 
@@ -35,11 +38,12 @@ def naive_spans(text, lexicon, exceptions):
     """Each entry and phrase sought by itself."""
     folded = toxicity.fold(text)
 
-    def at(phrase):
+    def at(entry):
+        phrase, stem = entry.rstrip("*"), entry.endswith("*")
         k = folded.find(phrase)
         while k >= 0:
             end = k + len(phrase)
-            if not (k and folded[k - 1].isalpha()) and not (end < len(folded) and folded[end].isalpha()):
+            if not (k and folded[k - 1].isalpha()) and (stem or not (end < len(folded) and folded[end].isalpha())):
                 yield k, end
             k = folded.find(phrase, k + 1)
 
@@ -50,6 +54,7 @@ def naive_spans(text, lexicon, exceptions):
 def test_matcher_against_a_naive_one(documents, texts):
     words = Counter(w for t in texts.values() for w in re.findall(r"[^\W\d_]+", toxicity.fold(t or "")))
     lexicon = {w: float(i % 7 + 1) for i, w in enumerate(list(words)[:: max(1, len(words) // 150)])} | LEXICON
+    lexicon |= {f"{w[:5]}*": 0.5 for w in list(lexicon)[::9] if len(w) > 5}
     often = Counter(x for t in texts.values() for x in re.findall(r"(?=\b([^\W\d_]+ [^\W\d_]+)\b)", toxicity.fold(t or "")) if x.split()[0] in lexicon)
     exceptions = (*toxicity.EXCEPTIONS, *[p for p, _ in often.most_common(20)])
     found = {r["doc_id"]: sorted((s["start"], s["end"], s["weight"]) for s in r["spans"]) for r in toxicity.spans(documents, lexicon, exceptions).collect()}
@@ -70,6 +75,68 @@ def test_exceptions_are_learned_and_the_curve_is_fitted_on_other_rows(spark):
     assert hits[1] == 0 < hits[2]
 
 
+def plain_learning(rows):
+    """Lexicon of (text, toxic, copies) rows by plain counting; the third by xxh64 is not seen."""
+    seen = [(t, y, c) for t, y, c in rows if _signed(t) % 3]
+    docs = {y: len({c for _, z, c in seen if z == y}) for y in (0, 1)}
+    holds = {}
+    for t, y, c in seen:
+        words = {w for w in re.findall(r"[^\W\d_]+", toxicity.fold(t or "")) if len(w) >= 3}
+        for w in {w for w in words if len(w) <= 40} | {f"{w[:k]}*" for w in words for k in toxicity.STEMS if len(w) > k}:
+            holds.setdefault(w, (set(), set()))[y].add(c)
+    found, s, share = {}, toxicity.SMOOTHING, docs[1] / (docs[0] + docs[1])
+    for w, (g, b) in holds.items():
+        g, b = len(g), len(b)
+        if b < toxicity.LEAST_DOCS:
+            continue
+        weight = math.log((b + s) / (docs[1] + 2 * s)) - math.log((g + s) / (docs[0] + 2 * s))
+        evidence = b * math.log(b / ((b + g) * share)) + (g * math.log(g / ((b + g) * (1 - share))) if g else 0)
+        if weight >= (toxicity.LEAST_STEM_WEIGHT if w.endswith("*") else toxicity.LEAST_WEIGHT) and evidence >= toxicity.LEAST_EVIDENCE:
+            found[w] = (evidence, weight)
+    kept = {}
+    for w in sorted(found, key=lambda e: (-found[e][0], e.endswith("*"), -len(e), e)):
+        key = w.rstrip("*")
+        if not any(key.startswith(k.rstrip("*")) and k.endswith("*") or (w.endswith("*") and k.rstrip("*").startswith(key)) for k in kept):
+            kept[w] = found[w][1]
+    return kept
+
+
+def _signed(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_learning_and_score_against_a_plain_version(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    taught = [i for i, in labels.where("toxic is not null").select("doc_id").collect() if zlib.crc32(str(i).encode()) % 5]
+    sample = docs.join(labels, "doc_id").where(F.col("doc_id").isin(taught)).select("doc_id", "text", "toxic")
+    near = toxicity.near_copies(sample).cache()
+    rows = [(r["text"], r["toxic"], r["copies"]) for r in near.collect()]
+    want = plain_learning(rows)
+    lexicon, exceptions, curve = toxicity.learn(near)
+    assert lexicon.keys() == want.keys() and all(abs(lexicon[w] - want[w]) < 1e-9 for w in want) and lexicon
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        total = sum(w for _, _, w in naive_spans(text, lexicon, exceptions))
+        x = (1.0, math.log1p(total), math.log1p(total / math.sqrt(max(1, text.count(" ") + text.count("\n") + 1))))
+        assert abs(scored[r["doc_id"]] - 1 / (1 + math.exp(-sum(a * b for a, b in zip(curve, x))))) < 1e-9
+
+
+def test_entries_of_most_evidence_stay():
+    found = {"scum": (30.0, 5.0), "scumm*": (20.0, 4.0), "scummy": (25.0, 4.0), "idiot*": (40.0, 3.0), "idiotic": (39.0, 6.0), "moron": (9.0, 2.0), "moron*": (9.0, 2.0)}
+    assert toxicity.apart(found) == {"idiot*": 3.0, "scum": 5.0, "scummy": 4.0, "moron": 2.0}
+
+
+def test_near_copies_count_once(spark):
+    said = "the long and plain text of many words that is copied a lot of times with hardly any change at all in it and more"
+    rows = [(i, f"{said} vilename {said}", 1) for i in range(30)] + [(100 + i, f"text {i} of some {i * 7} other {i * 3} words and {i * 11} more", i % 2) for i in range(60)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert "vilename" not in toxicity.learn(toxicity.near_copies(sample))[0]
+    assert len({r["copies"] for r in toxicity.near_copies(sample).where("doc_id < 100").collect()}) == 1
+
+
 def test_held_out_accuracy_and_no_leak(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
