@@ -2,7 +2,8 @@
 
 The content view measures a text alone (shares of kinds of characters, lengths
 of words and lines, repetition); the metadata view has what the page says about
-itself (language, source, declared length). Each view has a logistic
+itself (language, source, declared length; the ``MOST_NAMES`` languages and sources
+of most rows have a column each). Each view has a logistic
 classifier, fitted on the labelled rows and on pseudo-labels from the other
 view. In each of ``ROUNDS`` rounds a view labels, among all unlabelled rows that
 it has not labelled yet, those of which it is surest: both classes in the
@@ -51,7 +52,8 @@ STEPS = 7
 #: Log odds are kept within this; histograms of them have BINS bins.
 MOST_ODDS = 30.0
 BINS = 6_000
-#: Hashed columns of the metadata's names.
+#: Languages and sources that have a column of their own, those of most rows, and the hashed columns that all others share.
+MOST_NAMES = 512
 NAMES = 64
 META = NAMES + 2
 #: Partial sums are added up in so many groups before they reach the driver.
@@ -94,14 +96,23 @@ def content(text: str | None) -> np.ndarray:
     return out
 
 
-def name_column(kind: str, value: str | None) -> int:
+def name_columns(docs: DataFrame) -> tuple[dict[tuple[str, str | None], int], int]:
+    """The column of each language and source that has one, and how many columns names take in all."""
+    kinds = [docs.groupBy(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")).count() for k in ("lang", "source")]
+    found = kinds[0].union(kinds[1]).orderBy(F.desc("count"), "kind", F.col("value").asc_nulls_first()).limit(MOST_NAMES + 1).collect()
+    own = {(r["kind"], r["value"]): i for i, r in enumerate(found[:MOST_NAMES])}
+    return own, max(1, len(own) + (NAMES if len(found) > MOST_NAMES else 0))
+
+
+def name_column(kind: str, value: str | None, own: dict[tuple[str, str | None], int]) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(f"{kind}={value}".encode()) % NAMES
+    at = own.get((kind, value))
+    return len(own) + xxhash.xxh64_intdigest(f"{kind}={value}".encode()) % NAMES if at is None else at
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, content (array of floats), lang and source (hashed columns) and size (log of the declared length)."""
+def measured(docs: DataFrame, own: dict[tuple[str, str | None], int]) -> DataFrame:
+    """doc_id, content (array of floats), lang and source (columns of names) and size (log of the declared length)."""
     names = ["doc_id", "content", "lang", "source", "size"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,24 +122,24 @@ def measured(docs: DataFrame) -> DataFrame:
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
                 part = batch.slice(a, b - a)
                 one = np.array([content(t.as_py()) for t in part.column(1)], np.float32).reshape(-1, CONTENT)
-                columns = [pa.array([name_column(kind, v) for v in part.column(i).to_pylist()], pa.int32()) for kind, i in (("lang", 2), ("source", 3))]
+                columns = [pa.array([name_column(kind, v, own) for v in part.column(i).to_pylist()], pa.int32()) for kind, i in (("lang", 2), ("source", 3))]
                 size = np.log1p(np.maximum(0.0, np.nan_to_num(part.column(4).to_numpy(zero_copy_only=False).astype(float)))).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(one), pa.list_(pa.float32())), *columns, pa.array(size)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    told = docs.select("doc_id", "text", "lang", "source", F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars"))
+    told = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("n_chars"))
     return told.mapInArrow(work, f"doc_id {kind}, content array<float>, lang int, source int, size float")
 
 
-def views(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """Both views of the rows of a batch with the columns of :func:`measured`."""
+def views(batch: pa.RecordBatch, names: int = NAMES) -> list[np.ndarray]:
+    """Both views of the rows of a batch with the columns of :func:`measured`, of which so many are names."""
     one = batch.column("content").flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTENT).astype(float)
-    two = np.zeros((batch.num_rows, META))
+    two = np.zeros((batch.num_rows, names + 2))
     at = np.arange(batch.num_rows)
     for c in ("lang", "source"):
         two[at, batch.column(c).to_numpy()] += 1
     size = batch.column("size").to_numpy().astype(float)
-    two[:, NAMES], two[:, NAMES + 1] = size, size**2 / 10
+    two[:, names], two[:, names + 1] = size, size**2 / 10
     return [one, two]
 
 
@@ -235,13 +246,13 @@ def bounds(found: np.ndarray, curve: tuple[float, float], rows: float, prior: fl
     return (float(edges[high[0]]) if len(high) else np.inf), (float(edges[low[-1] + 1]) if len(low) else -np.inf)
 
 
-def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, sure: float = SURE) -> CoTrained | None:
+def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, sure: float = SURE, names: int = NAMES) -> CoTrained | None:
     """The classifiers, from a table of :func:`measured` with y and held (for calibration alone); None without both classes."""
-    size = [CONTENT, META]
+    size = [CONTENT, names + 2]
 
     def moments(batch: pa.RecordBatch) -> np.ndarray:
         y, _ = label_of(batch)
-        return np.concatenate([[batch.num_rows, np.nansum(y == 1), np.nansum(y == 0)], *(np.concatenate([x.sum(axis=0), (x**2).sum(axis=0)]) for x in views(batch))])
+        return np.concatenate([[batch.num_rows, np.nansum(y == 1), np.nansum(y == 0)], *(np.concatenate([x.sum(axis=0), (x**2).sum(axis=0)]) for x in views(batch, names))])
 
     found = summed(rows, 3 + 2 * sum(size), moments)
     n, good, bad = found[:3]
@@ -257,7 +268,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, sure: float
 
     def step() -> None:
         def parts(batch: pa.RecordBatch) -> np.ndarray:
-            z = model.columns(views(batch))
+            z = model.columns(views(batch, names))
             y, free = label_of(batch)
             out = []
             for view in (0, 1):
@@ -269,7 +280,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, sure: float
         model.weights = [newton_step(sums[: widths[0]], model.weights[0]), newton_step(sums[widths[0] :], model.weights[1])]
 
     def surest(batch: pa.RecordBatch) -> np.ndarray:
-        z = model.columns(views(batch))
+        z = model.columns(views(batch, names))
         _, free = label_of(batch)
         out = [np.array([free.sum()], float)]
         for view in (0, 1):
@@ -277,7 +288,8 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, sure: float
             out.append(np.histogram(log_odds(z[view][open_], model.weights[view]), BINS, (-MOST_ODDS, MOST_ODDS))[0].astype(float))
         return np.concatenate(out)
 
-    held, truth = calibration_rows(rows)
+    held, truth = calibration_rows(rows, names)
+
     def learn() -> None:
         """Both views anew from zero, from where Newton steps do not overshoot."""
         model.weights = [np.zeros(k + 1) for k in size]
@@ -300,7 +312,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, share: float = SHARE, sure: float
     return model
 
 
-def calibration_rows(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+def calibration_rows(rows: DataFrame, names: int = NAMES) -> tuple[list[np.ndarray], np.ndarray]:
     """Views and labels of a bounded sample of the held labelled rows (of all labelled rows where those are of one class)."""
     known = rows.where("y is not null").withColumn("h", F.xxhash64(F.lit("calibration"), F.col("doc_id")))
     for chosen in (known.where("held"), known):
@@ -308,7 +320,7 @@ def calibration_rows(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
         y = sample.column("y").to_numpy()
         if len(set(y)) == 2:
             break
-    return views(sample.combine_chunks().to_batches()[0]), y
+    return views(sample.combine_chunks().to_batches()[0], names), y
 
 
 def curves_of(model: CoTrained, held: list[np.ndarray], truth: np.ndarray) -> list[tuple[float, float]]:
@@ -321,22 +333,23 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, own: dict[tuple[str, str | None], int]) -> DataFrame:
     """A stored table of all documents' measures with y (0, 1 or null; null where held out) and held (a fifth of the labelled rows, for calibration)."""
     known = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    joined = measured(docs).join(known, "doc_id", "left")
+    joined = measured(docs, own).join(known, "doc_id", "left")
     held = F.col("y").isNotNull() & (F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(5)) == 0)
     return stored(joined.withColumn("held", held))
 
 
 def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: better), predicted (1 from 0.5) and kept of every document."""
-    rows = labelled(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels.select("doc_id", "quality"))
-    model = fit(rows, rounds)
+    own, names = name_columns(docs)
+    rows = labelled(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels.select("doc_id", "quality"), own)
+    model = fit(rows, rounds, names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.score(views(batch)) if model else np.full(batch.num_rows, 0.5)
+            p = model.score(views(batch, names)) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
     scored = rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")

@@ -140,3 +140,14 @@ def test_odd_rows(spark, odd, empty):
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["score"] for r in c.score(odd, labels.limit(0)).collect()} == {0.5}
     assert c.score(empty, labels).count() == 0
+
+
+def test_names_have_columns_of_their_own(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 90}", None if i % 2 else "en") for i in range(180)], "doc_id long, source string, lang string")
+    own, width = c.name_columns(docs)
+    assert width == len(own) == 92 and sorted(own.values()) == list(range(92))
+    assert c.name_column("lang", None, own) == own["lang", None]
+    monkeypatch.setattr(c, "MOST_NAMES", 10)
+    own, width = c.name_columns(docs)
+    assert len(own) == 10 and width == 10 + c.NAMES and 10 <= c.name_column("source", "s89", own) < width
+    assert c.name_columns(docs.limit(0)) == ({}, 1)
