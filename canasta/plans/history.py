@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources.domain import event_observations, price_observations, price_states, with_
+from ..operators import history as H
+from ..sources.domain import event_observations, price_observations, price_states, read, with_
 from . import query
 from .states import coverage_days, micros, usable
 
-#: A range of the driver data: seven days up to its end.
-START, END = "2024-01-20 00:00:00", "2024-01-27 00:00:00"
+#: A range of the driver data: its last eleven days.
+START, END = "2024-01-20 00:00:00", "2024-01-31 00:00:00"
 ts = lambda text: F.lit(text).cast("timestamp_ntz")
 IN_RANGE = f"valid_from <= TIMESTAMP '{END}' AND coalesce(valid_until, last_seen) > TIMESTAMP '{START}'"
 RANGED = with_("states") + f""", seen AS (SELECT listing, max(seen_at) AS last_seen FROM ev WHERE available GROUP BY 1),
@@ -27,11 +28,13 @@ def ranged_states(spark, sf_dir):
     return states.join(seen, "listing").where((F.col("valid_from") <= ts(END)) & (F.coalesce("valid_until", "last_seen") > ts(START)))
 
 
-@query("his01_history_windows", """SELECT range AS days, epoch_us(TIMESTAMP '2024-01-27 00:00:00') - range * 86400000000 AS start_us, epoch_us(TIMESTAMP '2024-01-27 00:00:00') AS end_us FROM (VALUES (7), (30), (90)) t(range)""")
+@query("his01_history_windows", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) SELECT day, range AS days, epoch_us(CAST(day AS TIMESTAMP)) + 86400000000 - range * 86400000000 AS start_us, epoch_us(CAST(day AS TIMESTAMP)) + 86400000000 AS end_us FROM d CROSS JOIN (VALUES (7), (30), (90)) t(range)""")
 def his01(spark, sf_dir):
-    """Rolling instants of 7, 30 and 90 times 24 hours."""
-    end = F.unix_micros(F.lit(END).cast("timestamp"))
-    return spark.createDataFrame([(7,), (30,), (90,)], "days int").select("days", (end - F.col("days").cast("long") * 86_400_000_000).alias("start_us"), end.alias("end_us"))
+    """Rolling instants of 7, 30 and 90 times 24 hours up to the end of each day with events."""
+    days = read(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day")).distinct()
+    end = F.unix_micros(F.col("day").cast("timestamp")) + 86_400_000_000
+    windows = days.select("day", F.explode(F.array(F.lit(7), F.lit(30), F.lit(90))).alias("days"))
+    return windows.select("day", "days", (end - F.col("days").cast("long") * 86_400_000_000).alias("start_us"), end.alias("end_us"))
 
 
 @query("his02_range_intersection", RANGED + " SELECT listing, band, epoch_us(valid_from) AS from_us FROM ranged")
@@ -50,18 +53,37 @@ SUMMARY = RANGED + f""", marked AS (SELECT *, valid_from >= TIMESTAMP '{START}'
 """
 
 
-@query("his04_history_summary", SUMMARY + """ SELECT listing, count(*) AS n_states, min(band) AS low, max(band) AS high, count(*) FILTER (WHERE changed) AS n_changes,
-max_by(band, valid_from) - min_by(band, valid_from) AS difference, max_by(band - previous_band, valid_from) FILTER (WHERE changed) AS last_change,
-CASE WHEN count(*) FILTER (WHERE changed) = 0 THEN 'insufficient' ELSE 'events' END AS status FROM marked GROUP BY 1""")
+@query("his04_history_summary", SUMMARY + f""", now_ AS (SELECT listing, count(*) AS n_states, min(band) AS low, max(band) AS high, count(*) FILTER (WHERE changed) AS n_changes, min_by(band, valid_from) AS first_band,
+max(band) FILTER (WHERE valid_until IS NULL AND last_seen <= TIMESTAMP '{END}') AS current, max_by(band, valid_from) FILTER (WHERE changed) AS to_, max_by(previous_band, valid_from) FILTER (WHERE changed) AS from_ FROM marked GROUP BY 1)
+SELECT listing, n_states, low, high, n_changes, current, current - first_band AS difference, to_ - from_ AS last_change, CASE WHEN from_ > 0 THEN (100 * (to_ - from_) + CASE WHEN to_ >= from_ THEN from_ // 2 ELSE -(from_ // 2) END) // from_ END AS percent,
+CASE WHEN n_changes = 0 THEN 'insufficient' ELSE 'events' END AS status FROM now_""")
 def his04(spark, sf_dir):
-    """Lowest, highest, changes and difference of each listing over the range; a change needs a contiguous predecessor."""
+    """Lowest, highest, current, changes, difference and percent of each listing over the range; a change needs a contiguous predecessor."""
     changed = (F.col("valid_from") >= ts(START)) & (F.col("previous_until") == F.col("valid_from")) & (F.col("previous_band") != F.col("band"))
     m = ranged_states(spark, sf_dir).withColumn("changed", F.coalesce(changed, F.lit(False)))
-    return m.groupBy("listing").agg(
+    current = F.max(F.when(F.col("valid_until").isNull() & (F.col("last_seen") <= ts(END)), F.col("band")))
+    last = F.max(F.when(F.col("changed"), F.struct("valid_from", "band", "previous_band")))
+    g = m.groupBy("listing").agg(
         F.count("*").alias("n_states"), F.min("band").alias("low"), F.max("band").alias("high"), F.count_if("changed").alias("n_changes"),
-        (F.max_by("band", "valid_from") - F.min_by("band", "valid_from")).alias("difference"),
-        F.max_by(F.col("band") - F.col("previous_band"), F.when(F.col("changed"), F.col("valid_from"))).alias("last_change"),
-        F.when(F.count_if("changed") == 0, "insufficient").otherwise("events").alias("status"))
+        current.alias("current"), F.min_by("band", "valid_from").alias("first"), last.alias("last"))
+    told = g.select("*", (F.col("last.band") - F.col("last.previous_band")).alias("last_change"), F.col("last.previous_band").alias("p"))
+    percent = F.expr("if(p > 0, (100 * last_change + if(last_change >= 0, 1, -1) * (p div 2)) div p, null)")
+    return told.select(
+        "listing", "n_states", "low", "high", "n_changes", "current", (F.col("current") - F.col("first")).alias("difference"), "last_change", percent.alias("percent"),
+        F.when(F.col("n_changes") == 0, "insufficient").otherwise("events").alias("status"))
+
+
+def path_states(spark, sf_dir):
+    """States of the range as step_segments and points take them."""
+    r = ranged_states(spark, sf_dir)
+    return r.select("listing", F.col("band").alias("price"), F.col("valid_from").alias("from"), F.coalesce("valid_until", "last_seen").alias("until"), F.col("valid_until").isNull().alias("open"))
+
+
+@query("his04_history_points", RANGED + f""" SELECT listing, epoch_us(valid_from) AS at_us, band AS price, 'state-start' AS kind FROM ranged WHERE valid_from >= TIMESTAMP '{START}' AND valid_from <= TIMESTAMP '{END}'
+UNION ALL SELECT listing, epoch_us(last_seen), band, 'latest-observation' FROM ranged WHERE valid_until IS NULL AND last_seen BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}' AND last_seen > valid_from""")
+def his04_points(spark, sf_dir):
+    """The known instants of each listing's price: states that begin in the range, and the last observation."""
+    return H.points(path_states(spark, sf_dir), ts(START), ts(END)).select("listing", micros("at").alias("at_us"), "price", "kind")
 
 
 @query("his05_rounded_percent", with_("changes") + """, d AS (SELECT listing, epoch_us(valid_from) AS at_us, band - previous_band AS d, previous_band AS p FROM changes WHERE previous_band IS NOT NULL)
@@ -90,11 +112,22 @@ def his06(spark, sf_dir):
     return covered_periods(spark, sf_dir).where((F.col("last_day") >= a) & (F.col("first_day") <= b)).select("listing", F.greatest("first_day", a).alias("first_day"), F.least("last_day", b).alias("last_day"))
 
 
-@query("his07_verified_streak", ISLANDS + " SELECT listing, CASE WHEN n_days >= 2 THEN n_days END AS streak FROM islands WHERE last_day = (SELECT max(day) FROM ev)")
-def his07(spark, sf_dir):
-    """Days in a row up to today that were verified, from two on."""
-    today = event_observations(spark, sf_dir).agg(F.max("day").alias("today"))
-    return covered_periods(spark, sf_dir).join(F.broadcast(today), F.col("last_day") == F.col("today")).select("listing", F.when(F.col("n_days") >= 2, F.col("n_days")).alias("streak"))
+@query("his07_step_segments", RANGED + f""", cov AS (SELECT listing, day, first_at, last_at, day - CAST(row_number() OVER (PARTITION BY listing ORDER BY day) AS INTEGER) AS island FROM (SELECT listing, day, min(seen_at) AS first_at, max(seen_at) AS last_at FROM ev WHERE available GROUP BY 1, 2)),
+runs AS (SELECT listing, greatest(min(first_at), TIMESTAMP '{START}') AS a, least(max(last_at), TIMESTAMP '{END}') AS b FROM cov GROUP BY listing, island HAVING max(last_at) >= TIMESTAMP '{START}' AND min(first_at) <= TIMESTAMP '{END}'),
+pieces AS (SELECT r.listing, u.a AS period, greatest(u.a, r.valid_from) AS from_, least(u.b, coalesce(r.valid_until, r.last_seen)) AS until_, r.band, r.valid_until IS NULL AS open FROM ranged r JOIN runs u ON u.listing = r.listing AND r.valid_from <= u.b AND coalesce(r.valid_until, r.last_seen) >= u.a),
+kept AS (SELECT * FROM pieces WHERE from_ < until_ OR (from_ = until_ AND open)),
+marked AS (SELECT *, CASE WHEN lag(until_) OVER (PARTITION BY listing, period ORDER BY from_, until_) IS NOT DISTINCT FROM from_ THEN 0 ELSE 1 END AS broken FROM kept),
+numbered AS (SELECT *, sum(broken) OVER (PARTITION BY listing, period ORDER BY from_, until_) AS path FROM marked),
+placed AS (SELECT *, min(from_) OVER p AS segment_from, max(until_) OVER p AS segment_until FROM numbered WINDOW p AS (PARTITION BY listing, period, path))
+SELECT listing, epoch_us(segment_from) AS segment_us, epoch_us(from_) AS from_us, epoch_us(until_) AS until_us, band AS price FROM placed WHERE segment_from < segment_until""")
+def his07_segments(spark, sf_dir):
+    """The steps of each listing's price within its covered periods of the range, by one sweep over both."""
+    days = coverage_days(spark, sf_dir)
+    island = F.date_sub("day", F.row_number().over(Window.partitionBy("listing").orderBy("day")))
+    runs = days.withColumn("island", island).groupBy("listing", "island").agg(F.min("first_at").alias("first"), F.max("last_at").alias("last"))
+    periods = runs.where((F.col("last") >= ts(START)) & (F.col("first") <= ts(END)))
+    found = H.step_segments(path_states(spark, sf_dir), periods, ts(START), ts(END))
+    return found.select("listing", micros("segment_from").alias("segment_us"), micros("from").alias("from_us"), micros("until").alias("until_us"), "price")
 
 
 DAILY = with_("states", "days") + """, met AS (SELECT d.listing, d.day, d.first_at, d.last_at, s.band, s.valid_from, s.valid_until FROM days d JOIN states s
@@ -111,6 +144,25 @@ def daily_prices(spark, sf_dir):
     return days.join(states, overlap).groupBy("listing", "day").agg(F.when(one, F.min("band")).alias("band"))
 
 
+@query("his07_verified_streak", DAILY + f""", today AS (SELECT max(day) AS today FROM ev), last_ AS (SELECT listing, max(seen_at) AS last_seen, max(day) AS last_day FROM ev WHERE available GROUP BY 1),
+current_ AS (SELECT s.listing, s.band AS current FROM states s JOIN last_ l USING (listing), today WHERE s.valid_until IS NULL AND l.last_day = today AND l.last_seen <= TIMESTAMP '{END}'),
+turned AS (SELECT DISTINCT s.listing, e.day FROM states s JOIN ev e ON e.listing = s.listing AND e.seen_at = s.valid_from WHERE s.previous_band IS NOT NULL),
+kept AS (SELECT d.listing, today - d.day AS back, row_number() OVER (PARTITION BY d.listing ORDER BY d.day DESC) - 1 AS place FROM daily d JOIN days c USING (listing, day) JOIN current_ k ON k.listing = d.listing AND k.current = d.band, today
+  WHERE c.first_at >= TIMESTAMP '{START}' AND c.last_at <= TIMESTAMP '{END}' AND NOT EXISTS (SELECT 1 FROM turned t WHERE t.listing = d.listing AND t.day = d.day))
+SELECT k.listing, CASE WHEN count(*) FILTER (WHERE back = place) >= 2 THEN count(*) FILTER (WHERE back = place) END AS streak FROM kept k GROUP BY 1 HAVING count(*) FILTER (WHERE back = place) > 0""")
+def his07(spark, sf_dir):
+    """Days in a row up to today, from two on, that were verified at the current price without a change."""
+    e = usable(spark, sf_dir)
+    today = event_observations(spark, sf_dir).agg(F.max("day").alias("today"))
+    seen = e.groupBy("listing").agg(F.max("at").alias("last_seen"), F.max("day").alias("last_day"))
+    states = price_states(e)
+    current = states.where("valid_until is null").join(seen.where(F.col("last_seen") <= ts(END)), "listing").join(F.broadcast(today), F.col("last_day") == F.col("today")).select("listing", F.col("band").alias("current"), "today")
+    turned = states.where("previous_band is not null").select("listing", F.to_date(F.from_utc_timestamp("valid_from", "America/Lima")).alias("day")).distinct()
+    verified = coverage_days(spark, sf_dir).where((F.col("first_at") >= ts(START)) & (F.col("last_at") <= ts(END))).select("listing", "day")
+    days = daily_prices(spark, sf_dir).select("listing", "day", "band").join(verified, ["listing", "day"]).join(turned, ["listing", "day"], "left_anti").join(current, "listing")
+    return H.unchanged_days(days.select("listing", F.datediff("today", "day").alias("back"), F.coalesce(F.col("band") == F.col("current"), F.lit(False)).alias("kept")))
+
+
 @query("his08_weekday_daily_price", DAILY + " SELECT listing, day, band FROM daily")
 def his08(spark, sf_dir):
     return daily_prices(spark, sf_dir)
@@ -174,11 +226,10 @@ def jon11(spark, sf_dir):
     return span.join(days, ["listing", "day"], "left_anti")
 
 
-@query("his09_evidence_window", """SELECT CAST(day AS DATE) AS day, CAST(day AS DATE) - CAST(isodow(day) AS INTEGER) - 27 AS first_day, CAST(day AS DATE) - CAST(isodow(day) AS INTEGER) AS last_day
-FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-28', TIMESTAMP '2024-02-10', INTERVAL 1 DAY)) AS day)""")
+@query("his09_evidence_window", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) SELECT day, day - CAST(isodow(day) AS INTEGER) - 27 AS first_day, day - CAST(isodow(day) AS INTEGER) AS last_day FROM d""")
 def his09(spark, sf_dir):
-    """The last four complete weeks, Monday to Sunday, before a day."""
-    days = spark.range(14).select(F.date_add(F.lit("2024-01-28").cast("date"), F.col("id").cast("int")).alias("day"))
+    """The last four complete weeks, Monday to Sunday, before each day with events."""
+    days = read(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day")).distinct()
     last = F.date_sub("day", F.weekday("day") + 1)
     return days.select("day", F.date_sub(last, 27).alias("first_day"), last.alias("last_day"))
 
