@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import inverted_index as I
 from ..sources.domain import parts, read, with_
 from ..sources.groceries import SQL as GROCERIES
 from ..sources.groceries import groceries
@@ -13,15 +14,20 @@ from . import query
 from .offers import ADMITTED, CURRENT, KEY, admitted_products, current_offers
 from .unit_prices import BASES, BENEFIT, PRICED, benefits, priced_offers
 
-#: Rows for string functions, the same for both engines.
-TITLES = ["  Arroz   Costeño 5kg ", "Leche Gloria 390g Paquete 6un", "ACEITE  Primor—1L", "Huevos “La Calera” 30un", "yogurt;griego|fresa", "Café 200g", "", "x"]
-TITLE_ROWS = "titles AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TITLES)) + ") t(id, title))"
+#: The titles of landed pages, and the first two words of user turns as searches.
+TITLE_ROWS = "titles AS (SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)"
+ASKED_ROWS = "asked AS (SELECT DISTINCT lower(regexp_extract(text, '^(\\S+\\s+\\S+)', 1)) AS q FROM conversations WHERE role = 'user')"
 QUERIES_ = ["widget", "red wid", "gear st", "bolt 5", "a", "cold  WIDGET!", "zz"]
 QUERY_ROWS = "queries AS (SELECT * FROM (VALUES " + ", ".join(f"('{q}')" for q in QUERIES_) + ") t(q))"
 
 
-def title_rows(spark):
-    return spark.createDataFrame(list(enumerate(TITLES)), "id int, title string")
+def title_rows(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+def asked_rows(spark, sf_dir):
+    """Each different search."""
+    return read(spark, sf_dir, "conversations").where("role = 'user'").select(F.lower(F.regexp_extract("text", "^(\\S+\\s+\\S+)", 1)).alias("q")).distinct()
 
 
 def query_rows(spark):
@@ -38,32 +44,32 @@ def parted_sql(c: str) -> str:
 
 @query("str01_collapse_whitespace", f"WITH {TITLE_ROWS} SELECT id, trim(regexp_replace(title, '[\\s\\x{{00A0}}]+', ' ', 'g')) AS title FROM titles")
 def str01(spark, sf_dir):
-    return title_rows(spark).select("id", T.collapse_whitespace(F.col("title")).alias("title"))
+    return title_rows(spark, sf_dir).select("id", T.collapse_whitespace(F.col("title")).alias("title"))
 
 
 @query("str02_normalize_title", f"WITH {TITLE_ROWS} SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '[\\x{{2010}}-\\x{{2015}}]', '-', 'g'), '[;|]', ' ', 'g'), '[\\s\\x{{00A0}}]+', ' ', 'g')) AS title FROM titles")
 def str02(spark, sf_dir):
-    return title_rows(spark).select("id", T.normalize_title(F.col("title")).alias("title"))
+    return title_rows(spark, sf_dir).select("id", T.normalize_title(F.col("title")).alias("title"))
 
 
 @query("str03_search_text", f"WITH {TITLE_ROWS} SELECT id, {parted_sql('title')} AS text FROM titles")
 def str03(spark, sf_dir):
-    return title_rows(spark).select("id", T.search_text(F.col("title")).alias("text"))
+    return title_rows(spark, sf_dir).select("id", T.search_text(F.col("title")).alias("text"))
 
 
 @query("str04_accent_folding", f"WITH {TITLE_ROWS} SELECT id, strip_accents(lower(title)) AS title FROM titles")
 def str04(spark, sf_dir):
-    return title_rows(spark).select("id", T.fold_accents(F.lower("title")).alias("title"))
+    return title_rows(spark, sf_dir).select("id", T.fold_accents(F.lower("title")).alias("title"))
 
 
-@query("str05_useful_query", f"WITH {QUERY_ROWS} SELECT q, length(q) <= 120 AND length({parted_sql('q')}) >= 2 AS useful FROM queries")
+@query("str05_useful_query", f"WITH {ASKED_ROWS} SELECT q, length(q) <= 120 AND length({parted_sql('q')}) >= 2 AS useful FROM asked")
 def str05(spark, sf_dir):
-    return query_rows(spark).select("q", T.useful_query(F.col("q")).alias("useful"))
+    return asked_rows(spark, sf_dir).select("q", T.useful_query(F.col("q")).alias("useful"))
 
 
-@query("str06_valid_demand", f"WITH {QUERY_ROWS}, p AS (SELECT q, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) AS t FROM queries) SELECT q, length(t) BETWEEN 3 AND 80 AND length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3 AS valid FROM p")
+@query("str06_valid_demand", f"WITH {ASKED_ROWS}, p AS (SELECT q, trim(regexp_replace(lower(q), '\\s+', ' ', 'g')) AS t FROM asked) SELECT q, length(t) BETWEEN 3 AND 80 AND length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3 AS valid FROM p")
 def str06(spark, sf_dir):
-    return query_rows(spark).select("q", T.valid_demand(F.col("q")).alias("valid"))
+    return asked_rows(spark, sf_dir).select("q", T.valid_demand(F.col("q")).alias("valid"))
 
 
 MATCH = "len(list_filter(string_split({q}, ' '), lambda t: len(list_filter(string_split({w}, ' '), lambda w: CASE WHEN regexp_full_match(t, '[0-9]+') THEN w = t ELSE starts_with(w, t) END)) = 0)) = 0"
@@ -91,9 +97,12 @@ def str07(spark, sf_dir):
     return matched_parts(spark, sf_dir).select("q", "part", "name")
 
 
-@query("str08_prefix_prefilter", MATCHED + " SELECT q, count(*) AS n, count(DISTINCT brand) AS brands FROM hits GROUP BY 1")
+@query("str08_prefix_prefilter", f"WITH {TITLE_ROWS}, {ASKED_ROWS}, n AS (SELECT q, {parted_sql('q')} AS t FROM asked), w AS (SELECT title, {parted_sql('title')} AS words FROM (SELECT DISTINCT title FROM titles)) SELECT q, title FROM n JOIN w ON t <> '' AND {MATCH.format(q='n.t', w='w.words')}")
 def str08(spark, sf_dir):
-    return matched_parts(spark, sf_dir).groupBy("q").agg(F.count("*").alias("n"), F.count_distinct("brand").alias("brands"))
+    """Every search against every title, over an inverted index of the titles' words."""
+    queries = asked_rows(spark, sf_dir).select(F.col("q").alias("query"), T.tokens(F.col("q")).alias("tokens"))
+    texts = title_rows(spark, sf_dir).select(F.col("title").alias("text")).distinct().withColumn("words", T.tokens(F.col("text")))
+    return I.search(queries, texts).select(F.col("query").alias("q"), F.col("text").alias("title"))
 
 
 def grams_sql(c: str) -> str:
@@ -135,16 +144,16 @@ def str14(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", url.rlike("^https?://[a-z0-9.-]+\\.example\\.(org|com|net)(/.*)?$").alias("allowed"), F.regexp_extract(url, "^https?://([^/]+)", 1).alias("host"))
 
 
-@query("str15_query_string", f"WITH {QUERY_ROWS} SELECT q, 'q=' || replace(replace(trim(q), '!', '%21'), ' ', '+') || CASE WHEN length(q) > 6 THEN '&sort=unit' ELSE '' END AS link FROM queries")
+@query("str15_query_string", f"WITH {ASKED_ROWS} SELECT q, 'q=' || replace(replace(replace(url_encode(trim(q)), '%20', '+'), '%2A', '*'), '~', '%7E') || CASE WHEN length(q) > 12 THEN '&sort=unit' ELSE '' END AS link FROM asked")
 def str15(spark, sf_dir):
-    """Parameters that differ from their defaults, in a fixed order."""
-    sort = F.when(F.length("q") > 6, F.lit("sort=unit"))
-    return query_rows(spark).select("q", F.concat_ws("&", F.concat(F.lit("q="), F.url_encode(F.trim("q"))), sort).alias("link"))
+    """Parameters that differ from their defaults, in a fixed order: long searches sort by unit price."""
+    sort = F.when(F.length("q") > 12, F.lit("sort=unit"))
+    return asked_rows(spark, sf_dir).select("q", F.concat_ws("&", F.concat(F.lit("q="), F.url_encode(F.trim("q"))), sort).alias("link"))
 
 
 @query("str16_folded_title", f"WITH {TITLE_ROWS} SELECT id, regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '', 'g') AS folded FROM titles")
 def str16(spark, sf_dir):
-    return title_rows(spark).select("id", F.regexp_replace(T.fold_accents(F.lower("title")), "[^a-z0-9]+", "").alias("folded"))
+    return title_rows(spark, sf_dir).select("id", F.regexp_replace(T.fold_accents(F.lower("title")), "[^a-z0-9]+", "").alias("folded"))
 
 
 RANKED = MATCHED + f""", scored AS (SELECT h.q, h.part, h.name, h.t = h.words AS exact, starts_with(h.words, h.t) AS leads, {SHARED.replace('a.g', grams_sql('h.t')).replace('b.g', grams_sql('h.words'))} AS shared, len({grams_sql('h.words')}) AS size FROM hits h)"""
