@@ -296,11 +296,15 @@ def orc07(spark, sf_dir):
     return sources(spark, sf_dir).groupBy("retailer").agg(F.sha2(F.array_join(told, ","), 256).alias("identity"))
 
 
-@query("orc08_cron_cadence", "SELECT cron, CASE WHEN regexp_full_match(cron, '[0-9]+ [0-9]+(,[0-9]+)* \\* \\* \\*') THEN len(string_split(string_split(cron, ' ')[2], ',')) END AS runs FROM (VALUES ('0 5,11,17 * * *'), ('30 2 * * *'), ('*/5 * * * *'), ('0 5 1 * *')) t(cron)")
+@query("orc08_cron_cadence", "WITH h AS (SELECT user_id AS source, list_sort(list(DISTINCT hour(ts))) AS hours, count(*) FILTER (WHERE event_type = 'error') > count(*) FILTER (WHERE event_type = 'purchase') AS often FROM events GROUP BY 1) SELECT source, CASE WHEN often THEN '*/5 * * * *' ELSE '0 ' || array_to_string(hours, ',') || ' * * *' END AS cron, CASE WHEN NOT often THEN CAST(len(hours) AS BIGINT) END AS runs FROM h")
 def orc08(spark, sf_dir):
-    crons = spark.createDataFrame([("0 5,11,17 * * *",), ("30 2 * * *",), ("*/5 * * * *",), ("0 5 1 * *",)], "cron string")
+    """Runs a day of each source's schedule: the hours of its attempts, or, where most of them fail, every few minutes, which is no list of hours."""
+    e = read(spark, sf_dir, "events")
+    often = F.count_if(F.col("event_type") == "error") > F.count_if(F.col("event_type") == "purchase")
+    hours = F.array_join(F.transform(F.array_sort(F.collect_set(F.hour("ts"))), lambda h: h.cast("string")), ",")
+    crons = e.groupBy(F.col("user_id").alias("source")).agg(F.when(often, "*/5 * * * *").otherwise(F.concat(F.lit("0 "), hours, F.lit(" * * *"))).alias("cron"))
     runs = F.size(F.split(F.split("cron", " ")[1], ",")).cast("long")
-    return crons.select("cron", F.when(F.col("cron").rlike("^[0-9]+ [0-9]+(,[0-9]+)* \\* \\* \\*$"), runs).alias("runs"))
+    return crons.select("source", "cron", F.when(F.col("cron").rlike("^[0-9]+ [0-9]+(,[0-9]+)* \\* \\* \\*$"), runs).alias("runs"))
 
 
 @query("orc09_daily_request_cap", f"WITH {SOURCES} SELECT CAST(3 * (sum(pages) + count(*)) + 60 * count(DISTINCT retailer) AS BIGINT) AS requests FROM sources")
@@ -314,10 +318,18 @@ def cls11(spark, sf_dir):
     return event_observations(spark, sf_dir).select("event_id", severity.alias("severity"))
 
 
-@query("hlp01_mode_parse", "SELECT raw, CASE WHEN raw IN ('standard', 'benefits') THEN raw ELSE 'standard' END AS mode, CASE WHEN raw IN ('relevance', 'total', 'unit') THEN raw ELSE 'relevance' END AS sort FROM (VALUES ('benefits'), ('unit'), ('other'), ('')) t(raw)")
+#: What the address of a page asks for, and the words that a storefront knows.
+ASKED_MODE = "CASE WHEN page_no IN ('2', '3') THEN 'benefits' ELSE page_no END"
+
+
+@query("hlp01_mode_parse", f"""WITH u AS (SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page_no, regexp_extract(url, '[?&]ref=([^&#]*)', 1) AS ref FROM pages), r AS (SELECT page_id, {ASKED_MODE} AS raw_mode, CASE ref WHEN 'x' THEN 'unit' ELSE ref END AS raw_sort FROM u)
+SELECT page_id, CASE WHEN raw_mode IN ('standard', 'benefits') THEN raw_mode ELSE 'standard' END AS mode, CASE WHEN raw_sort IN ('relevance', 'total', 'unit') THEN raw_sort ELSE 'relevance' END AS sort FROM r""")
 def hlp01(spark, sf_dir):
-    raw = spark.createDataFrame([("benefits",), ("unit",), ("other",), ("",)], "raw string")
-    return raw.select("raw", F.when(F.col("raw").isin("standard", "benefits"), F.col("raw")).otherwise("standard").alias("mode"), F.when(F.col("raw").isin("relevance", "total", "unit"), F.col("raw")).otherwise("relevance").alias("sort"))
+    """Price mode and order that the address of each page asks for; unknown words mean the defaults."""
+    param = lambda name: F.regexp_extract("url", f"[?&]{name}=([^&#]*)", 1)
+    mode, sort = F.when(param("page").isin("2", "3"), "benefits").otherwise(param("page")), F.when(param("ref") == "x", "unit").otherwise(param("ref"))
+    known = lambda raw, words: F.when(raw.isin(*words), raw).otherwise(words[0])
+    return read(spark, sf_dir, "pages").select("page_id", known(mode, ["standard", "benefits"]).alias("mode"), known(sort, ["relevance", "total", "unit"]).alias("sort"))
 
 
 @query("hlp03_demand_predicate", f"WITH {DEMAND} SELECT q FROM demand WHERE NOT EXISTS (SELECT 1 FROM part WHERE starts_with(p_name, split_part(q, ' ', 1)))")

@@ -1,71 +1,70 @@
-"""Landed pages and streams: parsers on fixed payloads with known results, page extraction, and the streamed states."""
+"""Landed pages and streams: parsers over the landing zone, page extraction, and the streamed states."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_pen
-from ..sources import landed as L
 from ..session import shared_path
-from ..sources.domain import read, with_
-from . import query, values
+from ..sources import landed as L
+from ..sources import landing_zone as Z
+from ..sources.domain import price_observations, read, with_
+from . import query
 
 
-def _item(number, price, list_price=None, sellers=("1",), unit="un", multiplier=1.0, available=True):
-    offer = {"Price": price, "ListPrice": list_price, "IsAvailable": available, "AvailableQuantity": 5 if available else 0}
-    return {"itemId": str(number), "name": "x", "measurementUnit": unit, "unitMultiplier": multiplier, "sellers": [{"sellerId": s, "commertialOffer": offer} for s in sellers]}
+LAST = with_("obs", "parts") + """, last_ AS (SELECT l.*, p.* EXCLUDE (part), l.part * 4 + l.retailer AS id, l.part // 20 AS page FROM (SELECT *, row_number() OVER (PARTITION BY part, retailer ORDER BY seen_at DESC, ok DESC, ln DESC, flag DESC, cents DESC) AS rn FROM obs) l JOIN parts p USING (part) WHERE rn = 1)"""
 
 
-PRODUCT_PAGE = json.dumps([
-    {"brand": "Gloria", "productId": "1", "productName": " Leche ", "link": "https://x/p", "items": [_item(11, 4.5, 5.9), _item(12, 4.5, 4.0)]},
-    {"brand": None, "productId": "2", "productName": "Arroz", "link": "https://x/q", "items": [_item(21, 0), _item(22, 3, sellers=("1", "1")), _item(23, 3, sellers=("2",)), _item(24, 3, available=False), _item(25, 3, multiplier=0.5), _item(26, 3, unit="kg", multiplier=0.5)]},
-])
-PRODUCT_ROWS = [("11", "Leche", "observed", 450, 590), ("12", "Leche", "observed", 450, None), ("21", "Arroz", "error:zero-price", None, None), ("22", "Arroz", "error:two-offers", None, None), ("23", "Arroz", "skip:no-seller", None, None), ("24", "Arroz", "skip:unavailable", None, None), ("25", "Arroz", "error:multiplier", None, None), ("26", "Arroz", "observed", 300, None)]
+def storefront_sql(retailer: str, label: str) -> str:
+    """What a storefront's parser must find: rows of whole pages, and one for the page that is cut off."""
+    return LAST + f""", judged AS (SELECT *, CASE WHEN ln = 5 THEN 'error:url' WHEN ln = 7 THEN 'error:two-offers' WHEN ln = 4 THEN 'skip:no-seller' WHEN flag = 'R' THEN 'skip:unavailable' WHEN ln = 3 THEN 'error:zero-price' WHEN ln = 6 AND size > 10 THEN 'error:multiplier' ELSE 'observed' END AS verdict FROM last_ WHERE retailer = {Z.RETAILERS[retailer]})
+SELECT page, CAST(id AS VARCHAR) AS external_id, name AS title, CASE WHEN size <= 10 THEN 'KG' ELSE 'UN' END AS unit, '{label}' || type || CASE WHEN size <= 10 THEN '; unitMultiplier: 0.5 kg' ELSE '' END AS package, verdict, CASE WHEN verdict = 'observed' THEN cents END AS cents,
+CASE WHEN verdict = 'observed' AND list_cents > cents THEN list_cents END AS regular_cents FROM judged WHERE page > 0 UNION ALL SELECT DISTINCT 0, NULL, NULL, NULL, NULL, 'corrupt', NULL, NULL FROM judged WHERE page = 0"""
 
 
-@query("src01_product_page", values(PRODUCT_ROWS, "external_id, title, verdict, cents, regular_cents"))
+@query("src01_product_page", storefront_sql("metro", "Envase: "))
 def src01(spark, sf_dir):
-    pages = spark.createDataFrame([(PRODUCT_PAGE,)], "body string")
-    return L.product_page(pages).select("external_id", "title", "verdict", "cents", "regular_cents")
+    """All landed pages of one storefront, with prices or reasons, corrupt pages told."""
+    return L.product_page(Z.storefront_pages(spark, sf_dir, "metro"), "metro")
 
 
-@query("src02_storefront_page", "WITH t AS (" + values(PRODUCT_ROWS, "external_id, title, verdict, cents, regular_cents") + ") SELECT verdict, count(*) AS n FROM t GROUP BY 1")
+@query("src02_storefront_page", storefront_sql("plaza-vea", "").replace("SELECT page, CAST(id", "SELECT 'plaza-vea' AS storefront, page, CAST(id").replace("SELECT DISTINCT 0,", "SELECT DISTINCT 'plaza-vea', 0,")
+       + " UNION ALL " + "SELECT * FROM (" + storefront_sql("makro", "").replace("SELECT page, CAST(id", "SELECT 'makro' AS storefront, page, CAST(id").replace("SELECT DISTINCT 0,", "SELECT DISTINCT 'makro', 0,") + ")")
 def src02(spark, sf_dir):
-    """The same page under another storefront, by verdict."""
-    return src01(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
-
+    """All landed pages of the two storefronts of another chain, which tell the package in one field, each with its own site."""
+    rows = [L.product_page(Z.storefront_pages(spark, sf_dir, r), r).select(F.lit(r).alias("storefront"), "*") for r in ("plaza-vea", "makro")]
+    return rows[0].union(rows[1])
 
-def _priced(kind, price, crossed=False):
-    return {"type": kind, "symbol": "S/ ", "crossed": crossed, "price": [price]}
 
-
-HYDRATION_PAGE = '<html><script id="__NEXT_DATA__" type="application/json">' + json.dumps({"props": {"pageProps": {"results": [
-    {"skuId": "1", "displayName": "Arroz", "measurements": {"unit": "UN"}, "prices": [_priced("internetPrice", "12.90"), _priced("cmrPrice", "11.5")]},
-    {"skuId": "2", "displayName": "Pollo", "measurements": {"unit": "KG"}, "prices": [_priced("internetPrice", "1,234.5"), _priced("cmrPrice", "2000")]},
-    {"skuId": "3", "displayName": "Sin", "measurements": None, "prices": [_priced("internetPrice", "1")]},
-    {"skuId": "4", "displayName": "Dos", "measurements": {"unit": "UN"}, "prices": [_priced("internetPrice", "1"), _priced("internetPrice", "2")]},
-    {"skuId": "5", "displayName": "Tachado", "measurements": {"unit": "UN"}, "prices": [_priced("internetPrice", "3", True), _priced("internetPrice", "2")]}]}}}) + "</script></html>"
+@query("src03_hydration_page", LAST + """ SELECT page, CASE WHEN page = 0 THEN 'corrupt' ELSE 'read' END AS state, CASE WHEN page > 0 THEN page END AS number, CASE WHEN page > 0 THEN count(*) END AS discovered, CASE WHEN page > 0 THEN count(*) FILTER (WHERE ln = 4) END AS skipped FROM last_ WHERE retailer = 0 GROUP BY page""")
+def src03(spark, sf_dir):
+    """What the data script of each landed page holds: products found, and those skipped for want of a unit."""
+    pages = L.hydration_rows(Z.hydration_pages(spark, sf_dir))
+    read_ = F.col("state") == "read"
+    without = F.size(F.filter("results", lambda r: r["measurements"]["unit"].isNull()))
+    return pages.select("page", "state", F.col("number").cast("long").alias("number"), F.when(read_, F.size("results").cast("long")).alias("discovered"), F.when(read_, without.cast("long")).alias("skipped"))
 
 
-@query("src03_hydration_page", values([("1", "Arroz", "observed", 1290, 1150), ("2", "Pollo", "observed", 123450, None), ("3", "Sin", "skip:no-unit", None, None), ("4", "Dos", "error:price", None, None), ("5", "Tachado", "observed", 200, None)], "external_id, title, verdict, cents, benefit_cents"))
-def src03(spark, sf_dir):
-    return L.hydration_page(spark.createDataFrame([(HYDRATION_PAGE,)], "html string"))
+@query("src04_product_normalise", LAST + """, judged AS (SELECT *, CASE WHEN ln = 4 THEN 'skip:no-unit' WHEN ln IN (3, 7) THEN 'error:price' WHEN ln = 6 THEN 'error:currency' WHEN ln = 5 THEN 'error:url' ELSE 'observed' END AS verdict FROM last_ WHERE retailer = 0 AND page > 0)
+SELECT CAST(id AS VARCHAR) AS external_id, name AS title, verdict, CASE WHEN verdict = 'observed' THEN cents END AS cents, CASE WHEN verdict = 'observed' AND list_cents > cents THEN list_cents END AS regular_cents, CASE WHEN verdict = 'observed' AND type = 'PROMO' AND cents * 9 // 10 > 0 THEN cents * 9 // 10 END AS benefit_cents FROM judged""")
+def src04(spark, sf_dir):
+    """Each product of the landed pages: one uncrossed price, one normal price at most, and the card's price where it is a benefit."""
+    return L.hydration_page(Z.hydration_pages(spark, sf_dir)).select("external_id", "title", "verdict", "cents", "regular_cents", "benefit_cents")
 
 
 @query("src04_page_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '<li>')) AS items FROM pages")
-def src04(spark, sf_dir):
+def src04_titles(spark, sf_dir):
     """Extraction from raw pages by patterns."""
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_count("html", F.lit("<li>")).cast("long").alias("items"))
 
 
-MONEY = [("12.05", 1205), ("S/ 3.5", 350), ("1,234.50", 123450), ("1,23.4", None), ("12.345", None), ("-1", None), ("", None), ("0", 0)]
-
-
-@query("src06_money_parse", values(MONEY, "raw, cents"))
+@query("src06_money_parse", with_("obs") + " SELECT ok, ln, CASE WHEN flag <> 'R' THEN cents END AS cents FROM obs")
 def src06(spark, sf_dir):
-    return spark.createDataFrame([(m[0],) for m in MONEY], "raw string").select("raw", parse_pen(F.col("raw")).alias("cents"))
+    """Every price as text and back: with the currency's sign, with groups of thousands, and with a third decimal, which no price has."""
+    o = price_observations(spark, sf_dir)
+    plain = Z.number(F.col("cents")).cast("string")
+    text = F.when(F.col("flag") == "R", F.concat(plain, F.lit("0"))).when(F.col("flag") == "A", F.concat(F.lit("S/ "), plain)).otherwise(Z.money(F.col("cents")))
+    return o.select("ok", "ln", parse_pen(text).alias("cents"))
 
 
 @query("src07_listing_validation", with_("obs") + """ SELECT o.part, o.retailer, o.ok, o.ln, CASE WHEN cents <= 0 THEN 'price' WHEN ln > 6 THEN 'currency' WHEN flag = 'R' THEN 'unit' WHEN part % 50 = 0 THEN 'url' END AS reject FROM obs o""")
@@ -77,10 +76,13 @@ def src07(spark, sf_dir):
     return o.select("part", "retailer", "ok", "ln", reject.alias("reject"))
 
 
-@query("src09_category_tree", values([("111", "Food / Dry / Rice"), ("112", "Food / Dry / Oil"), ("12", "Food / Fresh"), ("3", "Home")], "key, path"))
+DEPARTMENTS = tuple(f"Brand#{i}" for i in range(1, 13))
+
+
+@query("src09_category_tree", with_("parts") + f""" SELECT type || '/' || split_part(name, ' ', 2) AS key, max(brand || ' / ' || type || ' / ' || split_part(name, ' ', 2)) AS path FROM parts WHERE brand IN ({', '.join(f"'{d}'" for d in DEPARTMENTS)}) GROUP BY 1""")
 def src09(spark, sf_dir):
-    tree = [{"id": "1", "name": "Food", "children": [{"id": "11", "name": "Dry", "children": [{"id": "111", "name": "Rice"}, {"id": "112", "name": "Oil"}]}, {"id": "12", "name": "Fresh", "children": []}]}, {"id": "2", "name": "Toys", "children": []}, {"id": "3", "name": "Home", "children": []}]
-    return L.category_leaves(spark.createDataFrame([(json.dumps(tree),)], "body string"), allowed=("Food", "Home"))
+    """The leaves of the landed trees in the departments that are sold, each key once, the last path of it."""
+    return L.category_leaves(Z.category_trees(spark, sf_dir), allowed=DEPARTMENTS)
 
 
 @query("src12_page_ranges", "SELECT page_id, page_id * 20 AS from_, least(page_id * 20 + 19, 2519) AS to_, page_id * 20 > 2500 AS coverage_limited FROM pages")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions.text import normalize_title, parse_pen, search_text
 from ..session import shared_path
+from ..sources import landed, landing_zone
 from ..sources.domain import event_observations, latest_offers, parts, price_observations, price_states, read, with_
 from ..sources.groceries import SQL as GROCERIES
 from ..sources.groceries import groceries
@@ -148,14 +147,17 @@ def his11(spark, sf_dir):
     return e.groupBy("listing", (F.weekday("day") + 1).cast("long").alias("weekday")).agg(F.count_distinct("day").alias("days"), F.min("band").alias("low"))
 
 
-STATUS = [(200, "ok"), (301, "redirect"), (401, "restricted"), (403, "restricted"), (404, "missing"), (429, "restricted"), (500, "failed")]
+#: Answers of a site: events stand for requests, their type and price band for the status.
+STATUS = """answers AS (SELECT event_id, CAST(CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 301 WHEN 'purchase' THEN 204 WHEN 'signup' THEN 404 ELSE 400 + CAST(floor(value / 25) AS BIGINT) END AS INTEGER) AS status FROM events)"""
 
 
-@query("orc04_response_status", values(STATUS, "status, outcome"))
+@query("orc04_response_status", f"WITH {STATUS} SELECT event_id, status, CASE WHEN status IN (401, 403, 429) THEN 'restricted' WHEN status = 404 THEN 'missing' WHEN status BETWEEN 300 AND 399 THEN 'redirect' WHEN status BETWEEN 200 AND 299 THEN 'ok' ELSE 'failed' END AS outcome FROM answers")
 def orc04(spark, sf_dir):
-    s = F.col("status")
+    """What each answer means: access restricted, gone, moved, fine or failed."""
+    kind = F.col("event_type")
+    s = F.when(kind == "view", 200).when(kind == "click", 301).when(kind == "purchase", 204).when(kind == "signup", 404).otherwise(400 + F.floor(F.col("value") / 25)).cast("int")
     outcome = F.when(s.isin(401, 403, 429), "restricted").when(s == 404, "missing").when(s.between(300, 399), "redirect").when(s.between(200, 299), "ok").otherwise("failed")
-    return spark.createDataFrame([(x[0],) for x in STATUS], "status int").select("status", outcome.alias("outcome"))
+    return read(spark, sf_dir, "events").select("event_id", s.alias("status"), outcome.alias("outcome"))
 
 
 @query("orc05_source_registry", """SELECT c_nationkey % 4 AS retailer, count(DISTINCT c_mktsegment || '/' || c_nationkey) AS sources, min(c_mktsegment || '/' || c_nationkey) AS first_source, max(c_mktsegment || '/' || c_nationkey) AS last_source FROM customer GROUP BY 1""")
@@ -166,13 +168,11 @@ def orc05(spark, sf_dir):
     return listed.groupBy("retailer").agg(F.count("*").alias("sources"), F.min("source").alias("first_source"), F.max("source").alias("last_source"))
 
 
-@query("orc06_single_product_page", values([("1", "observed", 990), ("2", "unavailable", None), ("3", "unknown", None)], "sku, outcome, cents"))
+@query("orc06_single_product_page", with_("obs") + """, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY seen_at DESC, ok DESC, ln DESC, flag DESC, cents DESC) AS rn FROM obs WHERE retailer = 0) WHERE rn = 1)
+SELECT CAST(part * 4 AS VARCHAR) AS sku, CASE WHEN ln = 7 THEN 'ambiguous' WHEN flag = 'A' THEN 'observed' WHEN flag = 'R' THEN 'unavailable' ELSE 'unknown' END AS outcome, CASE WHEN ln <> 7 AND flag = 'A' THEN cents END AS cents FROM l""")
 def orc06(spark, sf_dir):
-    """A page of one variant: sold, flagged as unavailable, or without a flag."""
-    pages = [json.dumps({"sku": s, "available": a, "price": p}) for s, a, p in (("1", True, "9.90"), ("2", False, "9.90"), ("3", None, "9.90"))]
-    v = spark.createDataFrame([(p,) for p in pages], "body string").select(F.from_json("body", "sku string, available boolean, price string").alias("v")).select("v.*")
-    outcome = F.when(F.col("available"), "observed").when(~F.col("available"), "unavailable").otherwise("unknown")
-    return v.select("sku", outcome.alias("outcome"), F.when(outcome == "observed", parse_pen(F.col("price"))).alias("cents"))
+    """Landed pages of one product each: sold, flagged as unavailable, without a flag, or of several variants."""
+    return landed.product_detail(landing_zone.detail_pages(spark, sf_dir))
 
 
 @query("rdm06_matching_inspection", with_("latest", "parts") + " SELECT p.brand, count(*) AS listings, count(*) FILTER (WHERE (CASE WHEN l.part % 9 = 0 THEN NULL ELSE p.size END) IS DISTINCT FROM p.size) AS stale FROM latest l JOIN parts p USING (part) GROUP BY 1")
