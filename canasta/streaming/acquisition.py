@@ -64,7 +64,7 @@ def step(s: dict, kind: str, at: int, found: int) -> tuple[dict, str]:
     if kind in ("redirect", "failure"):
         return s | {"due": at + AFTER_FAILURE * HOUR, "error": "redirect_to_home" if kind == "redirect" else "source_or_persistence_failed"}, "failed"
     s |= {"pages": s["pages"] + 1, "products": s["products"] + found}
-    over = at + (AFTER_ASKED if s["requested"] > at - 24 * HOUR else AFTER_CYCLE) * HOUR
+    over = at + (AFTER_ASKED if s["requested"] > max(0, at - 24 * HOUR) else AFTER_CYCLE) * HOUR
     if kind == "cycle":
         return s | {"cursor": 0, "last_cycle": s["cycle"] + found, "cycle": 0, "completed": at, "due": over, "error": None}, "cycle"
     if s["cursor"] + PAGE > LAST_FROM:
