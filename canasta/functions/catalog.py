@@ -125,8 +125,14 @@ class Tokens:
 
     PATTERN = r"(\d+(?:[.,]\d+)?|\p{L}+|\S)(\s*)"
 
-    def __init__(self, text: Column):
-        self.all, self.gaps = (F.regexp_extract_all(text, F.lit(self.PATTERN), F.lit(g)) for g in (1, 2))
+    def __init__(self, parts: Column):
+        self.all, self.gaps = parts["all"], parts["gaps"]
+
+    @classmethod
+    def of(cls, text: Column, use: Callable[[Tokens], Column]) -> Column:
+        """What is made of the tokens of a text, which is parted once."""
+        parts = [F.regexp_extract_all(text, F.lit(cls.PATTERN), F.lit(g)).alias(name) for g, name in ((1, "all"), (2, "gaps"))]
+        return bound(F.struct(*parts), lambda p: use(cls(p)))
 
     def at(self, i: Column) -> Column:
         """The token at a place, empty outside the title."""
@@ -153,7 +159,10 @@ def pack_counts(title: Column, has_measure: Column) -> Column:
 
 
 def _pack_counts(title: Column, has_measure: Column) -> Column:
-    t = Tokens(title)
+    return Tokens.of(title, lambda t: _counts_of(t, has_measure))
+
+
+def _counts_of(t: Tokens, has_measure: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in NAMED_COUNTS.items() for x in kv])
 
     def count(word: Column, i: Column) -> Column:
@@ -285,8 +294,10 @@ def comparison_title(title: Column, brand: Column) -> Column:
 
 
 def _compared(text: Column) -> Column:
-    t = Tokens(text)
+    return Tokens.of(text, _compared_of)
+
 
+def _compared_of(t: Tokens) -> Column:
     def named(i: Column, name: str) -> Column:
         return (t.at(i) == name) & t.begins(i)
 

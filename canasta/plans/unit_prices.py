@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.catalog import attributes, family
-from ..functions.unit_price import BASES, unit_price
+from ..functions.unit_price import BASES, priced, title_terms
 from ..sources.domain import latest_offers, with_
 from ..sources.groceries import SQL as GROCERIES
 from ..sources.groceries import groceries
@@ -25,8 +25,9 @@ CASE WHEN reason IS NULL THEN CASE WHEN type = 'LARGE' THEN cents WHEN unit = 'u
 def priced_offers(spark, sf_dir):
     """The latest offer of each listing with the unit price that its title gives; types sold large are quoted by weight."""
     titled = groceries(spark, sf_dir).select("part", "brand", "name", "size", "title", (F.col("type") == "LARGE").alias("weighed"), attributes(F.col("title")).alias("a"), family(F.col("title")).alias("family"))
-    u = unit_price(F.col("cents"), F.col("title"), F.col("a"), F.col("family"), freshness() == "fresh", F.col("flag") != "R", F.col("weighed"))
-    return latest_offers(spark, sf_dir).join(titled, "part").withColumn("u", u).select("part", "retailer", "cents", "brand", "name", "size", "family", "weighed", "u.*")
+    terms = titled.select("part", "brand", "name", "size", "family", "weighed", title_terms(F.col("title"), F.col("a"), F.col("family"), F.col("weighed")).alias("terms"))
+    u = priced(F.col("cents"), freshness() == "fresh", F.col("flag") != "R", F.col("terms"))
+    return latest_offers(spark, sf_dir).join(terms, "part").withColumn("u", u).select("part", "retailer", "cents", "brand", "name", "size", "family", "weighed", "u.*")
 
 
 @query("upr01_unit_price", PRICED + " SELECT part, retailer, basis, quality, num, den, reason FROM priced")

@@ -47,14 +47,18 @@ def _of(key: Column, rows: list[tuple], place: int) -> Column:
 
 
 def groceries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part, brand, name, type, size, list_cents, title and category of each product."""
+    """part, brand, name, type, size, list_cents, title and category of each product.
+
+    Dealt out by product: reading a title costs far more than its bytes, which would fill few tasks, and offers join on the product.
+    """
     adjective, noun = (F.split_part("name", F.lit(" "), F.lit(k)) for k in (1, 2))
     packed = F.coalesce(_of(adjective, PACKS, 1), F.lit("{n}{u}"))
     values = {"{n}": F.col("size").cast("string"), "{m}": (F.col("size") + 1).cast("string"), "{u}": F.coalesce(_of(noun, PRODUCTS, 2), F.lit("un")), "{v}": F.coalesce(_of(noun, PRODUCTS, 3), F.lit("un"))}
     for mark, value in values.items():
         packed = F.replace(packed, F.lit(mark), value)
     title = F.concat_ws(" ", F.coalesce(_of(noun, PRODUCTS, 1), noun), _of(F.col("type"), CONTAINERS, 1), packed)
-    return parts(spark, sf_dir).withColumns({"title": title, "category": _of(F.col("type"), SOURCE_CATEGORIES, 1)})
+    dealt = parts(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    return dealt.withColumns({"title": title, "category": _of(F.col("type"), SOURCE_CATEGORIES, 1)})
 
 
 def sold(spark: SparkSession, sf_dir: str) -> DataFrame:
