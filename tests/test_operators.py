@@ -131,13 +131,15 @@ def test_baskets_against_brute_force(spark):
                 for k in range(2):
                     if rng.random() < 0.7:
                         options.append((basket, need, shop, need * 100 + shop * 10 + k, 1 + (basket * (need + 7) + 17 * shop + 31 * need * shop + k) % 97, rng.randint(0, 3)))
-    plans = B.plans(spark.createDataFrame(needs, "basket long, need long"), spark.createDataFrame(options, "basket long, need long, retailer long, option long, cost long, overbuy long"))
-    tiers = B.tiers(plans).cache()
+    asked, offered = spark.createDataFrame(needs, "basket long, need long"), spark.createDataFrame(options, "basket long, need long, retailer long, option long, cost long, overbuy long")
+    tiers = B.tiers(B.plans(asked, offered)).cache()
     got = {(r["basket"], r["tier"]): (r["assigned"], r["cost"]) for r in tiers.collect()}
     for basket in range(30):
         want = brute_tiers(range(3), [(o[1], o[2], o[3], o[4], o[5]) for o in options if o[0] == basket])
         assert {k: got[basket, k] for k in (1, 2, 3)} == want
-    assert B.inconsistent(tiers).count() == 0
+    again = B.checked(tiers, asked, offered)
+    assert again.count() == tiers.count() and again.where("not consistent").isEmpty()
+    assert not B.checked(tiers.withColumn("cost", F.col("cost") + 1), asked, offered).where("consistent").count()
 
 
 def test_golden_basket(spark):
