@@ -140,7 +140,9 @@ def health(spark, sf_dir):
     overdue = F.when(F.col("age") > 30, F.when(F.col("fresh") > 0, "warning").otherwise("error"))
     none = F.when(F.col("fresh") == 0, "error")
     capacity = F.when(F.col("known") > 50_000, "error").when(F.col("known") == 50_000, "warning")
-    return h.withColumn("issues", F.array_compact(F.array(overdue, none, capacity)))
+    named = {"overdue": overdue, "none-fresh": none, "capacity": capacity}
+    told = F.concat_ws(",", *[F.concat(F.lit(f"{name}:"), severity) for name, severity in named.items()])
+    return h.withColumn("issues", F.array_compact(F.array(*named.values()))).withColumn("told", told)
 
 
 @query("hlt01_snapshot_checks", HEALTH + " SELECT retailer, fresh <= known AND known > 0 AND retailer BETWEEN 0 AND 3 AS consistent FROM issues")
@@ -148,10 +150,11 @@ def hlt01(spark, sf_dir):
     return health(spark, sf_dir).select("retailer", ((F.col("fresh") <= F.col("known")) & (F.col("known") > 0) & F.col("retailer").between(0, 3)).alias("consistent"))
 
 
-@query("hlt02_health_evaluation", HEALTH + " SELECT retailer, CASE WHEN 'error' IN (overdue, none, capacity) THEN 'attention' WHEN 'warning' IN (overdue, none, capacity) THEN 'warning' ELSE 'healthy' END AS status FROM (SELECT retailer, coalesce(overdue, '') AS overdue, coalesce(none, '') AS none, coalesce(capacity, '') AS capacity FROM issues)")
+@query("hlt02_health_evaluation", HEALTH + " SELECT retailer, CASE WHEN 'error' IN (overdue, none, capacity) THEN 'attention' WHEN 'warning' IN (overdue, none, capacity) THEN 'warning' ELSE 'healthy' END AS status, concat_ws(',', CASE WHEN overdue <> '' THEN 'overdue:' || overdue END, CASE WHEN none <> '' THEN 'none-fresh:' || none END, CASE WHEN capacity <> '' THEN 'capacity:' || capacity END) AS issues FROM (SELECT retailer, coalesce(overdue, '') AS overdue, coalesce(none, '') AS none, coalesce(capacity, '') AS capacity FROM issues)")
 def hlt02(spark, sf_dir):
+    """Each retailer's status, by the gravest of its issues, and the issues with their severities."""
     status = F.when(F.array_contains("issues", "error"), "attention").when(F.array_contains("issues", "warning"), "warning").otherwise("healthy")
-    return health(spark, sf_dir).select("retailer", status.alias("status"))
+    return health(spark, sf_dir).select("retailer", status.alias("status"), F.col("told").alias("issues"))
 
 
 @query("hlt03_health_counts", HEALTH + " SELECT retailer, known, fresh FROM issues")

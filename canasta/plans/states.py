@@ -60,15 +60,26 @@ def ing05(spark, sf_dir):
     return e.withColumn("ok_at", seen).groupBy("listing").agg(F.count_if(~F.col("available") & (F.col("ok_at").isNull() | (F.col("at") > F.col("ok_at")))).alias("missing"))
 
 
-@query("ing06_capacity_admission", with_("obs") + """, seen AS (SELECT part, retailer, min(seen_at) AS first_at, min(ok) AS first_ok FROM obs GROUP BY 1, 2),
+#: Listings that are kept at most.
+CAPACITY = 6_000
+
+
+@query("ing06_capacity_admission", with_("obs") + f""", seen AS (SELECT part, retailer, min(seen_at) AS first_at, min(ok) AS first_ok FROM obs GROUP BY 1, 2),
 known AS (SELECT * FROM seen WHERE first_at < TIMESTAMP '1996-01-01'), new AS (SELECT *, row_number() OVER (ORDER BY first_at, first_ok, part, retailer) AS position FROM seen WHERE first_at >= TIMESTAMP '1996-01-01')
-SELECT part, retailer, true AS was_known FROM known UNION ALL SELECT part, retailer, false FROM new WHERE position <= 500""")
+SELECT part, retailer, true AS was_known FROM known UNION ALL SELECT part, retailer, false FROM new WHERE position <= {CAPACITY} - (SELECT count(*) FROM known)""")
 def ing06(spark, sf_dir):
-    """Known listings, and as many new ones, in source order, as capacity is left (top-k)."""
+    """Known listings, and as many new ones, in source order, as these leave room for.
+
+    No more new ones than the whole capacity can be admitted, so only so many, the first, are numbered.
+    """
     seen = price_observations(spark, sf_dir).groupBy("part", "retailer").agg(F.min("at").alias("first_at"), F.min("ok").alias("first_ok"))
     cutoff = F.lit("1996-01-01 00:00:00").cast("timestamp_ntz")
-    new = seen.where(F.col("first_at") >= cutoff).orderBy("first_at", "first_ok", "part", "retailer").limit(500)
-    return seen.where(F.col("first_at") < cutoff).select("part", "retailer", F.lit(True).alias("was_known")).union(new.select("part", "retailer", F.lit(False)))
+    known, order = seen.where(F.col("first_at") < cutoff), ["first_at", "first_ok", "part", "retailer"]
+    first = seen.where(F.col("first_at") >= cutoff).orderBy(*order).limit(CAPACITY)
+    numbered = first.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    room = known.agg((F.lit(CAPACITY) - F.count("*")).alias("room"))
+    admitted = numbered.join(F.broadcast(room), F.col("position") <= F.col("room"))
+    return known.select("part", "retailer", F.lit(True).alias("was_known")).union(admitted.select("part", "retailer", F.lit(False)))
 
 
 @query("ing07_close_open_states", with_("states") + " SELECT listing, count(*) FILTER (WHERE valid_until IS NOT NULL) AS closed, count(*) FILTER (WHERE valid_until IS NULL) AS opened FROM states GROUP BY 1")
