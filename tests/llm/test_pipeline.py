@@ -92,4 +92,4 @@ def test_every_stage_and_operator_takes_hostile_rows(spark, hostile):
 
 def test_registered():
     assert len(corpus_pipeline.STAGES) == 5
-    assert sorted(registry.QUERIES) == sorted(["pipeline", *(n for n in registry.QUERIES if n.startswith("op"))]) and len(registry.QUERIES) == 11
+    assert sorted(registry.QUERIES) == sorted(["pipeline", *(n for n in registry.QUERIES if n.startswith("op"))]) and len(registry.QUERIES) == 14
