@@ -140,3 +140,42 @@ def test_identity_continuity(spark, old, new, want):
     store = spark.createDataFrame([(i, p, "J" if p == "other" else "I") for i, p in old.items()], "id long, product string, identity string")
     groups = spark.createDataFrame([(g, i, "I") for i, g in new.items()], "group long, member long, identity string")
     assert {r["group"]: r["verdict"] for r in D.identity_continuity(groups, store).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def odd_listings(tmp_path_factory):
+    """Tables with missing evidence, names without words and 160 products of one kind; DuckDB over them."""
+    import duckdb
+
+    rng, folder, con = random.Random(11), tmp_path_factory.mktemp("odd"), duckdb.connect()
+    parts = [(i, rng.choice(["red ring", "blue ring", "RED ring", "red  rings", "--", "", None]), rng.choice(["B1", "B2", None]), rng.choice(["X", "Y", None]), rng.choice([1, 2, None])) for i in range(200)]
+    parts += [(i, "red ring", "B1", "X", 1) for i in range(200, 360)]
+    lines = [(i, p, s) for i, (p, s) in enumerate((p[0], s) for p in parts for s in rng.sample(range(8), rng.randrange(1, 5)))] + [(9001, 210, None), (9002, None, 1)]
+    con.execute("CREATE TABLE p (p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_type VARCHAR, p_size INTEGER)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?, ?, ?)", parts)
+    con.execute("CREATE TABLE l (l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT)")
+    con.executemany("INSERT INTO l VALUES (?, ?, ?)", lines)
+    con.execute(f"COPY (SELECT *, 1.5::DOUBLE AS p_retailprice FROM p) TO '{folder}/part.parquet'")
+    con.execute(f"COPY (SELECT *, 1 AS l_linenumber, 2.0::DOUBLE AS l_quantity, 3.0::DOUBLE AS l_extendedprice, 'N' AS l_returnflag, TIMESTAMP '2000-01-01' + to_days(l_orderkey::INTEGER) AS l_shipdate FROM l) TO '{folder}/lineitem.parquet'")
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return con, str(folder)
+
+
+@pytest.mark.parametrize("name", ["mat04_score"])
+def test_pairs_of_odd_listings_match_the_sql(spark, odd_listings, name):
+    from canasta import plans
+
+    con, folder = odd_listings
+    df, want = plans.QUERIES[name](spark, folder), con.execute(plans.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    want, got = want.fetchall(), [tuple(r) for r in df.select(*columns).collect()]
+    assert len(got) == len(set(got)) and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_scores_are_made_by_kind(spark, odd_listings):
+    """Rows that are scored grow with the square of a block's kinds, not of its listings."""
+    from canasta.plans import QUERIES, matching
+
+    _, folder = odd_listings
+    assert matching.decided(spark, folder).count() * 20 < QUERIES["mat04_score"](spark, folder).count()
