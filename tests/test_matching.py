@@ -162,7 +162,7 @@ def odd_listings(tmp_path_factory):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["mat04_score", "mat05_decision"])
+@pytest.mark.parametrize("name", ["mat04_score", "mat05_decision", "mat13_evaluation_metrics"])
 def test_pairs_of_odd_listings_match_the_sql(spark, odd_listings, name):
     from canasta import plans
 
@@ -174,8 +174,9 @@ def test_pairs_of_odd_listings_match_the_sql(spark, odd_listings, name):
 
 
 def test_scores_are_made_by_kind(spark, odd_listings):
-    """Rows that are scored grow with the square of a block's kinds, not of its listings."""
+    """Rows that are scored grow with the square of a block's kinds, not of its listings; counting pairs joins none."""
     from canasta.plans import QUERIES, matching
 
     _, folder = odd_listings
     assert matching.decided(spark, folder).count() * 20 < QUERIES["mat04_score"](spark, folder).count()
+    assert "Join" not in QUERIES["mat13_evaluation_metrics"](spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
