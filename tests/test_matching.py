@@ -162,7 +162,7 @@ def odd_listings(tmp_path_factory):
     return con, str(folder)
 
 
-@pytest.mark.parametrize("name", ["mat04_score", "mat05_decision", "mat08_pair_evaluation", "mat13_evaluation_metrics"])
+@pytest.mark.parametrize("name", ["mat04_score", "mat05_decision", "mat08_pair_evaluation", "mat13_evaluation_metrics", "mat14_match_summary"])
 def test_pairs_of_odd_listings_match_the_sql(spark, odd_listings, name):
     from canasta import plans
 
